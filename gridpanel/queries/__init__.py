@@ -1,0 +1,13 @@
+"""Registered queries over the driver tables, one module per part of the inventory."""
+
+import importlib
+
+MODULES = ("relational", "spatial", "allocation")
+
+
+def load_all() -> dict:
+    from gridpanel.queries.base import REGISTRY
+
+    for name in MODULES:
+        importlib.import_module(f"gridpanel.queries.{name}")
+    return REGISTRY
