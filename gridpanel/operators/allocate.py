@@ -141,6 +141,23 @@ def check_typed(df: DataFrame, cls: str, area: str, typed: Sequence[str], residu
         raise ValueError(f"only {100 * (got or 0):.1f}% of the area received a type")
 
 
+RULE_COLUMNS = ("order", "action", "from_class", "to")
+
+
+def rules_from_table(table: DataFrame, limit: int = 1000) -> list[dict]:
+    """Check a project's rules table and read it in order (a rules table is a short hand-written list)."""
+    missing = [c for c in RULE_COLUMNS if c not in table.columns]
+    if missing:
+        raise ValueError(f"rules table lacks columns {missing}")
+    rows = table.select(*RULE_COLUMNS).orderBy("order").take(limit + 1)
+    if not rows or len(rows) > limit:
+        raise ValueError(f"a rules table holds between 1 and {limit} rules")
+    bad = {r["action"] for r in rows} - {"rename", "split"}
+    if bad:
+        raise ValueError(f"unknown actions {sorted(bad)}")
+    return [{"action": r["action"], "from": r["from_class"], "to": r["to"]} for r in rows]
+
+
 def rule_transitions(classes: DataFrame, rules: Sequence[dict], shares: DataFrame | None) -> DataFrame:
     """Run an ordered rename/split cascade on the distinct (geo, class) pairs.
 

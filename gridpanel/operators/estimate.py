@@ -45,7 +45,7 @@ def fit_share_logit(
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lr = LogisticRegression(
-            featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=reg, elasticNetParam=0.0, maxIter=max_iter, tol=1e-9
+            featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=reg, elasticNetParam=0.0, maxIter=max_iter, tol=1e-7
         )
         model = lr.fit(train)
         b = model.coefficientMatrix.toArray()

@@ -241,6 +241,20 @@ def alt_utility(z: DataFrame, delta: DataFrame, keys: Sequence[str], baseline: s
     return joined.groupBy(*keys, "alternative").agg(F.sum(d * F.col("z")).alias("u_alt"))
 
 
+def with_state(df: DataFrame, keys: Sequence[str], classes: Sequence[str], builder: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Attach a previous state from a user function as ``prev_<class>`` shares (0 where the state has no row).
+
+    The function gets the raw rows and returns (keys, one area or share column per class); rows are normalised here.
+    """
+    past = builder(df)
+    missing = [c for c in [*keys, *classes] if c not in past.columns]
+    if missing:
+        raise ValueError(f"state builder returned no {missing}")
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in classes), F.lit(0.0))
+    shares = [F.coalesce(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), total), F.lit(0.0)).alias(f"prev_{c}") for c in classes]
+    return df.join(past.select(*keys, *shares), list(keys), "left").fillna(0.0, [f"prev_{c}" for c in classes])
+
+
 # ---- projection ------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("relational", "spatial", "allocation")
+MODULES = ("relational", "spatial", "allocation", "design", "scoring", "draws", "metrics", "estimators")
 
 
 def load_all() -> dict:

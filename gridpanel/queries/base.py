@@ -191,6 +191,11 @@ def _digits(spec: str) -> dict[str, int]:
     return out
 
 
+def nudge(digits: int) -> float:
+    """Shift far below the rounding step: exact ties (5 in the next place) would else fall either way."""
+    return 3.7 * 10.0 ** -(digits + 3)
+
+
 @dataclass(frozen=True)
 class Query:
     fn: Callable[[Tables], DataFrame]
@@ -199,12 +204,12 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.fn(Tables(spark, sf_dir))
-        return df.withColumns({c: F.round(F.col(c), d) for c, d in self.dbl.items()}) if self.dbl else df
+        return df.withColumns({c: F.round(F.col(c) + nudge(d), d) for c, d in self.dbl.items()}) if self.dbl else df
 
     def oracle(self) -> str | None:
         if self.sql is None or not self.dbl:
             return self.sql
-        cols = ", ".join(f"round({c}, {d}) + 0.0 AS {c}" for c, d in self.dbl.items())
+        cols = ", ".join(f'round("{c}" + {nudge(d)!r}, {d}) + 0.0 AS "{c}"' for c, d in self.dbl.items())
         return f"SELECT * REPLACE ({cols}) FROM ({self.sql})"
 
 

@@ -128,12 +128,12 @@ def _(t: Tables):
 
 @query(
     "n6_buffer_ring", "lattice",
-    sql="""WITH p AS (SELECT DISTINCT ix, iy FROM lattice), s AS (SELECT DISTINCT ix, iy FROM lattice WHERE area > 250)
+    sql="""WITH p AS (SELECT DISTINCT ix, iy FROM lattice), s AS (SELECT DISTINCT ix, iy FROM lattice WHERE area > 120)
         SELECT ix, iy FROM p WHERE (ix, iy) NOT IN (SELECT (ix, iy) FROM s) AND EXISTS (SELECT 1 FROM s WHERE abs(s.ix - p.ix) <= 2 AND abs(s.iy - p.iy) <= 2)""",
 )
 def _(t: Tables):
     cells = t.lattice.select("ix", "iy").distinct()
-    return fo.buffer_ring(cells, t.lattice.where(F.col("area") > 250).select("ix", "iy"), "ix", "iy", 2)
+    return fo.buffer_ring(cells, t.lattice.where(F.col("area") > 120).select("ix", "iy"), "ix", "iy", 2)
 
 
 ERFC = """(t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807
@@ -142,7 +142,7 @@ ERFC = """(t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t *
 
 @query(
     "n7_morans_i", "lattice", dbl="moran_i:8 expected variance:12 p_value:6",
-    sql=f"""WITH o AS (SELECT row_number() OVER () AS i, CAST(ix AS DOUBLE) AS x, CAST(iy AS DOUBLE) AS y, area FROM lattice WHERE slice = 1998),
+    sql=f"""WITH o AS (SELECT row_number() OVER () AS i, CAST(ix AS DOUBLE) AS x, CAST(iy AS DOUBLE) AS y, sum(area) AS area FROM lattice GROUP BY slice, ix, iy),
         z AS (SELECT i, x, y, area - avg(area) OVER () AS z FROM o),
         e AS (SELECT a.i, b.i AS j, a.z AS zi, b.z AS zj FROM z a JOIN z b ON a.i <> b.i AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2.25),
         k AS (SELECT i, count(*) AS k FROM e GROUP BY 1),
@@ -156,8 +156,8 @@ ERFC = """(t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t *
         SELECT n_obs, n_obs - n AS n_isolated, moran_i, expected, variance, CASE WHEN d >= 0 THEN {ERFC} / 2 ELSE 1 - {ERFC} / 2 END AS p_value FROM y""",
 )
 def _(t: Tables):
-    obs = t.lattice.where(F.col("slice") == 1998).select(F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), "area")
-    return fo.morans_i(obs, "x", "y", "area", 1.5)
+    obs = _values(t).select(F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), "v")
+    return fo.morans_i(obs, "x", "y", "v", 1.5)
 
 
 @query(

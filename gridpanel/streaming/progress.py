@@ -26,9 +26,12 @@ def chain_progress(draws: DataFrame, target: int, chain: str = "chain", order: s
     return out.withColumn("done", F.least(F.col("last_iter") / F.lit(float(target)), F.lit(1.0)))
 
 
-def watch_draws(spark: SparkSession, path: str, schema: StructType | str, max_files: int = 100) -> DataFrame:
-    """Stream of the Parquet draw batches that appear under ``path``."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def watch_draws(
+    spark: SparkSession, path: str, schema: StructType | str, pattern: str = "*.parquet", max_files: int = 100
+) -> DataFrame:
+    """Stream of the Parquet draw batches that appear under the folder ``path`` with a name matching ``pattern``."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern)
+    return reader.parquet(path)
 
 
 def start_running_stats(stream: DataFrame, name: str, checkpoint: str, **kwargs) -> StreamingQuery:
