@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.functions.scalar import apply_transforms, finite_or
-from gridpanel.operators.focal import focal_mean, focal_wide
+from gridpanel.operators.focal import focal_columns
 from gridpanel.plans.skew import group_quantiles, with_group_values
 
 
@@ -56,10 +56,8 @@ def apply_recipe(recipe: Recipe, df: DataFrame) -> DataFrame:
     """
     ix, iy = recipe.lattice
     cells = df.drop(*[c for c in df.columns if c.startswith("focal_")])
-    long = cells.unpivot([*recipe.slices, ix, iy], list(recipe.classes), "class", "area")
-    focal = focal_mean(long, recipe.slices, ix, iy, "class", "area")
     keys = [*recipe.slices, ix, iy]
-    wide = focal_wide(focal, cells, keys, "class", recipe.classes, recipe.add_nodata)
+    wide = focal_columns(cells, recipe.slices, ix, iy, recipe.classes, recipe.add_nodata)
     out = apply_transforms(wide, recipe.transforms).withColumn("intercept", F.lit(1.0))
     known = F.when(F.col(recipe.group).isin(*recipe.group_levels), F.col(recipe.group))
     return out.select(

@@ -430,7 +430,6 @@ def effective_parameters(kappa: DataFrame, by: Sequence[str], value: str = "kapp
     )
 
 
-def predicted_totals(pred: DataFrame, by: Sequence[str], draw: Sequence[str], p: str, weight: str) -> DataFrame:
-    """Median and 95 % interval over draws of the weighted class totals."""
-    tot = pred.groupBy(*by, *draw).agg(F.sum(F.col(p) * F.col(weight)).alias("_t"))
-    return group_quantiles(tot, by, "_t", {"est_q025": 0.025, "est_median": 0.5, "est_q975": 0.975})
+def predicted_totals(totals: DataFrame, by: Sequence[str], value: str = "total") -> DataFrame:
+    """Median and 95 % interval over draws of class totals, from one row per (by, draw)."""
+    return group_quantiles(totals, by, value, {"est_q025": 0.025, "est_median": 0.5, "est_q975": 0.975})

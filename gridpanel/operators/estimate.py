@@ -226,7 +226,7 @@ def compare_arms(
     preds = []
     for cols in (list(base), [*base, *extra]):
         coef = fit_share_logit(x.where(train), y, row, cols, classes, max_iter=max_iter)
-        table = coef_table(coef, "_g", "\u0000pooled", ["intercept", *cols], classes)
+        table = coef_table(coef, "_g", "__pooled__", ["intercept", *cols], classes)
         rows = feature_array(x.where(~train).withColumn("intercept", F.lit(1.0)).withColumn("_g", F.lit("all")), ["intercept", *cols])
         p = explode_classes(predict_shares(rows, table, "_g"), [row], "p", classes, "pred")
         obs = y.select(row, "class", F.col("share").alias("obs"))

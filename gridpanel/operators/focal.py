@@ -13,7 +13,7 @@ from gridpanel.operators.joins import distance_band, neighbour_offsets
 from gridpanel.operators.windows import grid_bins
 from gridpanel.plans.skew import with_group_values
 
-CELL = "\u0000cell"  # marker class: one row per occupied cell, used to count neighbours
+CELL = "__cell__"  # marker class: one row per occupied cell, used to count neighbours
 
 
 def infer_resolution(df: DataFrame, coord: Sequence[str]) -> DataFrame:
@@ -51,41 +51,90 @@ def cell_shares(df: DataFrame, by: Sequence[str], ix: str, iy: str, cls: str, ar
     return sums.select(*keys, cls, share.alias("share"))
 
 
+TILE = 64  # side of the tiles that neighbourhood work is shuffled by, in cells
+
+
+def with_halo(df: DataFrame, by: Sequence[str], ix: str, iy: str, reach: int, side: int = TILE) -> DataFrame:
+    """Repartition lattice rows by tile, with copies of the border rows in the tiles they can reach.
+
+    Adds the tile ``_tx, _ty`` a copy sits in.  A neighbourhood of ``reach`` cells is then complete inside the partition of
+    its home tile, so window sums need no further shuffle: about 1 + 4·reach / side copies of a row travel instead of one
+    per neighbour.
+    """
+    def tiles(c: str) -> Column:
+        return F.array_distinct(F.array(F.floor((F.col(c) - reach) / side), F.floor(F.col(c) / side), F.floor((F.col(c) + reach) / side)))
+
+    out = df.withColumn("_tx", F.explode(tiles(ix))).withColumn("_ty", F.explode(tiles(iy)))
+    return out.repartition(*by, "_tx", "_ty")
+
+
+def at_home(ix: str, iy: str, side: int = TILE) -> Column:
+    """Whether a target cell belongs to the tile it was computed in."""
+    return (F.floor(F.col(ix) / side) == F.col("_tx")) & (F.floor(F.col(iy) / side) == F.col("_ty"))
+
+
+def shifted(df: DataFrame, offsets: Column, ix: str, iy: str) -> DataFrame:
+    """Send every row to the cells at the given offsets; ``_own`` is 1 on the copy that stays."""
+    out = df.withColumn("_o", F.explode(offsets))
+    own = ((F.col("_o.dx") == 0) & (F.col("_o.dy") == 0)).cast("int")
+    return out.withColumns({
+        "_own": own, ix: F.col(ix) + F.col("_o.dx"), iy: F.col(iy) + F.col("_o.dy"),
+    }).where(at_home(ix, iy)).drop("_o")
+
+
 def focal_mean(
     df: DataFrame, by: Sequence[str], ix: str, iy: str, cls: str, area: str, complete_only: bool = True
 ) -> DataFrame:
     """Mean class share of the eight neighbours of every occupied cell (long; absent classes are 0 and not emitted).
 
-    With ``complete_only`` a cell without all eight neighbours gets no rows, which means 0 everywhere.  Each (cell,
-    class) row goes to its eight neighbours; a marker row per cell counts neighbours and shows which targets exist, so
-    one shuffle on the cell key serves both the sums and the counts.
+    With ``complete_only`` a cell without all eight neighbours gets no rows, which means 0 everywhere.  A marker row per
+    cell counts neighbours and shows which targets exist.  After the tile shuffle, class sums and counts are local.
     """
     keys = [*by, ix, iy]
     shares = cell_shares(df, by, ix, iy, cls, area)
-    marker = df.select(*keys).distinct().select(*keys, F.lit(CELL).alias(cls), F.lit(1.0).alias("share"))
-    around = shares.unionByName(marker).withColumn("_o", F.explode(neighbour_offsets(1)))
-    around = around.select(
-        *by,
-        (F.col(ix) + F.col("_o.dx")).alias(ix),
-        (F.col(iy) + F.col("_o.dy")).alias(iy),
-        cls,
-        "share",
-        F.lit(0).alias("_own"),
-    )
-    own = marker.withColumn("_own", F.lit(1)).withColumn("share", F.lit(0.0))
-    sums = around.unionByName(own).repartition(*keys).groupBy(*keys, cls).agg(
-        F.sum("share").alias("_s"), F.max("_own").alias("_own")
-    )
-    cell = Window.partitionBy(*keys)
+    # the marker comes from the first class row of a cell, so the shares are computed once
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(cls)) == 1
+    shares = shares.withColumn("_first", first)
+    rows = F.when(
+        F.col("_first"), F.array(F.struct(F.col(cls).alias("c"), F.col("share").alias("s")), F.struct(F.lit(CELL).alias("c"), F.lit(1.0).alias("s")))
+    ).otherwise(F.array(F.struct(F.col(cls).alias("c"), F.col("share").alias("s"))))
+    marked = shares.select(*keys, F.explode(rows).alias("_r")).select(*keys, F.col("_r.c").alias(cls), F.col("_r.s").alias("share"))
+    moved = shifted(with_halo(marked, by, ix, iy, 1), neighbour_offsets(1, centre=True), ix, iy)
+    near = F.sum(F.when(F.col("_own") == 0, F.col("share")))
+    sums = moved.groupBy(*by, "_tx", "_ty", ix, iy, cls).agg(near.alias("_s"), F.max("_own").alias("_own"))
+    cell = Window.partitionBy(*by, "_tx", "_ty", ix, iy)
     n = F.max(F.when(F.col(cls) == CELL, F.col("_s"))).over(cell)
     here = F.max(F.when(F.col(cls) == CELL, F.col("_own"))).over(cell)
     out = sums.withColumn("n_neighbours", n.cast("long")).withColumn("_here", here)
-    out = out.where((F.col(cls) != CELL) & (F.col("_here") == 1))
+    out = out.where((F.col(cls) != CELL) & (F.col("_here") == 1) & F.col("_s").isNotNull())
     if complete_only:
         out = out.where(F.col("n_neighbours") == 8)
     return out.select(*keys, cls, (F.col("_s") / F.col("n_neighbours")).alias("focal"), "n_neighbours")
 
 
+def focal_columns(
+    cells: DataFrame, by: Sequence[str], ix: str, iy: str, classes: Sequence[str], nodata: bool = False
+) -> DataFrame:
+    """Add ``focal_<class>`` (complete neighbourhoods only, else 0) to a wide table of class areas.
+
+    With a known class list a cell travels as one row of shares; several rows on a coordinate are summed first.
+    """
+    keys = [*by, ix, iy]
+    sums = cells.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in classes])
+    total = sum((F.col(c) for c in classes), F.lit(0.0))
+    shares = sums.select(*keys, *[F.when(total > 0, F.col(c) / F.nullif(total, F.lit(0.0))).otherwise(F.lit(0.0)).alias(f"_s_{c}") for c in classes])
+    moved = shifted(with_halo(shares, by, ix, iy, 1), neighbour_offsets(1, centre=True), ix, iy)
+    away = F.col("_own") == 0
+    near = moved.groupBy(*by, "_tx", "_ty", ix, iy).agg(
+        F.count(F.when(away, 1)).alias("_n"), F.max("_own").alias("_own"),
+        *[F.sum(F.when(away, F.col(f"_s_{c}")).otherwise(0.0)).alias(f"_s_{c}") for c in classes],
+    ).where(F.col("_own") == 1)
+    names = [f"focal_{c}" for c in classes]
+    near = near.select(*keys, *[F.when(F.col("_n") == 8, F.col(f"_s_{c}") / 8).otherwise(F.lit(0.0)).alias(f"focal_{c}") for c in classes])
+    out = cells.drop(*names).join(near, keys, "left").fillna(0.0, names)
+    return out.withColumn("focal_NODATA", nodata_share(*[F.col(n) for n in names])) if nodata else out
+
+
 def focal_wide(focal: DataFrame, cells: DataFrame, keys: Sequence[str], cls: str, classes: Sequence[str], nodata: bool) -> DataFrame:
     """``focal_<class>`` columns for every cell, zero-filled, optionally with the uncovered share ``focal_NODATA``."""
     wide = focal.groupBy(*keys).agg(
@@ -184,18 +233,26 @@ def focal_window(
             for (dx, dy), w in kernel.items()
         ]
     )
-    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sent = src.withColumn("_o", F.explode(arms)).select(
+    reach = max(max(abs(dx), abs(dy)) for dx, dy in kernel)
+    src = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    # one more arm without weight marks the cell itself, so that targets need no join
+    mark = F.array(F.struct(F.lit(0).cast("long").alias("dx"), F.lit(0).cast("long").alias("dy"), F.lit(None).cast("double").alias("w")))
+    sent = with_halo(src, by, ix, iy, reach).withColumn("_o", F.explode(F.concat(arms, mark)))
+    sent = sent.select(
         *by,
+        "_tx",
+        "_ty",
         (F.col(ix) + F.col("_o.dx")).alias(ix),
         (F.col(iy) + F.col("_o.dy")).alias(iy),
         (F.col("_v") * F.col("_o.w")).alias("_x"),
-        F.col("_o.w").alias("_w"),
-    )
+        F.when(F.col("_v").isNotNull(), F.col("_o.w")).alias("_w"),
+        F.col("_o.w").isNull().alias("_own"),
+    ).where(at_home(ix, iy))
     simple = fun in ("mean", "sum")
     measure = F.sum("_x").alias("_r") if simple else F.collect_list("_x").alias("_r")
-    near = sent.groupBy(*keys).agg(measure, F.count("_x").alias("_n"), F.sum("_w").alias("_wsum"))
-    cells = df.select(*keys).distinct().join(near, keys, "left")
+    cells = sent.groupBy(*by, "_tx", "_ty", ix, iy).agg(
+        measure, F.count("_x").alias("_n"), F.sum("_w").alias("_wsum"), F.max("_own").alias("_own")
+    ).where(F.col("_own"))
     missing = F.lit(len(kernel)) - F.coalesce(F.col("_n"), F.lit(0)).cast("int")
     if simple:
         result = F.col("_r")
@@ -203,7 +260,7 @@ def focal_window(
             gap = F.lit(total / scale) - F.coalesce(F.col("_wsum"), F.lit(0.0))
             result = F.coalesce(result, F.lit(0.0)) + gap * F.lit(float(fill))
     else:
-        values = F.coalesce(F.col("_r"), F.array().cast("array<double>"))
+        values = F.col("_r")
         if fill is not None:
             values = F.concat(values, F.array_repeat(F.lit(float(fill)), missing))
         result = WINDOW_FUNCTIONS[fun](values)

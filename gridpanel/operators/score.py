@@ -1,24 +1,27 @@
 """Scoring: utilities, softmax, predictive averages, counts, nested probabilities, projection and effects.
 
 A design row carries its covariates as one array ``x`` in the recipe's column order; coefficients come as one row per
-group (and draw chunk) with a matrix ``b[class][covariate]``.  Utilities and softmax are then row expressions: scoring
-needs no shuffle beyond the join on the group key.
+group (and draw) with a matrix ``b[class][covariate]``.  Coefficients are model-sized: they are shipped to the tasks in
+chunks of limited size, and Arrow batches of rows are multiplied with them.  Scoring is a narrow map: no row is shuffled
+and no row is copied per draw.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.functions.scalar import log_floor, normal_icdf
 from gridpanel.operators.design import Paths, edges
-from gridpanel.operators.focal import focal_mean, focal_wide
+from gridpanel.operators.focal import focal_columns
 from gridpanel.plans.skew import HASH_BITS, hash_order
 from gridpanel.session import cut_lineage
 
-POOLED = "\u0000pooled"  # group label of the pooled coefficients
+POOLED = "__pooled__"  # group label of the pooled coefficients
 
 
 # ---- row expressions -------------------------------------------------------------------------------------------
@@ -33,10 +36,17 @@ def utilities(x: Column, b: Column) -> Column:
     return F.transform(b, lambda row: dot(x, row))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Bind a value once inside an expression; a lambda body would evaluate it at every mention."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def softmax(u: Column) -> Column:
     """Softmax of an array with the maximum subtracted."""
-    e = F.transform(u, lambda v: F.exp(v - F.array_max(u)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+    def scale(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, w: s + w), lambda t: F.transform(e, lambda v: v / t))
+
+    return let(u, lambda w: let(F.array_max(w), lambda m: let(F.transform(w, lambda v: F.exp(v - m)), scale)))
 
 
 def softmax_long(df: DataFrame, keys: Sequence[str], u: str, out: str = "p") -> DataFrame:
@@ -80,63 +90,177 @@ def coefficient_matrix(
     return cells.groupBy(*by).agg(F.array(*pick).alias("b"))
 
 
-def attach_coefficients(df: DataFrame, coef: DataFrame, group: str) -> DataFrame:
-    """Join group coefficients; a group that was not fitted gets the pooled ones (row labelled ``POOLED``)."""
-    known = coef.where(F.col(group) != POOLED)
-    pooled = coef.where(F.col(group) == POOLED).select(F.col("b").alias("_bp")).withColumn("_one", F.lit(1))
-    out = df.join(known, group, "left").withColumn("_one", F.lit(1)).join(pooled, "_one", "left")
-    return out.withColumn("pooled", F.col("b").isNull()).withColumn("b", F.coalesce("b", "_bp")).drop("_bp", "_one")
+CHUNK_BYTES = 128 * 2**20  # largest coefficient block shipped to the tasks at once
+
+
+def _matrix(b) -> np.ndarray:
+    return np.asarray([list(r) for r in b], dtype=float)
+
+
+def load_coefficients(coef: DataFrame, group: str, draw: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> list[dict[str, np.ndarray]]:
+    """Read coefficient matrices into blocks {group: array[draw, class, cov]} of at most ``chunk_bytes`` where draws allow.
+
+    A plug-in table is one block.  Draws are split into as many blocks as their size asks for; the sizes are counted
+    before anything is read.
+    """
+    if draw is None:
+        return [{r[group]: _matrix(r["b"])[None] for r in coef.select(group, "b").collect()}]
+    cells = F.size("b") * F.size(F.get("b", F.lit(0))) * 8
+    coef = coef.persist()
+    try:
+        sizes = coef.groupBy(draw).agg(F.sum(cells).alias("n")).orderBy(draw).collect()
+        blocks: list[list] = []
+        filled = chunk_bytes + 1
+        for r in sizes:
+            if filled + r["n"] > chunk_bytes:
+                blocks.append([])
+                filled = 0
+            blocks[-1].append(r[draw])
+            filled += r["n"]
+        out = []
+        for draws in blocks:
+            part = coef.where(F.col(draw).between(draws[0], draws[-1])).select(group, draw, "b").collect()
+            mats: dict[str, list] = {}
+            for r in sorted(part, key=lambda r: r[draw]):
+                mats.setdefault(r[group], []).append(_matrix(r["b"]))
+            out.append({g: np.stack(m) for g, m in mats.items()})
+        return out
+    finally:
+        coef.unpersist()
+
+
+def np_softmax(u: np.ndarray) -> np.ndarray:
+    e = np.exp(u - u.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def _by_group(groups: pd.Series, block: dict) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Row positions and coefficients per group of a batch; unknown groups share the pooled coefficients."""
+    label = groups.where(groups.isin(list(block)), POOLED).to_numpy()
+    for g in pd.unique(label):
+        if g not in block:
+            raise ValueError("a group was not fitted and there are no pooled coefficients")
+        yield np.flatnonzero(label == g), block[g], g == POOLED
+
+
+def _expand(u: np.ndarray, class_map: Sequence[int] | None) -> np.ndarray:
+    if class_map is None:
+        return u
+    m = np.asarray(class_map)
+    return u[..., m] - np.log(np.bincount(m)[m])
 
 
 def predict_shares(
     df: DataFrame, coef: DataFrame, group: str, x: str = "x", class_map: Sequence[int] | None = None,
     offset: str | None = None, out: str = "p",
 ) -> DataFrame:
-    """Plug-in prediction: softmax of X·β_group (+ an array of extra utilities such as trees or alternative terms)."""
-    scored = attach_coefficients(df, coef, group)
-    u = utilities(F.col(x), F.col("b"))
-    if offset:
-        u = F.zip_with(u, F.col(offset), lambda a, c: a + c)
-    scored = scored.withColumn("u", u)
-    final = F.col("u") if class_map is None else expand_classes(F.col("u"), class_map)
-    return scored.withColumn(out, softmax(final)).drop("b")
-
+    """Plug-in prediction: softmax of X·β_group, plus an array of extra utilities (trees, alternative terms).
 
-def chunk_draws(draws: DataFrame, group: str, draw: str, size: int = 32) -> DataFrame:
-    """Gather draw matrices (group, draw, b) into chunks of at most ``size`` consecutive draws; ``draw`` counts from 1."""
-    chunk = F.floor((F.col(draw) - 1) / size)
-    return draws.groupBy(group, chunk.alias("chunk")).agg(F.collect_list("b").alias("bs"))
-
-
-def _resolve_group(df: DataFrame, known: DataFrame, group: str) -> DataFrame:
-    fitted = known.select(group).distinct().withColumn("_fit", F.lit(True))
-    return df.join(fitted, group, "left").withColumn("_grp", F.when(F.col("_fit"), F.col(group)).otherwise(F.lit(POOLED))).drop("_fit")
+    Adds the utilities ``u``, whether the pooled coefficients served the row (its group was not fitted), and the shares.
+    """
+    block = df.sparkSession.sparkContext.broadcast(load_coefficients(coef, group)[0])
+
+    @F.pandas_udf("u array<double>, pooled boolean, p array<double>")
+    def score(xs: pd.Series, groups: pd.Series, extra: pd.Series) -> pd.DataFrame:
+        design = np.vstack(xs.to_numpy())
+        u, pooled, p = [None] * len(xs), np.zeros(len(xs), dtype=bool), [None] * len(xs)
+        for at, b, is_pooled in _by_group(groups, block.value):
+            ug = design[at] @ b[0].T
+            if offset:
+                ug = ug + np.vstack(extra.to_numpy()[at])
+            pg = np_softmax(_expand(ug, class_map))
+            pooled[at] = is_pooled
+            for i, row in enumerate(at):
+                u[row], p[row] = ug[i], pg[i]
+        return pd.DataFrame({"u": u, "pooled": pooled, "p": p})
+
+    scored = df.withColumn("_s", score(F.col(x), F.col(group), F.col(offset) if offset else F.lit(None).cast("array<double>")))
+    return scored.withColumns({"u": F.col("_s.u"), "pooled": F.col("_s.pooled"), out: F.col("_s.p")}).drop("_s")
+
+
+def _chunk_sums(df: DataFrame, blocks: list[dict], kernel: Callable, x: str, group: str, extra: Sequence[Column], size: int) -> DataFrame:
+    """Add ``_sum``: the sum over all draws of an array-valued kernel, one Arrow pass per coefficient block."""
+    def pass_over(shared):
+        @F.pandas_udf("array<double>")
+        def chunk(xs: pd.Series, groups: pd.Series, off: pd.Series, cap: pd.Series) -> pd.Series:
+            design = np.vstack(xs.to_numpy())
+            total = np.zeros((len(xs), size))
+            for at, b, _ in _by_group(groups, shared.value):
+                for lo in range(0, len(b), 8):  # a few draws at a time keep the working array small
+                    u = np.einsum("nk,djk->ndj", design[at], b[lo : lo + 8])
+                    total[at] += kernel(u, off.to_numpy()[at], cap.to_numpy()[at]).sum(axis=1)
+            return pd.Series(list(total))
+
+        return chunk
+
+    sc = df.sparkSession.sparkContext
+    parts = []
+    for i, block in enumerate(blocks):
+        df = df.withColumn(f"_part{i}", pass_over(sc.broadcast(block))(F.col(x), F.col(group), *extra))
+        parts.append(F.col(f"_part{i}"))
+    total = parts[0]
+    for p in parts[1:]:
+        total = F.zip_with(total, p, lambda a, b: a + b)
+    return df.withColumn("_sum", total).drop(*[f"_part{i}" for i in range(len(parts))])
 
 
 def predict_predictive(
     df: DataFrame, draws: DataFrame, key: Sequence[str], group: str, draw: str, n_classes: int, x: str = "x",
-    chunk: int = 32, out: str = "p", class_map: Sequence[int] | None = None, offset: str | None = None,
+    out: str = "p", class_map: Sequence[int] | None = None, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Posterior-predictive shares: softmax averaged over draws (group, draw, b); unseen groups use the pooled draws.
 
-    Draws are processed in chunks inside a row, so a row is emitted once per chunk rather than once per draw, and only
-    class sums are shuffled.
+    A row's average forms inside its own batch, so nothing is shuffled however many draws there are.
     """
-    packed = chunk_draws(draws, group, draw, chunk).withColumnRenamed(group, "_grp")
-    joined = _resolve_group(df, draws, group).join(packed, "_grp")
+    blocks = load_coefficients(draws, group, draw, chunk_bytes)
+    counts = _draw_counts(blocks)
+    none = F.lit(None).cast("double")
+    scored = _chunk_sums(df, blocks, lambda u, off, cap: np_softmax(_expand(u, class_map)), x, group, [none, none], n_classes)
+    n = F.coalesce(F.try_element_at(F.create_map(*counts), F.col(group)), F.lit(_pooled_count(blocks))).cast("long")
+    return scored.withColumn("n_draws", n).select(*key, "n_draws", F.transform("_sum", lambda v: v / F.col("n_draws")).alias(out))
+
+
+def _draw_counts(blocks: list[dict]) -> list[Column]:
+    total: dict[str, int] = {}
+    for blk in blocks:
+        for g, b in blk.items():
+            total[g] = total.get(g, 0) + len(b)
+    return [F.lit(v) for g, n in total.items() for v in (g, n)]
 
-    def one(b: Column) -> Column:
-        u = utilities(F.col(x), b)
-        if offset:
-            u = F.zip_with(u, F.col(offset), lambda a, c: a + c)
-        return softmax(u if class_map is None else expand_classes(u, class_map))
 
-    ps = F.transform(F.col("bs"), one)
-    zero = F.array(*[F.lit(0.0)] * n_classes)
-    part = F.aggregate(ps, zero, lambda s, p: F.zip_with(s, p, lambda a, b: a + b))
-    sums = joined.select(*key, F.size("bs").alias("_n"), part.alias("_p"))
-    agg = sums.groupBy(*key).agg(F.sum("_n").alias("n_draws"), *[F.sum(F.col("_p")[j]).alias(f"_p{j}") for j in range(n_classes)])
-    return agg.select(*key, "n_draws", F.array(*[F.col(f"_p{j}") / F.col("n_draws") for j in range(n_classes)]).alias(out))
+def _pooled_count(blocks: list[dict]) -> int | None:
+    return sum(len(blk[POOLED]) for blk in blocks if POOLED in blk) or None
+
+
+def draw_totals(
+    df: DataFrame, draws: DataFrame, by: str, group: str, draw: str, weight: str, classes: Sequence[str], x: str = "x",
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """Weighted class totals per (by, class, draw): every batch is reduced to its totals before anything is shuffled."""
+    sc = df.sparkSession.sparkContext
+    src = df.select(F.col(by).cast("string").alias("_by"), F.col(group).alias("_g"), F.col(x).alias("_x"), F.col(weight).cast("double").alias("_w"))
+    out, first = None, 0
+    for blk in load_coefficients(draws, group, draw, chunk_bytes):
+        shared = sc.broadcast(blk)
+        base = first
+
+        def totals(batches: Iterator[pd.DataFrame], shared=shared, base=base) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                acc: dict[tuple[str, int], np.ndarray] = {}
+                design, w, label = np.vstack(batch["_x"].to_numpy()) if len(batch) else None, batch["_w"].to_numpy(), batch["_by"].to_numpy()
+                for at, b, _ in _by_group(batch["_g"], shared.value) if len(batch) else ():
+                    for d in range(len(b)):
+                        p = np_softmax(design[at] @ b[d].T) * w[at][:, None]
+                        for k in pd.unique(label[at]):
+                            got = p[label[at] == k].sum(axis=0)
+                            acc[(k, base + d)] = acc.get((k, base + d), 0.0) + got
+                rows = [(k, d, classes[j], float(v)) for (k, d), tot in acc.items() for j, v in enumerate(tot)]
+                yield pd.DataFrame(rows, columns=[by, "draw", "class", "total"])
+
+        part = src.mapInPandas(totals, f"{by} string, draw int, class string, total double")
+        out = part if out is None else out.unionByName(part)
+        first += max(len(b) for b in blk.values())
+    return out.groupBy(by, "class", "draw").agg(F.sum("total").alias("total"))
 
 
 def marginal_draws(group_coef: DataFrame, pooled: DataFrame, cov: str, cls: str, value: str, draws: int, seed: int) -> DataFrame:
@@ -170,19 +294,20 @@ def predict_count(
 
 def predict_count_draws(
     df: DataFrame, draws: DataFrame, key: Sequence[str], group: str, draw: str, offset: str, x: str = "x",
-    cap: str | None = None, chunk: int = 32, out: str = "mu", density: bool = False,
+    cap: str | None = None, out: str = "mu", density: bool = False, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """Posterior-predictive counts: the cap acts on every draw before averaging.  ``draws``: (group, draw, b) with one class."""
-    packed = chunk_draws(draws, group, draw, chunk).withColumnRenamed(group, "_grp")
-    joined = _resolve_group(df, draws, group).join(packed, "_grp")
-    limit = F.col(cap) if cap else None
-    mus = F.transform(
-        F.col("bs"), lambda b: predict_count(dot(F.col(x), F.get(b, F.lit(0))), F.col(offset), cap=limit, density=density)
-    )
-    total = F.aggregate(mus, F.lit(0.0), lambda s, v: s + v)
-    sums = joined.select(*key, F.size("bs").alias("_n"), total.alias("_m"))
-    agg = sums.groupBy(*key).agg(F.sum("_n").alias("n_draws"), F.sum("_m").alias("_m"))
-    return agg.select(*key, "n_draws", (F.col("_m") / F.col("n_draws")).alias(out))
+    """Posterior-predictive counts: the cap acts on every draw's density before averaging.  One class per matrix."""
+    def kernel(u: np.ndarray, off: np.ndarray, top: np.ndarray) -> np.ndarray:
+        rate = np.exp(u)
+        if cap:
+            rate = np.minimum(rate, top.astype(float)[:, None, None])
+        return rate if density else rate * np.exp(off.astype(float))[:, None, None]
+
+    blocks = load_coefficients(draws, group, draw, chunk_bytes)
+    limit = F.col(cap).cast("double") if cap else F.lit(None).cast("double")
+    scored = _chunk_sums(df, blocks, kernel, x, group, [F.col(offset).cast("double"), limit], 1)
+    n = F.coalesce(F.try_element_at(F.create_map(*_draw_counts(blocks)), F.col(group)), F.lit(_pooled_count(blocks))).cast("long")
+    return scored.withColumn("n_draws", n).select(*key, "n_draws", (F.get("_sum", F.lit(0)) / F.col("n_draws")).alias(out))
 
 
 # ---- nested probabilities --------------------------------------------------------------------------------------
@@ -266,9 +391,7 @@ def project_step(
 
     Focal shares of the current state → design → shares → damped blend.  Adds ``delta``, the row's largest change.
     """
-    long = state.unpivot([*by, ix, iy], list(classes), "class", "area")
-    focal = focal_mean(long, by, ix, iy, "class", "area")
-    wide = focal_wide(focal, state, [*by, ix, iy], "class", classes, nodata=False)
+    wide = focal_columns(state, by, ix, iy, classes)
     design = feature_array(wide.withColumn("intercept", F.lit(1.0)), ["intercept", *features, *[f"focal_{c}" for c in classes]])
     scored = predict_shares(design, coef, group)
     blend = {c: F.col(c) * (1 - damp) + F.col("p")[j] * damp for j, c in enumerate(classes)}

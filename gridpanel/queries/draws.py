@@ -327,8 +327,8 @@ def per_draw(t: Tables):
         SELECT grp, class, quantile_cont(t, 0.025) AS est_q025, median(t) AS est_median, quantile_cont(t, 0.975) AS est_q975 FROM tt GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    long = so.explode_classes(per_draw(t), ["grp", "draw", "x1"], "p", CLASSES)
-    return dr.predicted_totals(long, ["grp", "class"], ["draw"], "p", "x1")
+    totals = so.draw_totals(rows(t), draw_matrices(t), "grp", "grp", "draw", "x1", CLASSES)
+    return dr.predicted_totals(totals, ["grp", "class"])
 
 
 @query("g19_solve_intercepts", "fits", dbl="fitted:6", sql="SELECT grp, class, avg(obs) AS fitted FROM fits GROUP BY 1, 2")

@@ -71,7 +71,7 @@ THINNED = """th AS (SELECT chain, iter, cov, class, grp, value * 5 AS beta FROM
         SELECT "row", class, avg(p) AS p, count(*) AS n_draws FROM sd GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    p = so.predict_predictive(rows(t), draw_matrices(t), ["row"], "grp", "draw", 4, chunk=8)
+    p = so.predict_predictive(rows(t), draw_matrices(t), ["row"], "grp", "draw", 4)
     return so.explode_classes(p, ["row", "n_draws"], "p", CLASSES)
 
 
@@ -138,7 +138,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     src = rows(t).withColumn("off", F.log(F.col("x1") + 1)).withColumn("cap", F.lit(1.5))
-    return so.predict_count_draws(src, draw_matrices(t), ["row"], "grp", "draw", "off", cap="cap", chunk=8)
+    one = draw_matrices(t).withColumn("b", F.slice("b", 1, 1))
+    return so.predict_count_draws(src, one, ["row"], "grp", "draw", "off", cap="cap")
 
 
 NEST = {"c0": ["n1"], "c1": ["n1"], "c2": [], "c3": []}
