@@ -26,7 +26,7 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **aggs: Column) -> Dat
     values = df.groupBy(*ks).agg(*[c.alias(n) for n, c in aggs.items()])
     renamed = values.select(*[F.col(k).alias(f"_g_{k}") for k in ks], *aggs)
     cond = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in ks]
-    return df.join(renamed, cond, "left").drop(*[f"_g_{k}" for k in ks], "_all_rows")
+    return df.join(renamed, cond, "left").drop(*[f"_g_{k}" for k in ks], *([] if keys else ks))
 
 
 def running_total(
@@ -49,7 +49,7 @@ def running_total(
     return (
         df.join(offsets, ks + [bucket])
         .withColumn(out, F.sum(value).over(inside) + F.col("_off"))
-        .drop("_off", "_all_rows")
+        .drop("_off", *([] if keys else ks))
     )
 
 
@@ -169,7 +169,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "ra
         F.col("_cum_all").alias(f"{out}_n"),
     )
     src = df.withColumn("_v", F.col(value).cast("double"))
-    return src.join(ranked, ks + ["_v"]).drop("_v", "_all_rows")
+    return src.join(ranked, ks + ["_v"]).drop("_v", *([] if keys else ks))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int = 8, how: str = "inner") -> DataFrame:
