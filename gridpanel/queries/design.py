@@ -139,11 +139,11 @@ def _(t: Tables):
     return sc.support_screen(t.design.withColumn("x9", F.col("x1") * 2), [*COVS, "x9"])
 
 
-SCREENED = """sd AS (SELECT *, x1 * 2 AS x5, CASE WHEN grp = 'g0' THEN 1.0 ELSE x2 END AS x6 FROM design)"""
+SCREENED = """sd AS (SELECT *, x1 * 2 AS x5, CASE WHEN grp = 'g0' THEN 1.0 ELSE x2 * 1.5 END AS x6 FROM design)"""
 
 
 def _screened(t: Tables):
-    return t.design.withColumn("x5", F.col("x1") * 2).withColumn("x6", F.when(F.col("grp") == "g0", 1.0).otherwise(F.col("x2")))
+    return t.design.withColumn("x5", F.col("x1") * 2).withColumn("x6", F.when(F.col("grp") == "g0", 1.0).otherwise(F.col("x2") * 1.5))
 
 
 @query(
