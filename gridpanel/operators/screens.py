@@ -48,8 +48,13 @@ def pair_moments(df: DataFrame, cols: Sequence[str], by: str | None = None) -> D
     names = F.array(*[F.lit(c) for c in cols])
     n = F.col("n")
     cov = F.try_divide(F.col("sij") - F.col("si") * F.col("sj") / n, n - 1)
-    vi = F.try_divide(F.col("sii") - F.col("si") * F.col("si") / n, n - 1)
-    vj = F.try_divide(F.col("sjj") - F.col("sj") * F.col("sj") / n, n - 1)
+
+    def variance(square: str, total: str) -> Column:
+        # a column that is constant inside a group leaves only rounding noise of its squares: that counts as 0
+        v = F.col(square) - F.col(total) * F.col(total) / n
+        return F.try_divide(F.when(v > F.lit(1e-13) * F.col(square), v).otherwise(F.lit(0.0)), n - 1)
+
+    vi, vj = variance("sii", "si"), variance("sjj", "sj")
     out = s.select(
         *([F.col("_g").alias(by)] if by else []), F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"),
         "n", vi.alias("var_a"), vj.alias("var_b"), cov.alias("cov"),
