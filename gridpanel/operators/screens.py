@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpanel.plans.skew import group_quantiles, with_group_values
+from gridpanel.plans.skew import group_quantiles, value_counts, with_group_values
+from gridpanel.session import cut_lineage
 
 
 # ---- second moments --------------------------------------------------------------------------------------------
@@ -271,8 +272,12 @@ def separation_screen(
     covs = F.explode(F.array(*[F.struct(F.lit(c).alias("cov"), F.col(c).cast("double").alias("x")) for c in cols]))
     long = x.join(flags, row).select(group, cls, "side", covs.alias("c")).select(group, cls, "side", "c.cov", "c.x")
     keys = [group, cls, "cov", "side"]
-    ranges = group_quantiles(long, keys, "x", {"lo": 0.05, "hi": 0.95})
-    spread = long.groupBy(*keys).agg(F.var_samp("x").alias("v"))
+    # row × class × covariate is the costly table: it is reduced to value counts once, for ranges and variances
+    counts = cut_lineage(value_counts(long, keys, "x"))
+    ranges = group_quantiles(long, keys, "x", {"lo": 0.05, "hi": 0.95}, counts=counts)
+    n, s1 = F.sum("_n"), F.sum(F.col("_n") * F.col("_v"))
+    square = F.sum(F.col("_n") * F.col("_v") * F.col("_v"))
+    spread = counts.groupBy(*keys).agg(F.try_divide(F.greatest(square - s1 * s1 / n, F.lit(0.0)), n - 1).alias("v"))
     both = ranges.join(spread, keys)
 
     def side(name: str, c: str) -> Column:

@@ -79,12 +79,17 @@ def take_by_hash(
     return ranked.withColumn(out, F.col("_r") <= quota).drop("_h", "_u", "_b", "_r", "n")
 
 
-def _value_counts(df: DataFrame, ks: list[str], value: str, buckets: int) -> DataFrame:
-    """Distinct values of each key with their counts, cut into ordered buckets of similar size."""
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values of each key (``_v``) with their counts (``_n``).
+
+    An operator that needs several statistics of a costly table can checkpoint this and hand it to ``group_quantiles``.
+    """
     v = F.col(value).cast("double")
-    counts = (
-        df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*ks, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _bucketed_counts(counts: DataFrame, ks: list[str], buckets: int) -> DataFrame:
+    """Cut the distinct values of each key into ordered buckets of similar size."""
     if buckets & (buckets - 1):
         raise ValueError("the number of buckets must be a power of two")
     probs = [i / buckets for i in range(1, buckets)]
@@ -106,19 +111,21 @@ def group_quantiles(
     probs: dict[str, float],
     bounded: bool = False,
     buckets: int = 32,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles (type 7) per key: one column per entry of ``probs``.
 
     ``bounded=True`` says that a key holds few rows (for instance thinned draws of one parameter) and uses the
     built-in ``percentile``, which keeps a key's distinct values in memory.  Otherwise each key is reduced to
-    value counts, cut into buckets, and only the buckets that hold a wanted rank are sorted.
+    value counts, cut into buckets, and only the buckets that hold a wanted rank are sorted.  ``counts`` passes ready value
+    counts of the same keys.
     """
     df, ks = keyed(df, keys)
     if bounded:
         v = F.col(value).cast("double")
         out = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*ks)
         return out.agg(*[F.percentile(v, F.lit(p)).alias(n) for n, p in probs.items()]).drop("_all_rows")
-    counts = _value_counts(df, ks, value, buckets)
+    counts = _bucketed_counts(value_counts(df, ks, value) if counts is None else counts, ks, buckets)
     sums = counts.groupBy(*ks, "_b").agg(F.sum("_n").alias("_s"))
     before = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
@@ -160,7 +167,7 @@ def group_quantiles(
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", buckets: int = 32) -> DataFrame:
     """Add the 1-based rank of ``value`` within the key (ties share their mean rank) and ``<out>_n``, the key size."""
     df, ks = keyed(df, keys)
-    counts = _value_counts(df, ks, value, buckets)
+    counts = _bucketed_counts(value_counts(df, ks, value), ks, buckets)
     ranked = running_total(counts, ks, "_b", ["_v"], "_n", "_cum")
     ranked = ranked.select(
         *ks,
