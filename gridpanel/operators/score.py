@@ -157,7 +157,11 @@ def predict_shares(
     """Plug-in prediction: softmax of X·β_group, plus an array of extra utilities (trees, alternative terms).
 
     Adds the utilities ``u``, whether the pooled coefficients served the row (its group was not fitted), and the shares.
+    A coefficient table above ``CHUNK_BYTES`` is joined on the group instead of being shipped whole.
     """
+    size = coef.agg(F.sum(F.size("b") * F.size(F.get("b", F.lit(0))) * 8).alias("n")).first()["n"] or 0
+    if size > CHUNK_BYTES:
+        return _predict_joined(df, coef, group, x, class_map, offset, out)
     block = df.sparkSession.sparkContext.broadcast(load_coefficients(coef, group)[0])
 
     @F.pandas_udf("u array<double>, pooled boolean, p array<double>")
@@ -178,6 +182,21 @@ def predict_shares(
     return scored.withColumns({"u": F.col("_s.u"), "pooled": F.col("_s.pooled"), out: F.col("_s.p")}).drop("_s")
 
 
+def _predict_joined(
+    df: DataFrame, coef: DataFrame, group: str, x: str, class_map: Sequence[int] | None, offset: str | None, out: str
+) -> DataFrame:
+    """Plug-in prediction by an equi join on the group and row expressions; only the pooled matrix is one row."""
+    pooled = coef.where(F.col(group) == POOLED).select(F.col("b").alias("_bp"), F.lit(1).alias("_one"))
+    joined = df.join(coef.where(F.col(group) != POOLED).select(group, "b"), group, "left")
+    joined = joined.withColumn("_one", F.lit(1)).join(pooled, "_one", "left").withColumn("pooled", F.col("b").isNull())
+    u = utilities(F.col(x), F.coalesce("b", "_bp"))
+    if offset:
+        u = F.zip_with(u, F.col(offset), lambda a, c: a + c)
+    joined = joined.withColumn("u", u)
+    final = F.col("u") if class_map is None else expand_classes(F.col("u"), class_map)
+    return joined.withColumn(out, softmax(final)).select(*df.columns, "u", "pooled", out)
+
+
 def _chunk_sums(df: DataFrame, blocks: list[dict], kernel: Callable, x: str, group: str, extra: Sequence[Column], size: int) -> DataFrame:
     """Add ``_sum``: the sum over all draws of an array-valued kernel, one Arrow pass per coefficient block."""
     def pass_over(shared):

@@ -300,6 +300,17 @@ def test_zero_coefficients_shift_and_unseen(spark):
     assert np.allclose([wide[0] + wide[1], wide[2], wide[3]], base[0]["p"])
 
 
+def test_large_coefficient_tables_are_joined(spark, monkeypatch):
+    x = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "new", [1.0, -1.0])], "row int, grp string, x array<double>")
+    m = np.array([[0.3, 1.0], [0.1, -0.5], [0.0, 0.2]])
+    coef = coef_rows(spark, {"a": m, so.POOLED: -m})
+    small = so.predict_shares(x, coef, "grp", class_map=[0, 0, 1, 2]).orderBy("row").collect()
+    monkeypatch.setattr(so, "CHUNK_BYTES", 8)
+    large = so.predict_shares(x, coef, "grp", class_map=[0, 0, 1, 2]).orderBy("row").collect()
+    for a, b in zip(small, large):
+        assert np.allclose(a["p"], b["p"]) and np.allclose(a["u"], b["u"]) and a["pooled"] == b["pooled"]
+
+
 def test_predictive_chunks_agree(spark):
     rng = np.random.default_rng(4)
     x = spark.createDataFrame([(i, f"g{i % 3}", [1.0, float(v)]) for i, v in enumerate(rng.normal(size=30))], "row int, grp string, x array<double>")
