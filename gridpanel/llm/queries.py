@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import url_filter
+from gridpanel.llm import exact_dedup, mixing, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,3 +36,19 @@ p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM (SELECT p.*, r.rule, r.action,
     row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, length(rh) DESC) AS k
     FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) WHERE k = 1"""
+
+
+@register
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_exact_dedup"] = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC) = 1 AS kept, sha256(t) AS text_sha256 FROM d"""
