@@ -3,7 +3,7 @@
 Documents are split by their byte length and then by successive digits of their bytes, until a group is a singleton or its texts have ended;
 texts in one ended group are equal byte by byte, so no digest decides. A digit is a run of bytes whose width grows eightfold from round to
 round, so that the rounds are logarithmic in the longest text. Each round counts (group, digit) with map-side aggregation and hands the new
-group down by a join that adaptive plans split when a group is hot; only documents in unfinished groups move again.
+group down by a merge join, whatever the size (adaptive plans split it where a group is hot); only documents in unfinished groups move again.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def exact_groups(docs: DataFrame, carry: bool = False) -> DataFrame:
     shared = rows.groupBy("size", "digit").agg(F.count("*").alias("n")).where("n > 1").select("size", "digit", F.monotonically_increasing_id().alias("node"))
     names = ["doc_id", "text_sha256"] + (["row"] if carry else [])
     # ids of nodes and rows are fixed by writing them
-    rows = rows.join(written(shared), ["size", "digit"], "left")
+    rows = rows.join(written(shared).hint("merge"), ["size", "digit"], "left")
     state = written(rows.select(*names, "size", "node", F.when(F.col("node").isNotNull(), F.col("text")).alias("text"),
                                 F.monotonically_increasing_id().alias("tag")))
     alone = F.col("node").isNull()
@@ -47,7 +47,7 @@ def exact_groups(docs: DataFrame, carry: bool = False) -> DataFrame:
         rows = state.withColumn("digit", digit)
         groups = rows.groupBy("node", "digit").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "tag")).alias("top"))
         groups = written(groups.select("node", "digit", "n", "top", F.monotonically_increasing_id().alias("child")))
-        joined = rows.join(groups, ["node", "digit"])
+        joined = rows.join(groups.hint("merge"), ["node", "digit"])
         still = (F.col("n") > 1) & (F.col("size") > end)
         state = written(joined.select(*names, "size", "tag", "n", "top", F.when(still, F.col("child")).alias("node"),
                                       F.when(still, F.col("text")).alias("text")))
