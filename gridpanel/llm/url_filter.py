@@ -53,10 +53,10 @@ class Bloom:
         return out
 
 
-def build_bloom(keys: DataFrame, count: int, rate: float, seed: int) -> Bloom:
-    """Encode the column ``key`` of ``keys`` (``count`` rows) with false positives at ``rate``; words are folded on the executors."""
-    hashes = max(1, round(math.log2(1 / rate)))
-    bits = 64 * max(1, math.ceil(max(1, count) * hashes / math.log(2) / 64))
+def build_bloom(keys: DataFrame, count: int, rate: float, seed: int, bits: int = 0) -> Bloom:
+    """Encode the column ``key`` of ``keys`` (``count`` rows) with false positives at ``rate``, or one hash over ``bits``; executors fold the words."""
+    hashes = 1 if bits else max(1, round(math.log2(1 / rate)))
+    bits = 64 * max(1, math.ceil((bits or max(1, count) * hashes / math.log(2)) / 64))
     if bits > MAX_BITS:
         raise ValueError(f"{count} listed keys need {bits} bits; split the list by top-level domain")
     empty = Bloom((), bits, hashes, seed)
