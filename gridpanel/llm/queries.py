@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, mixing, url_filter
+from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, mixing, token_counts, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -62,3 +63,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
