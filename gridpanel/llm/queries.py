@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, mixing, token_counts, url_filter
+from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, token_counts, toxicity, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -68,3 +68,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
