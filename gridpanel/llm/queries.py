@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, token_counts, toxicity, url_filter
+from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, token_counts, toxicity, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,3 +78,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
