@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, token_counts, toxicity, url_filter
+from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, token_counts, toxicity, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -83,3 +83,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(*(table(spark, sf_dir, name) for name in ("documents", "labels", "pages")))
