@@ -219,7 +219,7 @@ def fit(docs: DataFrame) -> Model:
     sample = bounded_sample(rows, ["g"], SAMPLE_ROWS, 3).select("text")
     counts = sample.mapInPandas(_evidence, "what int, x long, y long, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).collect()  # FEATURES bounds it
     labels = len(KINDS) + 1
-    table, chain, skip = np.zeros((2, FEATURES, labels)), np.zeros((labels, labels)), np.ones(2)
+    table, chain, skip = np.zeros((2, FEATURES, labels)), np.zeros((labels, labels)), np.array([1.0, 20.0])  # equal strings mostly mean the same
     for what, x, y, n in counts:
         if what < 2:
             table[what, x, y] += n
