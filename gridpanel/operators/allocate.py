@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gridpanel.functions.scalar import logistic
 from gridpanel.operators.joins import nearest_vintage
-from gridpanel.plans.skew import group_quantiles, with_group_values
+from gridpanel.plans.skew import group_quantiles, join_null_safe, with_group_values
 from gridpanel.session import cut_lineage
 
 
@@ -144,14 +144,14 @@ def check_typed(df: DataFrame, cls: str, area: str, typed: Sequence[str], residu
 RULE_COLUMNS = ("order", "action", "from_class", "to")
 
 
-def rules_from_table(table: DataFrame, limit: int = 1000) -> list[dict]:
-    """Check a project's rules table and read it in order (a rules table is a short hand-written list)."""
+def rules_from_table(table: DataFrame) -> list[dict]:
+    """Check a project's rules table and read it in order (a hand-written list: every rule is a step of the plan)."""
     missing = [c for c in RULE_COLUMNS if c not in table.columns]
     if missing:
         raise ValueError(f"rules table lacks columns {missing}")
-    rows = table.select(*RULE_COLUMNS).orderBy("order").take(limit + 1)
-    if not rows or len(rows) > limit:
-        raise ValueError(f"a rules table holds between 1 and {limit} rules")
+    rows = table.select(*RULE_COLUMNS).orderBy("order").collect()
+    if not rows:
+        raise ValueError("the rules table is empty")
     bad = {r["action"] for r in rows} - {"rename", "split"}
     if bad:
         raise ValueError(f"unknown actions {sorted(bad)}")
@@ -190,7 +190,14 @@ def rule_transitions(classes: DataFrame, rules: Sequence[dict], shares: DataFram
             .withColumn("_one", F.lit(1)).join(mean, "_one", "left")
         )
         same = F.array(F.struct(F.col("target").alias("t"), F.lit(1.0).alias("s")))
-        parts = F.when(hit, F.coalesce("_pe", "_pc", "_pm")).otherwise(same)
+        found = F.coalesce("_pe", "_pc", F.when(F.size("_pm") > 0, F.col("_pm")))
+        total = F.aggregate(found, F.lit(0.0), lambda a, x: a + x["s"])
+        checked = (
+            F.when(found.isNull(), F.raise_error(F.lit(f"no shares for group {rule['to']}")))
+            .when(F.abs(total - 1) > 1e-6, F.raise_error(F.lit(f"the shares of group {rule['to']} do not sum to 1")))
+            .otherwise(found)
+        )
+        parts = F.when(hit, checked).otherwise(same)
         state = state.select("geo", "class", "factor", F.explode(parts).alias("_x")).select(
             "geo", "class", F.col("_x.t").alias("target"), (F.col("factor") * F.col("_x.s")).alias("factor")
         )
@@ -220,7 +227,7 @@ def zone_flows(obs: DataFrame, targets: DataFrame, zone: str, cls: str, area: st
     """
     o = obs.groupBy(zone, cls).agg(F.sum(area).alias("obs"))
     t = targets.groupBy(zone, cls).agg(F.sum(area).alias("tgt"))
-    z = o.join(t, [zone, cls], "full").fillna(0.0, ["obs", "tgt"])
+    z = o.unionByName(t, allowMissingColumns=True).groupBy(zone, cls).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("obs", "tgt")])
     z = with_group_values(z, [zone], _to=F.sum("obs"), _tt=F.sum("tgt")).where(F.col("_to") > 0)
     goal = F.when(F.col("_tt") > 0, F.col("tgt") * F.col("_to") / F.nullif(F.col("_tt"), F.lit(0.0))).otherwise(F.col("obs"))
     z = z.withColumn("tgt_s", goal)
@@ -232,7 +239,7 @@ def zone_flows(obs: DataFrame, targets: DataFrame, zone: str, cls: str, area: st
     take = z.where((F.col("deficit") > 0) & (F.col("_d") > 0)).select(
         zone, F.col(cls).alias("to_class"), (F.col("deficit") / F.col("_d")).alias("_part")
     )
-    move = give.join(take, zone).select(zone, "from_class", "to_class", (F.col("surplus") * F.col("_part")).alias("value"))
+    move = join_null_safe(give, take, [zone]).select(zone, "from_class", "to_class", (F.col("surplus") * F.col("_part")).alias("value"))
     flows = stay.unionByName(move).where(F.col("value") > 0)
     total = F.sum("value").over(Window.partitionBy(zone, "from_class"))
     return flows.withColumn("share", F.col("value") / total)
@@ -241,12 +248,15 @@ def zone_flows(obs: DataFrame, targets: DataFrame, zone: str, cls: str, area: st
 def rake_to_targets(
     obs: DataFrame, targets: DataFrame, classes: Sequence[str], pixel: str, zone: str, cls: str, area: str
 ) -> DataFrame:
-    """Rake pixel areas to zone targets for the named classes; pixel totals stay, other classes pass through."""
+    """Rake pixel areas to zone targets for the named classes; pixel totals stay, other classes pass through.
+
+    Pixels without a zone are a zone of their own: without targets for it they keep their areas.
+    """
     inside = F.col(cls).isin(*classes)
     work = obs.where(inside)
     flows = zone_flows(work, targets.where(inside), zone, cls, area).select(zone, F.col("from_class").alias(cls), "to_class", "share")
     pix = work.groupBy(pixel, zone, cls).agg(F.sum(area).alias(area))
-    raked = pix.join(flows, [zone, cls]).select(
+    raked = join_null_safe(pix, flows, [zone, cls]).select(
         pixel, zone, F.col("to_class").alias(cls), (F.col(area) * F.col("share")).alias(area)
     )
     raked = raked.groupBy(pixel, zone, cls).agg(F.sum(area).alias(area))

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,14 +144,30 @@ def _geyer(rho: Column) -> Column:
     return F.aggregate(pairs, start, step)
 
 
-def _multi_chain_ess(draws: DataFrame, by: Sequence[str], chain: str, order: str, value: str, max_lag: int) -> DataFrame:
-    acov = autocovariance(draws, [*by, chain], order, value, max_lag)
+def _all_lags(draws: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Autocovariance of every chain at all its lags by fast Fourier transform; one chain is bounded by its iterations."""
+    def transform(part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values(order)[value].to_numpy(float)
+        n, x = len(x), x - x.mean()
+        f = np.fft.rfft(x, 1 << (2 * n - 1).bit_length())
+        acov = np.fft.irfft(f * f.conj())[:n] / n
+        return part[list(keys)].head(1).assign(n=n, acov=[acov])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in draws.select(*keys).schema)
+    slim = draws.select(*keys, order, value).where(F.col(value).isNotNull())
+    return slim.groupBy(*keys).applyInPandas(transform, f"{fields}, n bigint, acov array<double>")
+
+
+def _multi_chain_ess(draws: DataFrame, by: Sequence[str], chain: str, order: str, value: str) -> DataFrame:
+    series = _all_lags(draws, [*by, chain], order, value)
     means = draws.groupBy(*by, chain).agg(F.avg(value).alias("_m"))
     between = means.groupBy(*by).agg(F.var_samp("_m").alias("_vm"), F.count(F.lit(1)).alias("_c"))
-    per_lag = acov.groupBy(*by, "lag").agg(F.avg("acov").alias("_a"), F.avg("n").alias("_n"), F.sum("n").alias("_s"))
-    arr = per_lag.groupBy(*by).agg(
-        F.max("_n").alias("_n"), F.max("_s").alias("_s"), F.array_sort(F.collect_list(F.struct("lag", "_a"))).alias("_x")
-    ).join(between, list(by))
+    # the chains of a parameter meet in one row: as many arrays as chains; a short chain has no covariance at a long lag
+    arr = series.groupBy(*by).agg(F.avg("n").alias("_n"), F.sum("n").alias("_s"), F.collect_list("acov").alias("_l"), F.max("n").alias("_top"))
+    arr = arr.join(between, list(by))
+    total = lambda k: F.aggregate("_l", F.lit(0.0), lambda s, c: s + F.coalesce(F.get(c, k), F.lit(0.0)))
+    lags = F.sequence(F.lit(0), (F.col("_top") - 1).cast("int"))
+    arr = arr.withColumn("_x", F.transform(lags, lambda k: F.struct(k.alias("lag"), (total(k) / F.size("_l")).alias("_a"))))
     n = F.col("_n")
     w = F.get(F.col("_x"), F.lit(0))["_a"] * n / (n - 1)
     plus = w * (n - 1) / n + F.when(F.col("_c") > 1, F.col("_vm")).otherwise(0.0)
@@ -165,18 +182,18 @@ def _multi_chain_ess(draws: DataFrame, by: Sequence[str], chain: str, order: str
 
 
 def ess_bulk(
-    draws: DataFrame, by: Sequence[str], chain: str = "chain", order: str = "iter", value: str = "value", max_lag: int = 100
+    draws: DataFrame, by: Sequence[str], chain: str = "chain", order: str = "iter", value: str = "value"
 ) -> DataFrame:
     """Bulk effective size of rank-normalised split chains.
 
-    ``lag_limited`` is true when the pair sums were still positive at ``max_lag``; then raise the limit.
+    All lags of a chain count.  ``lag_limited`` is true when the pair sums were still positive at the last lag: the chains are too short.
     """
     halves = rank_normalise(split_chains(draws, by, chain, order), by, value)
-    return _multi_chain_ess(halves, by, chain, order, "z", max_lag)
+    return _multi_chain_ess(halves, by, chain, order, "z")
 
 
 def ess_tail(
-    draws: DataFrame, by: Sequence[str], chain: str = "chain", order: str = "iter", value: str = "value", max_lag: int = 100
+    draws: DataFrame, by: Sequence[str], chain: str = "chain", order: str = "iter", value: str = "value"
 ) -> DataFrame:
     """Tail effective size: the smaller one of the 5 % and 95 % indicator series on split chains."""
     halves = split_chains(draws, by, chain, order)
@@ -185,7 +202,7 @@ def ess_tail(
     sides = []
     for c in ("_lo", "_hi"):
         ind = flagged.withColumn("_i", (F.col(value) <= F.col(c)).cast("double")).select(*by, chain, order, "_i")
-        sides.append(_multi_chain_ess(ind, by, chain, order, "_i", max_lag).withColumn("_side", F.lit(c)))
+        sides.append(_multi_chain_ess(ind, by, chain, order, "_i").withColumn("_side", F.lit(c)))
     both = sides[0].unionByName(sides[1])
     return both.groupBy(*by).agg(F.min("ess").alias("ess"), F.max("lag_limited").alias("lag_limited"))
 

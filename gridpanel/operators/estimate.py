@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -120,7 +122,8 @@ def partial_pooling(df: DataFrame, group: str, y: str, x: str | None = None) ->
     """Per-group mean (or slope on ``x``), shrunk to the precision-weighted pooled value.
 
     Groups are reduced to sufficient statistics in one aggregate.  The between-group variance is the moment estimate of
-    DerSimonian and Laird; a group's weight on its own estimate is τ² / (τ² + se²).
+    DerSimonian and Laird; a group's weight on its own estimate is τ² / (τ² + se²).  A group that says nothing about its own
+    error (one row, no variance, two rows for a slope) takes the pooled value.
     """
     yy = F.col(y)
     if x is None:
@@ -132,22 +135,23 @@ def partial_pooling(df: DataFrame, group: str, y: str, x: str | None = None) ->
             F.count(yy).alias("n"), F.covar_samp(xx, yy).alias("_c"), F.var_samp(xx).alias("_vx"), F.var_samp(yy).alias("_vy")
         )
         slope = F.try_divide("_c", "_vx")
-        resid = (F.col("_vy") - slope * F.col("_c")) * (F.col("n") - 1) / (F.col("n") - 2)
-        s = s.where(F.col("n") > 2).withColumn("estimate", slope)
+        resid = F.try_divide((F.col("_vy") - slope * F.col("_c")) * (F.col("n") - 1), F.when(F.col("n") > 2, F.col("n") - 2))
+        s = s.withColumn("estimate", slope)
         s = s.withColumn("se2", F.try_divide(resid, F.col("_vx") * (F.col("n") - 1))).drop("_c", "_vx", "_vy")
-    s = s.where(F.col("se2") > 0).withColumn("_w", 1 / F.col("se2"))
+    s = s.withColumn("_w", F.when(F.col("se2") > 0, 1 / F.col("se2")))
     s = with_group_values(
         s, [], _sw=F.sum("_w"), _sw2=F.sum(F.col("_w") * F.col("_w")), _swe=F.sum(F.col("_w") * F.col("estimate")),
-        _swee=F.sum(F.col("_w") * F.col("estimate") * F.col("estimate")), _k=F.count(F.lit(1)),
+        _swee=F.sum(F.col("_w") * F.col("estimate") * F.col("estimate")), _k=F.count("_w"),
     )
     q = F.col("_swee") - F.col("_swe") * F.col("_swe") / F.col("_sw")
     tau2 = F.greatest(F.try_divide(q - (F.col("_k") - 1), F.col("_sw") - F.col("_sw2") / F.col("_sw")), F.lit(0.0))
-    s = s.withColumn("tau2", F.coalesce(tau2, F.lit(0.0))).withColumn("_w2", 1 / (F.col("se2") + F.col("tau2")))
+    s = s.withColumn("tau2", F.coalesce(tau2, F.lit(0.0))).withColumn("_w2", F.when(F.col("_w").isNotNull(), 1 / (F.col("se2") + F.col("tau2"))))
     s = with_group_values(s, [], _pw=F.sum("_w2"), _pe=F.sum(F.col("_w2") * F.col("estimate")))
     pooled = F.col("_pe") / F.col("_pw")
     own = F.try_divide(F.col("tau2"), F.col("tau2") + F.col("se2"))
     return s.select(
-        group, "n", "estimate", "se2", "tau2", pooled.alias("pooled"), (own * F.col("estimate") + (1 - own) * pooled).alias("shrunk")
+        group, "n", "estimate", "se2", "tau2", pooled.alias("pooled"), 
+        F.when(F.col("_w").isNull(), pooled).otherwise(own * F.col("estimate") + (1 - own) * pooled).alias("shrunk"),
     )
 
 
@@ -195,9 +199,8 @@ def fit_nested(
 # ---- replicate draws -------------------------------------------------------------------------------------------
 
 
-# Cumulative probabilities of a Poisson variable with mean 1, from 0 to 6.
-POISSON_CUM = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-               0.9994058151824183, 0.9999167588507119)
+# Cumulative probabilities of a Poisson variable with mean 1, as far as a 52-bit uniform can tell them from 1.
+POISSON_CUM = [c for c in itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(20)) if c < 1 - 2.0**-53]
 
 
 def poisson_weight(seed: int, *cols: str) -> Column:
@@ -251,11 +254,12 @@ def _newton_step(a: pd.Series, g: pd.Series, h: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def solve_intercepts(df: DataFrame, keys: Sequence[str], u: str, y: str, n_classes: int, iterations: int = 12) -> DataFrame:
+def solve_intercepts(df: DataFrame, keys: Sequence[str], u: str, y: str, n_classes: int, iterations: int = 60, tolerance: float = 1e-10) -> DataFrame:
     """Class intercepts per key given slope utilities (arrays ``u`` and ``y`` per row); the last class is the baseline.
 
     Each Newton iteration sums gradient and Hessian over rows by partial aggregation; only the small per-key systems are
-    solved one by one, and the intercept table is checkpointed between iterations.
+    solved one by one, and the intercept table is checkpointed between iterations.  Iterations end when no intercept moves by more
+    than ``tolerance``; running out of them is an error.
     """
     j = n_classes
     state = df.select(*keys).distinct().withColumn("a", F.array(*[F.lit(0.0)] * j))
@@ -272,6 +276,11 @@ def solve_intercepts(df: DataFrame, keys: Sequence[str], u: str, y: str, n_class
         sums = rows.groupBy(*keys, "a").agg(*grad, *hess)
         g = F.array(*[F.col(f"_g{i}") for i in range(j - 1)])
         h = F.array(*[F.col(f"_h{min(i, k)}_{max(i, k)}") for i in range(j - 1) for k in range(j - 1)])
-        state = cut_lineage(sums.select(*keys, _newton_step("a", g, h).alias("a")))
-    return state
+        moved = sums.select(*keys, F.col("a").alias("_old"), _newton_step("a", g, h).alias("a"))
+        longest = F.array_max(F.zip_with("a", "_old", lambda s, t: F.abs(s - t)))
+        moved = cut_lineage(moved.select(*keys, "a", longest.alias("_d")))
+        state, step = moved.drop("_d"), moved.agg(F.max("_d")).first()[0]
+        if step is None or step <= tolerance:
+            return state
+    raise RuntimeError(f"intercepts still move by {step} after {iterations} iterations")
 

@@ -62,7 +62,7 @@ def with_halo(df: DataFrame, by: Sequence[str], ix: str, iy: str, reach: int, si
     per neighbour.
     """
     def tiles(c: str) -> Column:
-        return F.array_distinct(F.array(F.floor((F.col(c) - reach) / side), F.floor(F.col(c) / side), F.floor((F.col(c) + reach) / side)))
+        return F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))
 
     out = df.withColumn("_tx", F.explode(tiles(ix))).withColumn("_ty", F.explode(tiles(iy)))
     return out.repartition(*by, "_tx", "_ty")

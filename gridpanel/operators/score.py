@@ -189,7 +189,8 @@ def _predict_joined(
     pooled = coef.where(F.col(group) == POOLED).select(F.col("b").alias("_bp"), F.lit(1).alias("_one"))
     joined = df.join(coef.where(F.col(group) != POOLED).select(group, "b"), group, "left")
     joined = joined.withColumn("_one", F.lit(1)).join(pooled, "_one", "left").withColumn("pooled", F.col("b").isNull())
-    u = utilities(F.col(x), F.coalesce("b", "_bp"))
+    missing = F.raise_error(F.lit("a group was not fitted and there are no pooled coefficients"))
+    u = utilities(F.col(x), F.coalesce(F.col("b"), F.col("_bp"), missing))
     if offset:
         u = F.zip_with(u, F.col(offset), lambda a, c: a + c)
     joined = joined.withColumn("u", u)

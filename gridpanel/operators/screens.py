@@ -208,7 +208,7 @@ def identifiability_mask(
 
 
 def group_collinearity(
-    df: DataFrame, group: str, cols: Sequence[str], limit: float = 0.95, min_share: float = 0.25, global_share: float = 0.75
+    df: DataFrame, group: str, cols: Sequence[str], limit: float = 0.85, min_share: float = 0.5, global_share: float = 0.75
 ) -> DataFrame:
     """Pairs that are collinear in many groups: dropped everywhere when widespread, else masked where they occur.
 
@@ -259,7 +259,7 @@ def separation_screen(
     """Covariates whose 5–95 % range where a class is present does not meet the range of the rest.
 
     ``x`` is wide (row, group, covariates), ``y`` long (row, class, value) with zeros.  A row may be on both sides.
-    ``overlap`` is the overlap of the two ranges relative to the narrower one.
+    ``overlap`` is the overlap of the two ranges relative to their union.
     """
     row_total = y.groupBy(row).agg(F.sum(value).alias("_t"))
     level = row_total.agg((F.avg("_t") * 0.01).alias("_thr")).withColumn("_one", F.lit(1))
@@ -293,8 +293,8 @@ def separation_screen(
     bounded = ((F.col("hi_b") < 1e-3) & (F.col("hi_1") > 0.05)) | ((F.col("hi_1") < 1e-3) & (F.col("hi_b") > 0.05))
     one_sided = F.col("hi_1").isNull() | F.col("hi_b").isNull()
     meet = F.least("hi_1", "hi_b") - F.greatest("lo_1", "lo_b")
-    narrow = F.least(F.col("hi_1") - F.col("lo_1"), F.col("hi_b") - F.col("lo_b"))
-    overlap = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(meet, narrow), F.lit(0.0)))
+    union = F.greatest("hi_1", "hi_b") - F.least("lo_1", "lo_b") + 1e-9
+    overlap = F.when(one_sided, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), meet / union))
     flagged = F.when(one_sided, F.lit(True)).otherwise(disjoint | low_var | bounded)
     return out.select(group, cls, "cov", "lo_1", "hi_1", "lo_b", "hi_b", overlap.alias("overlap"), flagged.alias("flagged"))
 

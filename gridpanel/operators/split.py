@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridpanel.operators.focal import buffer_ring, tile_key
 from gridpanel.plans.skew import hash_bucket, hash_order, running_total, take_by_hash, with_group_values
+from gridpanel.session import cut_lineage
 
 
 def split_random(df: DataFrame, ids: Sequence[str], frac: float, seed: int, out: str = "test") -> DataFrame:
@@ -39,15 +40,26 @@ def choose_blocks(
 ) -> DataFrame:
     """Whole tiles in hash order for a block hold-out of about ``target`` rows.
 
-    A tile is refused when the running total of all tiles up to it would leave one of its groups below ``min_train`` rows.
-    Refused tiles still count in that running total: the guard is stricter than a sequential one and never strands a
-    group.  Accepted tiles are taken until the target is reached.  Returns one row per chosen tile.
+    A tile is refused when it and the tiles accepted before it would leave one of its groups below ``min_train`` rows.  Accepted
+    tiles are taken until the target is reached.  Returns one row per chosen tile.
+
+    The sequential rule is found as a fixpoint: running totals over the tiles accepted so far say which tiles fit, and this
+    repeats until the accepted set stays; every round settles at least one more tile, and mostly all at once.
     """
     tiles = cells.withColumn("tile", tile_key(ix, iy, side)).groupBy("tile", group).agg(F.count(F.lit(1)).alias("_n"))
     tiles = tiles.withColumn("_h", hash_order(seed, "tile")).withColumn("_b", hash_bucket("_h", 256))
-    run = running_total(tiles, [group], "_b", ["_h", "tile"], "_n", "_cum")
-    ok = F.max((F.col("_cum_all") - F.col("_cum") < min_train).cast("int")) == 0
-    good = run.groupBy("tile", "_h", "_b").agg(ok.alias("_ok"), F.sum("_n").alias("_rows")).where(F.col("_ok"))
+    tiles = cut_lineage(with_group_values(tiles, [group], _all=F.sum("_n")).withColumn("_use", F.lit(True)))
+    while True:
+        used = tiles.withColumn("_m", F.when(F.col("_use"), F.col("_n")).otherwise(0))
+        run = running_total(used, [group], "_b", ["_h", "tile"], "_m", "_cum")
+        left = F.col("_all") - (F.col("_cum") - F.col("_m")) - F.col("_n")
+        fits = run.groupBy("tile", "_h", "_b").agg(F.min(left >= min_train).alias("_fits"), F.sum("_n").alias("_rows"))
+        fits = cut_lineage(fits)
+        after = tiles.join(fits.select("tile", "_fits"), "tile")
+        if after.where(F.col("_fits") != F.col("_use")).isEmpty():
+            break
+        tiles = cut_lineage(after.withColumn("_use", F.col("_fits")).drop("_fits"))
+    good = fits.where(F.col("_fits"))
     taken = running_total(good, [], "_b", ["_h", "tile"], "_rows", "_cum")
     return taken.where(F.col("_cum") - F.col("_rows") < target).select("tile", F.col("_rows").alias("n_rows"))
 

@@ -29,6 +29,13 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **aggs: Column) -> Dat
     return df.join(renamed, cond, "left").drop(*[f"_g_{k}" for k in ks], *([] if keys else ks))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys meet: rows of a null group are rows like any other."""
+    names = {k: f"_r_{k}" for k in keys}
+    cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right.withColumnsRenamed(names), cond, how).drop(*names.values())
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str
 ) -> DataFrame:
@@ -47,7 +54,7 @@ def running_total(
     )
     inside = Window.partitionBy(*ks, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.join(offsets, ks + [bucket])
+        join_null_safe(df, offsets, [*ks, bucket])
         .withColumn(out, F.sum(value).over(inside) + F.col("_off"))
         .drop("_off", *([] if keys else ks))
     )
@@ -94,7 +101,7 @@ def _bucketed_counts(counts: DataFrame, ks: list[str], buckets: int) -> DataFram
         raise ValueError("the number of buckets must be a power of two")
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(*ks).agg(F.percentile_approx("_v", probs, 1000).alias("_cuts"))
-    out = counts.join(cuts, ks)
+    out = join_null_safe(counts, cuts, ks)
     # number of cut points below the value, by halving: plain expressions that stay in generated code
     bucket, step = F.lit(0), buckets // 2
     while step:
@@ -142,7 +149,7 @@ def group_quantiles(
             wanted = wanted | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_s")))
     inside = Window.partitionBy(*ks, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        counts.join(sums.where(wanted).drop("_s"), ks + ["_b"])
+        join_null_safe(counts, sums.where(wanted).drop("_s"), [*ks, "_b"])
         .withColumn("_hi", F.sum("_n").over(inside) + F.col("_off"))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
     )
@@ -165,7 +172,10 @@ def group_quantiles(
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", buckets: int = 32) -> DataFrame:
-    """Add the 1-based rank of ``value`` within the key (ties share their mean rank) and ``<out>_n``, the key size."""
+    """Add the 1-based rank of ``value`` within the key (ties share their mean rank) and ``<out>_n``, the key size.
+
+    Rows without a value stay and have no rank; rows of a null key are ranked among themselves.
+    """
     df, ks = keyed(df, keys)
     counts = _bucketed_counts(value_counts(df, ks, value), ks, buckets)
     ranked = running_total(counts, ks, "_b", ["_v"], "_n", "_cum")
@@ -176,7 +186,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "ra
         F.col("_cum_all").alias(f"{out}_n"),
     )
     src = df.withColumn("_v", F.col(value).cast("double"))
-    return src.join(ranked, ks + ["_v"]).drop("_v", *([] if keys else ks))
+    return join_null_safe(src, ranked, [*ks, "_v"], "left").drop("_v", *([] if keys else ks))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int = 8, how: str = "inner") -> DataFrame:

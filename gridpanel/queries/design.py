@@ -183,7 +183,7 @@ def _(t: Tables):
         l AS (SELECT grp, class, side, 'x1' AS cov, x1 AS x FROM s UNION ALL SELECT grp, class, side, 'x2', x2 FROM s),
         q AS (SELECT grp, class, cov, quantile_cont(x, 0.05) FILTER (side = 'p') AS lo_1, quantile_cont(x, 0.95) FILTER (side = 'p') AS hi_1, var_samp(x) FILTER (side = 'p') AS v1,
             quantile_cont(x, 0.05) FILTER (side = 'b') AS lo_b, quantile_cont(x, 0.95) FILTER (side = 'b') AS hi_b FROM l GROUP BY 1, 2, 3), n AS (SELECT grp, count(DISTINCT "row") AS n FROM r GROUP BY 1)
-        SELECT grp, class, cov, lo_1, hi_1, lo_b, hi_b, greatest(0, coalesce((least(hi_1, hi_b) - greatest(lo_1, lo_b)) / nullif(least(hi_1 - lo_1, hi_b - lo_b), 0), 0)) AS overlap,
+        SELECT grp, class, cov, lo_1, hi_1, lo_b, hi_b, CASE WHEN hi_1 IS NULL OR hi_b IS NULL THEN 0.0 ELSE greatest(0, (least(hi_1, hi_b) - greatest(lo_1, lo_b)) / (greatest(hi_1, hi_b) - least(lo_1, lo_b) + 1e-9)) END AS overlap,
         CASE WHEN hi_1 IS NULL OR hi_b IS NULL THEN true ELSE lo_1 >= hi_b OR lo_b >= hi_1 OR coalesce(v1, 0) < 1e-4 OR (hi_b < 1e-3 AND hi_1 > 0.05) OR (hi_1 < 1e-3 AND hi_b > 0.05) END AS flagged
         FROM q JOIN n USING (grp) WHERE n >= 10""",
 )

@@ -229,8 +229,15 @@ def _(t: Tables):
 POINTS = """pts AS (SELECT o_orderkey AS id, o_custkey // 10 AS ix, o_orderkey % 150 AS iy, 'g' || (o_custkey % 7) AS g FROM orders),
     tl AS (SELECT *, (ix // 15) || '_' || (iy // 15) AS tile FROM pts)"""
 BLOCKS = f"""tg AS (SELECT tile, g, count(*) AS n, {_h(5, 'tile')} AS h FROM tl GROUP BY tile, g),
-    cum AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY h, tile ROWS UNBOUNDED PRECEDING) AS c, sum(n) OVER (PARTITION BY g) AS tot FROM tg),
-    good AS (SELECT tile, h, sum(n) AS n_rows FROM cum GROUP BY 1, 2 HAVING bool_and(tot - c >= 30)),
+    gs AS (SELECT g, sum(n) AS tot FROM tg GROUP BY 1),
+    tc AS (SELECT t.tile, t.h, list(coalesce(tg.n, 0) ORDER BY gs.g) AS c FROM (SELECT DISTINCT tile, h FROM tg) t CROSS JOIN gs
+        LEFT JOIN tg ON tg.tile = t.tile AND tg.g = gs.g GROUP BY 1, 2),
+    seq AS (SELECT *, row_number() OVER (ORDER BY h, tile) AS i FROM tc),
+    walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS tile, CAST(0 AS HUGEINT) AS h, false AS ok, (SELECT list(CAST(tot AS HUGEINT) ORDER BY g) FROM gs) AS lft, CAST(0 AS HUGEINT) AS n_rows
+        UNION ALL SELECT i, tile, h, ok, CASE WHEN ok THEN nxt ELSE lft END, n_rows FROM (
+            SELECT *, list_bool_and([x[2] = 0 OR x[1] >= 30 FOR x IN [[nxt[k], c[k]] FOR k IN range(1, len(c) + 1)]]) AS ok FROM (
+                SELECT s.i, s.tile, CAST(s.h AS HUGEINT) AS h, w.lft, s.c, [w.lft[k] - s.c[k] FOR k IN range(1, len(s.c) + 1)] AS nxt, CAST(list_sum(s.c) AS HUGEINT) AS n_rows FROM walk w JOIN seq s ON s.i = w.i + 1))),
+    good AS (SELECT tile, h, n_rows FROM walk WHERE ok),
     pick AS (SELECT tile, n_rows, sum(n_rows) OVER (ORDER BY h, tile ROWS UNBOUNDED PRECEDING) - n_rows AS before FROM good)"""
 
 
@@ -243,7 +250,7 @@ def _points(t: Tables):
 
 @query(
     "t3_split_blocks",
-    sql=f"""WITH {POINTS}, {BLOCKS}, tk AS (SELECT tile FROM pick WHERE before < round_even(0.2 * (SELECT count(*) FROM pts), 0))
+    sql=f"""WITH RECURSIVE {POINTS}, {BLOCKS}, tk AS (SELECT tile FROM pick WHERE before < round_even(0.2 * (SELECT count(*) FROM pts), 0))
         SELECT id, tile, tile IN (SELECT tile FROM tk) AS test FROM tl""",
 )
 def _(t: Tables):
@@ -260,14 +267,14 @@ HYBRID = f"""{POINTS}, {BLOCKS}, tk AS (SELECT tile FROM pick WHERE before < rou
     role AS (SELECT id, ix, iy, g, CASE WHEN z IS NOT NULL THEN z WHEN r <= least(n - 1, greatest(0, round_even((SELECT f FROM fr) * n, 0))) THEN 'test_random' ELSE 'train' END AS role FROM rk)"""
 
 
-@query("t4_spatial_split", sql=f"WITH {HYBRID} SELECT * FROM role")
+@query("t4_spatial_split", sql=f"WITH RECURSIVE {HYBRID} SELECT * FROM role")
 def _(t: Tables):
     return sp.spatial_split(_points(t), ["id"], "ix", "iy", "g", 0.2, seed=5)
 
 
 @query(
     "t4_split_summary", dbl="fraction",
-    sql=f"""WITH {HYBRID} SELECT role, count(*) AS n, count(*) / (SELECT count(*) FROM role)::DOUBLE AS fraction,
+    sql=f"""WITH RECURSIVE {HYBRID} SELECT role, count(*) AS n, count(*) / (SELECT count(*) FROM role)::DOUBLE AS fraction,
         CAST((SELECT count(*) FROM (SELECT g FROM role GROUP BY g HAVING NOT bool_or(role = 'train'))) AS BIGINT) AS groups_missing_from_train FROM role GROUP BY 1""",
 )
 def _(t: Tables):
