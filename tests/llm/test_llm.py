@@ -180,6 +180,8 @@ def near_rows(rnd):
 def test_jaccard_components_equal_brute_force(spark, monkeypatch, width, num, frequent):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "LEADERS", (1,))
+    monkeypatch.setattr(jaccard_join, "CHUNK_NODES", 3)
     rows = near_rows(random.Random(frequent + width))
     docs = frame(spark, [(d, t, "en", "s", 1) for d, t in rows])
     assert rows_of(jaccard_join.similar_components(docs, width, num, 100)) == sorted(brute_components(rows, width, num, 100), key=repr)
