@@ -23,6 +23,7 @@ from gridpanel.operators import screens as sc
 from gridpanel.operators import split as sp
 from gridpanel.operators import trees as tr
 from gridpanel.operators import windows as wn
+from gridpanel.plans.skew import average_ranks, hash_order
 
 
 def rows(df, *cols):
@@ -144,28 +145,88 @@ def test_morans_i_detects_a_gradient(spark):
 # ---- allocation ------------------------------------------------------------------------------------------------
 
 RULES = [
-    {"action": "rename", "from": "Old", "to": "New"},
-    {"action": "split", "from": "Fruits", "to": "fruit"},
-    {"action": "split", "from": "other", "to": "rest"},
-    {"action": "rename", "from": "absent", "to": "x"},
+    {"action": "rename", "from": "meadow", "to": "grass"},
+    {"action": "split", "from": "arable", "to": "field"},
+    {"action": "split", "from": "cereal", "to": "grain"},
+    {"action": "rename", "from": "nowhere", "to": "grass"},
 ]
+SHARES = [
+    ("field", "QX10", "cereal", 0.25), ("field", "QX10", "roots", 0.75), ("field", "QY", "cereal", 1.0),
+    ("grain", "QX", "oats", 0.6), ("grain", "QX", "rye", 0.4),
+]
+
+
+def _ruled(spark, shares, rules=RULES):
+    cells = spark.createDataFrame([(i, c, 4.0) for i in range(3) for c in ("meadow", "arable", "water")], "cell int, class string, area double")
+    geo = spark.createDataFrame([(0, "QX10"), (1, "QY77"), (2, None)], "cell int, geo string")
+    table = spark.createDataFrame(shares, "group string, geo string, target string, share double")
+    return cells, al.apply_class_rules(cells, rules, table, geo, "cell", "class", "area")
 
 
 def test_rule_cascade(spark):
-    """Four cells on exact, prefix and unknown regions; a split feeds a later split."""
-    cells = spark.createDataFrame([(i, c, 10.0) for i in range(4) for c in ("Old", "Fruits", "Keep")], "cell int, class string, area double")
-    geo = spark.createDataFrame([(0, "ITF4"), (1, "AT11"), (2, "DE21"), (3, None)], "cell int, geo string")
-    shares = spark.createDataFrame(
-        [("fruit", "ITF4", "citrus", 0.8), ("fruit", "ITF4", "other", 0.2), ("fruit", "AT", "citrus", 0.0), ("fruit", "AT", "other", 1.0), ("rest", "AT", "apples", 0.5), ("rest", "AT", "pears", 0.5)],
-        "group string, geo string, target string, share double",
-    )
-    out = al.apply_class_rules(cells, RULES, shares, geo, "cell", "class", "area")
+    """Exact, prefix and unknown regions; the result of a split is split again."""
+    cells, out = _ruled(spark, SHARES)
     ag.assert_conserved(cells, out, "area", ["cell"])
     got = {(r["cell"], r["class"]): round(r["area"], 9) for r in out.collect()}
-    assert got[(0, "citrus")] == 8.0 and got[(0, "apples")] == 1.0
-    assert got[(1, "apples")] == 5.0 and got[(1, "citrus")] == 0.0
-    assert got[(2, "citrus")] == got[(3, "citrus")] == 4.0 and got[(2, "New")] == 10.0
-    assert (0, "Old") not in got and (0, "other") not in got
+    assert got[(0, "roots")] == 3.0 and got[(0, "oats")] == 0.6 and got[(0, "grass")] == 4.0
+    assert got[(1, "oats")] == 2.4 and (1, "roots") not in got
+    # mean shares of the group by target: cereal 0.625, roots 0.75; renormalised
+    assert got[(2, "roots")] == pytest.approx(4 * 0.75 / 1.375) and (2, "meadow") not in got
+
+
+def test_rules_that_would_lose_area_fail(spark):
+    with pytest.raises(Exception, match="no shares for group field"):
+        _ruled(spark, [x for x in SHARES if x[0] != "field"])[1].collect()
+    with pytest.raises(Exception, match="do not sum to 1"):
+        _ruled(spark, [(g, r, t, s / 2) for g, r, t, s in SHARES])[1].collect()
+
+
+def test_raking_keeps_pixels_without_zone(spark):
+    obs = spark.createDataFrame([(1, "z", "a", 10.0), (2, None, "a", 15.0), (2, None, "b", 5.0), (3, "z", "b", 2.0)], "pixel int, zone string, class string, area double")
+    targets = spark.createDataFrame([("z", "a", 6.0), ("z", "b", 6.0)], "zone string, class string, area double")
+    out = al.rake_to_targets(obs, targets, ["a", "b"], "pixel", "zone", "class", "area")
+    ag.assert_conserved(obs, out, "area", ["pixel"])
+    assert {(r["class"], r["area"]) for r in out.where("zone is null").collect()} == {("a", 15.0), ("b", 5.0)}
+
+
+def test_pooling_keeps_groups_without_information(spark):
+    rows = [("a", 1.0, 1.0), ("a", 2.0, 3.0), ("a", 4.0, 4.0), ("b", 5.0, 2.0), ("b", 7.0, 3.0), ("b", 6.0, 9.0), ("one", 9.0, 1.0), ("flat", 3.0, 2.0), ("flat", 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, y double, x double")
+    for x in (None, "x"):
+        got = {r["g"]: r for r in es.partial_pooling(df, "g", "y", x).collect()}
+        assert set(got) == {"a", "b", "one", "flat"}
+        assert all(got[g]["shrunk"] == pytest.approx(got[g]["pooled"]) for g in ("one", "flat"))
+
+
+def test_window_wider_than_a_tile(spark):
+    line = spark.createDataFrame([("s", i, 0, 1.0) for i in range(400)], "slice string, ix long, iy long, v double")
+    reach = 150
+    tiled = fo.with_halo(line, ["slice"], "ix", "iy", reach)
+    near = tiled.alias("a").join(tiled.alias("b"), ["slice", "_tx", "_ty"]).where(f"abs(a.ix - b.ix) <= {reach}").where(fo.at_home("a.ix", "a.iy"))
+    assert {r["n"] for r in near.where("a.ix = 200").groupBy("a.ix").agg(F.count("*").alias("n")).collect()} == {2 * reach + 1}
+
+
+def test_null_groups_stay_in_splits_and_ranks(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "g", float(i % 5) if i % 7 else None) for i in range(40)], "id int, g string, v double")
+    assert sp.split_stratified(df, ["id"], "g", 0.25, 1).count() == 40
+    ranked = average_ranks(df, ["g"], "v")
+    assert ranked.count() == 40 and ranked.where("rank is null").count() == df.where("v is null").count()
+
+
+def test_tile_guard_is_sequential(spark):
+    """A large tile that is refused does not block its group for later tiles."""
+    cells = [(x, y, "g") for x in range(60) for y in range(1)] + [(100 + x, 0, "g") for x in range(5)] + [(200 + x, 0, "g") for x in range(5)]
+    df = spark.createDataFrame(cells, "ix long, iy long, g string")
+    for seed in range(6):
+        chosen = sp.choose_blocks(df, "ix", "iy", "g", 70, 20, 30, seed).collect()
+        left, want = 70, set()
+        order = df.withColumn("tile", fo.tile_key("ix", "iy", 70)).groupBy("tile").count().withColumn("h", hash_order(seed, "tile")).orderBy("h", "tile").collect()
+        taken = 0
+        for t in order:
+            if taken < 20 and left - t["count"] >= 30:
+                want.add(t["tile"])
+                left, taken = left - t["count"], taken + t["count"]
+        assert {r["tile"] for r in chosen} == want
 
 
 def test_rules_table_is_checked(spark):
