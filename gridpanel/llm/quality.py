@@ -26,13 +26,14 @@ MODULUS, HELD_OUT = 5, 3
 SAMPLE_ROWS, POOL_ROWS = 3000, 6000
 ROUNDS, SURE, STEP = 6, 0.95, 200
 SOURCE_BUCKETS = 32
+TEXT_FEATURES, PAGE_FEATURES = 12, SOURCE_BUCKETS + 8 + 8
 
 
 def text_features(text: str | None) -> list[float]:
     """Content of a whole text as numbers; all 0 for null, empty and blank texts."""
     text = text or ""
     if not text.strip():
-        return [0.0] * 12
+        return [0.0] * TEXT_FEATURES
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = np.bincount(_classes()[code], minlength=4) / len(code)
     words, _ = word_hashes([text.encode("utf-8", "surrogatepass")])
@@ -126,14 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, pages: DataFrame) -> Model:
     pool = F.broadcast(bounded_sample(pool, ["quality"], POOL_ROWS, 9))
     chosen = docs.join(drawn.unionByName(pool).withColumnRenamed("quality", "_quality"), "doc_id")
     sample = _features(chosen, pages).join(F.broadcast(drawn), "doc_id", "left").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # bounded by the two parameters
-    x = np.array([r["x"] for r in sample], float).reshape(len(sample), -1)
-    m = np.array([r["m"] for r in sample], float).reshape(len(sample), -1)
+    x = np.array([r["x"] for r in sample], float).reshape(len(sample), TEXT_FEATURES)
+    m = np.array([r["m"] for r in sample], float).reshape(len(sample), PAGE_FEATURES)
     y = np.array([-1 if r["quality"] is None else r["quality"] for r in sample], float)
     labelled = np.flatnonzero(y >= 0)
     calibration, training = labelled[::3], np.setdiff1d(labelled, labelled[::3])
     unlabelled = np.flatnonzero(y < 0)
-    if not len(sample):
-        x, m = np.zeros((0, 12)), np.zeros((0, SOURCE_BUCKETS + 16))
     text, page = co_train(x[training], m[training], y[training], x[unlabelled], m[unlabelled])
     counts = dict(known.groupBy("quality").count().collect())
     logits = np.column_stack((text.logit(x[calibration]), page.logit(m[calibration])))

@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on the passages of toxic texts that ordinary text does not explain
-(runs of bytes whose 5-grams no ordinary text of the sample holds), so that what recurs there is what sets toxic text apart. Every window of a
+(runs of bytes whose 5-grams several toxic texts of the sample hold and no ordinary one), so that it holds what sets toxic text apart. Every window of a
 text is compressed twice: with the ordinary dictionary alone, and with the toxic one in front of it. Ordinary passages match at the same
 distances either way, so the difference of the two lengths is what the toxic dictionary explains. A logistic curve over the differences of a
 text, fitted on sample texts that trained no dictionary and shifted to the share of toxic labels, gives the score.
@@ -26,6 +26,7 @@ TOXIC_BYTES, ORDINARY_BYTES = 2048, 8192
 # The fit reads about so many labelled texts of a class, of so many characters at most: the bound of what the driver holds.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 16_384
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
+RECURRING = 0.01  # share of the toxic texts that must hold an n-gram, two texts at least
 STRONG = 4  # bytes that a window must save to count as strong evidence
 
 
@@ -58,9 +59,16 @@ def _grams(data: bytes) -> np.ndarray:
     return out
 
 
-def _unexplained(data: bytes, known: np.ndarray) -> bytes:
-    """The runs of ``data`` that consist of 5-grams outside ``known``."""
-    new = ~np.isin(_grams(data), known)
+def _recurring(texts: list[bytes], known: np.ndarray) -> np.ndarray:
+    """The 5-grams outside ``known`` that several of the texts hold."""
+    each = [g[~np.isin(g, known)] for g in (np.unique(_grams(t)) for t in texts)]
+    found, counts = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
+    return found[counts >= max(2, RECURRING * len(texts))]
+
+
+def _passages(data: bytes, wanted: np.ndarray) -> bytes:
+    """The runs of ``data`` that consist of 5-grams of ``wanted``."""
+    new = np.isin(_grams(data), wanted)
     covered = np.zeros(len(data) + 1, np.int8)
     for i in range(GRAM):
         covered[i : i + len(new)] |= new
@@ -104,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     grams = [np.unique(_grams(t)) for t in fold[0]]
     seen = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
     ordinary = _dictionary([w for t in fold[0] for w in windows(t.decode("utf-8", "surrogatepass"))], ORDINARY_BYTES, 64, 8)
-    toxic = _dictionary([_unexplained(t, seen) for t in fold[1]], TOXIC_BYTES, 16, 6)
+    wanted = _recurring(fold[1], seen)
+    toxic = _dictionary([_passages(t, wanted) for t in fold[1]], TOXIC_BYTES, 16, 6)
     texts = [(t, c) for c in groups for i, t in enumerate(groups[c]) if i % 3 == 0]
     x = features([t for t, _ in texts], ordinary, toxic)
     y = np.array([c for _, c in texts], float)
