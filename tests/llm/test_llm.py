@@ -243,7 +243,7 @@ def test_templates_catch_new_parameters(spark, messy):
     mixed = "Then Bob walked 7 km in 5 hours, and after 9 km the old dog of Carol slept for 4,25 days."
     filler = " ".join(f"w{chr(97 + i)}" for i in range(20))
     texts = {10: items[0][1], 11: f"{filler}. {items[0][1]} {filler}", 12: f"{filler}. {renamed}", 13: mixed, 14: items[0][1].upper().replace("ALICE", "Alice"), 15: filler,
-             16: items[0][1][:40], 17: f"{filler} Tiny, one! {filler}", 18: None, 19: ""}
+             16: items[0][1][:40], 17: f"{filler} tiny, ONE! {filler}", 18: None, 19: ""}
     docs = frame(spark, [(d, t, "en", "s", 1) for d, t in texts.items()])
     got = {r["doc_id"]: (r["contaminated"], r["item_id"]) for r in decontaminate.judge(docs, benchmark).collect()}
     assert got.pop(14)[0] in (True, False)  # capitals hide names
