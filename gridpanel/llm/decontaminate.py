@@ -4,6 +4,10 @@ Texts become token templates: numbers, names and units turn into typed placehold
 Windows of five template tokens are joined with those of the benchmark by hash (a bit table of the benchmark's windows keeps the
 rest of the corpus out of the join), and the slots of matched windows are checked: one value of the item must stand for one value in the
 document throughout. So verbatim copies and re-parameterised questions are found alike.
+
+A text has three readings: plain (no names), with the sure names (capitalised words inside a sentence, and the benchmark's name words wherever and however
+they are written), and with every capitalised word as a name. Windows of all three are joined, windows of an item with its doubtful capitals both as
+words and as names; the coverages of the readings are united. A name that is replaced and has lost its capital as well is not known for a name.
 """
 
 from __future__ import annotations
@@ -25,28 +29,47 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "usd eur gbp dollar dollars cent cents euro euros percent degree degrees watt watts volt volts"
 )
-# Placeholder tokens: the two circled letters never survive in a canonical text, the private-use mark stands for a name before lower-casing.
-NUMBER, UNIT, NAME = "ⓝ", "ⓤ", "\ue000"
+# Placeholder tokens: the two circled letters never survive in a canonical text, the private-use marks stand before names and other capitalised words.
+NUMBER, UNIT, NAME, CAPITAL = "ⓝ", "ⓤ", "\ue000", "\ue001"
+PLAIN, SURE, EVERY = 0, 1, 2  # the readings
 _DECIMAL = r"(?<=\p{N})[.,](?=\p{N})"
 _NAME = r"(?<=[\p{Ll},;] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}\p{N}])"
-_GAP = rf"[^\p{{L}}\p{{M}}\p{{N}}·{NAME}]+"
-_UNIT = rf"(?<={NUMBER} )(?:{UNITS.replace(' ', '|')})(?= |$)"
+_CAPITAL = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}])\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}\p{{N}}])"
+_GAP = rf"[^\p{{L}}\p{{M}}\p{{N}}·{NAME}{CAPITAL}]+"
+_UNIT = rf"(?<={NUMBER} ){CAPITAL}?(?:{UNITS.replace(' ', '|')})(?= |$)"
 
 
 def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _GAP, " "))
 
 
+def _clean(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, NAME + CAPITAL, "  "), _DECIMAL, "·")
+
+
 def raw_words(text: Column) -> Column:
-    return F.split(_words(F.regexp_replace(text, _DECIMAL, "·")), " ")
+    return F.split(_words(_clean(text)), " ")
 
 
 def template_words(text: Column) -> Column:
-    """Tokens with placeholders; they stand at the positions of ``raw_words``."""
-    flat = _words(F.lower(F.regexp_replace(F.regexp_replace(text, _DECIMAL, "·"), _NAME, NAME)))
+    """Tokens with placeholders for numbers and units, and marks before capitalised words; they stand at the positions of ``raw_words``."""
+    marked = F.regexp_replace(F.regexp_replace(_clean(text), _NAME, NAME + "$0"), _CAPITAL, CAPITAL + "$0")
+    flat = _words(F.lower(marked))
     return F.split(F.regexp_replace(F.regexp_replace(flat, r"(?<= |^)\p{N}[\p{N}·]*(?= |$)", NUMBER), _UNIT, UNIT), " ")
 
 
+def _unmarked(word: Column) -> Column:
+    return F.translate(word, NAME + CAPITAL, "")
+
+
+def _readings(words: DataFrame, names: Bloom | None) -> DataFrame:
+    """Columns p, s and n, the readings of the template ``t``; ``names`` tells the name words (wrong hits are names on both sides, which loses nothing)."""
+    words = words.withColumn("p", F.transform("t", _unmarked))
+    sure = F.zip_with("t", "p", lambda w, v: F.when(F.startswith(w, F.lit(NAME)) | (names.holds(F.xxhash64(v)) if names else F.lit(False)), NAME).otherwise(v))
+    words = words.withColumn("s", sure)
+    return words.withColumn("n", F.zip_with("t", "s", lambda w, v: F.when(F.startswith(w, F.lit(CAPITAL)), NAME).otherwise(v)))
+
+
 def _window_hash(words: Column, at: Column, width: int) -> Column:
     return F.xxhash64(*[F.get(words, at + i) for i in range(width)])
 
@@ -55,52 +78,87 @@ def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def _hits(words: Column, table: Bloom, width: int) -> Column:
-    """(pos, width) of the windows that the bit table lets through."""
-    every = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width))
-    return F.transform(F.filter(every, lambda i: table.holds(_window_hash(words, i, width))), lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width")))
+def _hits(table: Bloom, width: int) -> Column:
+    """(pos, width, reading) of the windows that the bit table lets through; a reading's windows count where they differ from those before it."""
+    every = F.when(F.size("p") >= width, F.sequence(F.lit(0), F.size("p") - width))
+    inside = lambda c, i: F.slice(c, i + 1, width)
+    found = (
+        F.filter(every, lambda i: table.holds(_window_hash(F.col("p"), i, width))),
+        F.filter(every, lambda i: F.array_contains(inside("s", i), NAME) & table.holds(_window_hash(F.col("s"), i, width))),
+        F.filter(every, lambda i: (inside("n", i) != inside("s", i)) & table.holds(_window_hash(F.col("n"), i, width))),
+    )
+    return F.concat(*[F.transform(f, lambda i, k=k: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.lit(k).alias("reading"))) for k, f in enumerate(found)])
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item, at, width, key, words, tokens and total windows of an item; an item shorter than a window is one window, an empty one has none."""
+def name_words(benchmark: DataFrame) -> DataFrame:
+    """word: capitalised inside a sentence of the benchmark, and never lower-case there."""
+    words = benchmark.where(F.col("item_id").isNotNull()).select(F.explode(template_words(F.coalesce("text", F.lit("")))).alias("w"))
+    return words.groupBy(_unmarked(F.col("w")).alias("word")).agg(
+        F.bool_or(F.startswith("w", F.lit(NAME))).alias("name"), F.bool_or(~F.col("w").rlike(f"^[{NAME}{CAPITAL}]")).alias("lower"),
+    ).where("name and not lower").select("word")
+
+
+def benchmark_windows(benchmark: DataFrame, names: Bloom | None) -> DataFrame:
+    """item, at, width, words, tokens, loose and total windows of an item; an item shorter than a window is one window, an empty one has none.
+
+    A window has a row for its plain reading and one for each choice of its doubtful capitals as words or names; ``loose`` flags those taken as names.
+    """
     words = benchmark.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").alias("item"), template_words(F.coalesce("text", F.lit(""))).alias("t"), raw_words(F.coalesce("text", F.lit(""))).alias("r"))
-    words = words.where(F.get("t", F.lit(0)) != "").distinct()
+    words = _readings(words.where(F.get("t", F.lit(0)) != "").distinct(), names)
     width = F.least(F.lit(WIDTH), F.size("t"))
-    return words.withColumn("total", F.size("t") - width + 1).select(
-        "item", "total", "t", "r", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("at"), width.alias("width"),
-    ).select("item", "at", "width", "total", F.slice("t", F.col("at") + 1, F.col("width")).alias("words"), F.slice("r", F.col("at") + 1, F.col("width")).alias("tokens"))
+    part = lambda c: F.slice(c, F.col("at") + 1, F.col("width")).alias(c)
+    cut = words.withColumn("total", F.size("t") - width + 1).select(
+        "item", "total", "p", "s", "n", "r", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("at"), width.alias("width"),
+    ).select("item", "at", "width", "total", part("p"), part("s"), part("n"), part("r"))
+    doubtful = F.zip_with("s", "n", lambda a, b: a != b)
+    bits = F.filter(F.transform(doubtful, lambda d, i: F.when(d, F.pow(F.lit(2.0), i)).otherwise(0.0).cast("int")), lambda b: b > 0)
+    masks = F.aggregate(bits, F.array(F.lit(0)), lambda m, b: F.concat(m, F.transform(m, lambda x: x + b)))  # 32 at most
+    loose = F.transform("s", lambda w, i: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)) == 1)
+    chosen = cut.withColumn("mask", F.explode(masks)).withColumn("loose", loose).withColumn("words", F.zip_with("s", "loose", lambda w, x: F.when(x, NAME).otherwise(w)))
+    plain = cut.withColumn("loose", F.transform("p", lambda w: F.lit(False))).withColumn("words", F.col("p"))
+    columns = ["item", "at", "width", "total", "words", F.col("r").alias("tokens"), "loose"]
+    return chosen.select(*columns).unionByName(plain.select(*columns)).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each (doc_id, item) that share windows: coverage, the share of the item's windows with consistent slots in the document.
 
-    Rows that repeat a doc_id are judged as one document. Null and empty texts share nothing; item ids that are null are ignored.
+    Rows that repeat a doc_id are judged as one document. Null and empty texts share nothing; item ids that are null are ignored. Replaced capitals of
+    an item that may be plain words count only beside a window of the same run without such a replacement.
     """
-    items = written(benchmark_windows(benchmark).withColumn("key", F.xxhash64("words")))
-    keys = {w: n for w, n in items.groupBy("width").agg(F.countDistinct("words").alias("n")).collect()}  # five widths at most
     schema = "doc_id bigint, item bigint, coverage double"
+    listed = written(name_words(benchmark).select(F.xxhash64("word").alias("key")))
+    n = listed.count()
+    names = build_bloom(listed, n, 0.5, 3, bits=min(WINDOW_BITS * n, TABLE_BITS)) if n else None
+    items = written(benchmark_windows(benchmark, names))
+    keys = {w: n for w, n in items.groupBy("width").agg(F.countDistinct("words").alias("n")).collect()}  # five widths at most
     if not keys:
         return docs.sparkSession.createDataFrame([], schema)
-    found, words = [], F.col("t")
+    found = []
     for width, n in sorted(keys.items()):
         mine = items.where(F.col("width") == width).select(_window_hash(F.col("words"), F.lit(0), width).alias("key")).distinct()
         table = build_bloom(mine, n, 0.5, 7 * width, bits=min(WINDOW_BITS * n, TABLE_BITS))
-        found.append(_hits(words, table, width))
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", template_words(F.col("text")).alias("t"))
+        found.append(_hits(table, width))
+    texts = _readings(docs.where(F.col("text").isNotNull()).select("doc_id", "text", template_words(F.col("text")).alias("t")), names)
     # explode_outer: no filter on the hits is inferred, which would find them twice
-    hits = texts.select("doc_id", "text", "t", F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("h")).where("h.pos is not null")
-    inside = F.slice("t", F.col("h.pos") + 1, F.col("h.width"))
+    hits = texts.select("doc_id", "text", "p", "s", "n", F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("h")).where("h.pos is not null")
+    p, s, n = (F.slice(c, F.col("h.pos") + 1, F.col("h.width")) for c in "psn")
+    inside = F.when(F.col("h.reading") == PLAIN, p).when(F.col("h.reading") == SURE, s).otherwise(n)
+    # the readings in which the window reads like this
+    alike = F.filter(F.array(*[F.when(c == F.col("words"), k) for k, c in enumerate((p, s, n))]), lambda k: k.isNotNull())
     values = F.slice(raw_words(F.col("text")), F.col("h.pos") + 1, F.col("h.width"))
-    hits = hits.select("doc_id", "h.pos", inside.alias("words"), F.when(F.exists(inside, _is_slot), values).alias("found"))
-    pairs = hits.join(items, "words")
+    hits = hits.withColumn("words", inside).select("doc_id", "h.pos", "words", alike.alias("alike"), F.when(F.exists("words", _is_slot), values).alias("found"))
+    pairs = hits.join(items, "words").withColumn("reading", F.explode("alike"))
     slot = F.zip_with("tokens", F.coalesce("found", "tokens"), lambda a, b: F.struct(F.lower(a).alias("item"), F.lower(b).alias("doc")))
-    slots = F.transform(F.filter(F.arrays_zip(F.col("words").alias("w"), slot.alias("s")), lambda x: _is_slot(x["w"])), lambda x: x["s"])
-    runs = pairs.groupBy("doc_id", "item", "total", (F.col("pos") - F.col("at")).alias("shift")).agg(
+    pairs = pairs.withColumn("slot", slot)
+    slots = F.transform(F.filter(F.arrays_zip(F.col("words").alias("w"), F.col("slot").alias("s")), lambda x: _is_slot(x["w"])), lambda x: x["s"])
+    kept = F.forall(F.arrays_zip(F.col("loose").alias("l"), F.col("slot").alias("s")), lambda x: ~x["l"] | (x["s"]["item"] == x["s"]["doc"]))
+    runs = pairs.groupBy("doc_id", "item", "total", "reading", (F.col("pos") - F.col("at")).alias("shift")).agg(F.bool_or(kept).alias("kept"),
         F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))  # bounded by the item's windows
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))) == F.size("slots")
     share = F.size(F.array_distinct(F.flatten(F.collect_set("ats")))) / F.col("total")
-    return runs.where(consistent).groupBy("doc_id", "item", "total").agg(share.alias("coverage")).drop("total")
+    return runs.where(consistent & F.col("kept")).groupBy("doc_id", "item", "total").agg(share.alias("coverage")).drop("total")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

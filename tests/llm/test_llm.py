@@ -255,6 +255,24 @@ def test_templates_catch_new_parameters(spark, messy):
     assert decontaminate.judge(empty_like(messy), benchmark).count() == 0
 
 
+def test_names_at_sentence_starts_and_in_other_case(spark):
+    item = "Tom has 5 apples and 3 pears. Tom gives 2 apples to his sister Ann. Ann eats 1 apple and keeps the rest for Tom."
+    lone = "Zed sold 4 boxes of old books on the market. Zed bought a red bike from the money he got there."  # a name at sentence starts only
+    benchmark = frame(spark, [(1, item), (2, lone), (3, "Where is the red house")], BENCHMARK)
+    renamed = item.replace("Tom", "Bob").replace("Ann", "Eve")
+    other = renamed.replace("Bob gives", "Eve gives")  # two for one
+    docs = {1: renamed, 2: item.upper(), 3: item.lower(), 4: f'He said: "{renamed}"', 5: f"Filler text\n{renamed}", 6: lone.replace("Zed", "Ida"), 7: lone.upper(),
+            8: lone.lower(), 9: other, 10: "Here is the red house", 11: "WHERE IS THE RED HOUSE"}
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.judge(frame(spark, [(d, t, "en", "s", 1) for d, t in docs.items()]), benchmark).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 9: None, 10: None, 11: 3}
+
+
+def test_capitals_do_not_hide_a_copy(spark):
+    text = "Then Alice walked 12 km in 3 hours, and after 12 km the old dog of Alice slept for 2.5 days."
+    docs = frame(spark, [(14, text.upper().replace("ALICE", "Alice"), "en", "s", 1)])
+    assert decontaminate.judge(docs, frame(spark, [(1, text)], BENCHMARK)).first()["contaminated"]
+
+
 def test_verbatim_leaks_equal_brute_force(spark):
     docs, benchmark = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "benchmark"))
     tokens = lambda t: re.findall(r"[^\W\d_]+|\d+", t.lower())
