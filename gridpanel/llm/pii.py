@@ -2,7 +2,8 @@
 
 The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers. A conditional random field over the tokens of a document that hold a
 digit or an ``@`` adds what they miss: tokens in base spans are observed, others have potentials of their shape and of the word before them,
-neighbours share chain potentials, and distant tokens with the same characters share skip potentials. Loopy message passing spreads labels over the
+neighbours share chain potentials, and all tokens of a document with the same characters share skip potentials with one hub node, which holds the label
+of those that are observed. Loopy message passing spreads labels over the
 document until the messages settle; a token with a clear label becomes a span, touching tokens of one label one span.
 """
 
@@ -121,18 +122,26 @@ def _observed(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
     return out
 
 
-def _edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges of close tokens, and skip edges from each token to the one before it with the same letters and digits."""
+def _edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Chain edges of close tokens, and groups of two or more tokens with the same letters and digits."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= NEAR]
-    before: dict[str, int] = {}
-    skip = []
+    groups: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(spans):
         key = "".join(c for c in text[a:b].lower() if c.isalnum())
         if len(key) >= SAME_CHARS:
-            if key in before:
-                skip.append((before[key], i))
-            before[key] = i
-    return chain, skip
+            groups.setdefault(key, []).append(i)
+    return chain, [g for g in groups.values() if len(g) > 1]
+
+
+def _hubs(unary: np.ndarray, seen: np.ndarray, groups: list[list[int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """``unary`` with a row for the hub of each group, and skip edges from hubs to occurrences. A hub has the most frequent label of the observed ones."""
+    hubs, skip = np.zeros((len(groups), unary.shape[1])), []
+    for k, group in enumerate(groups):
+        known = seen[group]
+        counts = np.bincount(known[known >= 0], minlength=unary.shape[1])
+        hubs[k, counts < counts.max()] = -1e9  # more than any number of occurrences can outweigh
+        skip += [(len(unary) + k, i) for i in group if seen[i] < 0]
+    return np.concatenate((unary, hubs)), skip
 
 
 @dataclass(frozen=True)
@@ -183,7 +192,9 @@ def find_spans(text: str, model: Model) -> tuple[list[tuple[int, int, int]], lis
     seen = _observed(spans, base)
     unary = model.unary[_features(text, spans)].sum(1)
     unary[seen >= 0] = np.where(np.arange(unary.shape[1]) == seen[seen >= 0][:, None], 0.0, -30.0)
-    p = beliefs(unary, *_edges(text, spans), model)
+    chain, groups = _edges(text, spans)
+    unary, skip = _hubs(unary, seen, groups)
+    p = beliefs(unary, chain, skip, model)[: len(spans)]
     added: list[tuple[int, int, int]] = []
     for (a, b), label, sure, known in zip(spans, p.argmax(1), p.max(1), seen, strict=True):
         if known < 0 and label > 0 and sure >= CERTAIN:
@@ -204,7 +215,8 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             label = _observed(spans, base_spans(text)).clip(0)
             f = _features(text, spans)
-            chain, skip = _edges(text, spans)
+            chain, groups = _edges(text, spans)
+            skip = [pair for g in groups for pair in zip(g, g[1:], strict=False)]
             rows += [(0, int(x), int(y)) for x, y in zip(f[:, 0], label, strict=True)]
             rows += [(1, int(x), int(y)) for x, y in zip(f[:, 1], label, strict=True)]
             rows += [(2, int(label[i]), int(label[j])) for i, j in chain]

@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,6 +370,18 @@ def test_skip_edges_carry_labels(spark):
     assert base == [(3, 5, 17)] and [(k, text[a:b]) for k, a, b in added] == [(3, phone[1:])]
 
 
+@pytest.mark.parametrize("lean", [0.0, 0.5])
+def test_one_base_span_labels_all_repeats(lean):
+    labels = len(pii.KINDS) + 1
+    unary = np.zeros((pii.FEATURES, labels))
+    unary[:, 0] = lean / 2  # a token sums two features
+    model = pii.Model(unary, unary[:labels, :] * 0, 6.0)
+    phone = "+15551234567"
+    text = f"call {phone} today. " + f"{'word ' * 5}later dial {phone[1:]} again. " * 50
+    base, added = pii.find_spans(text, model)
+    assert base == [(3, 5, 17)] and [(k, text[a:b]) for k, a, b in added] == [(3, phone[1:])] * 50
+
+
 # ---- queries and pipeline -------------------------------------------------------------------------------------------------
 
 
