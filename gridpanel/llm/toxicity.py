@@ -4,7 +4,8 @@ Two zstandard dictionaries are trained: one on windows of ordinary text, one on
 (runs of bytes whose 5-grams several toxic texts of the sample hold and no ordinary one), so that it holds what sets toxic text apart. Every window of a
 text is compressed twice: with the ordinary dictionary alone, and with the toxic one in front of it. Ordinary passages match at the same
 distances either way, so the difference of the two lengths is what the toxic dictionary explains. A logistic curve over the differences of a
-text, fitted on sample texts that trained no dictionary and shifted to the share of toxic labels, gives the score.
+stretch of windows gives its score, and the best of the overlapping stretches that cover the text gives the text's. The curve is fitted on the best
+stretches of sample texts that trained no dictionary and shifted to the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from gridpanel.llm.logistic import fit_logistic, sigmoid
 
 WINDOW, SLACK, LEVEL, GRAM = 64, 24, 9, 5
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 8192
-# The fit reads about so many labelled texts of a class, of so many characters at most: the bound of what the driver holds.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 16_384
+STRETCH = 32  # windows that are scored together; stretches overlap by half
+REFITS = 5  # rounds of choosing the best stretches and fitting on them
+# The fit reads about so many labelled texts of a class, whole ones.
+SAMPLE_ROWS = 2000
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 RECURRING = 0.01  # share of the toxic texts that must hold an n-gram, two texts at least
 STRONG = 4  # bytes that a window must save to count as strong evidence
@@ -89,23 +92,36 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def features(texts: list[str], ordinary: bytes, toxic: bytes) -> np.ndarray:
+def features(texts: list[str], ordinary: bytes, toxic: bytes) -> list[np.ndarray]:
+    """One array for each text, with a row for each of its stretches; ordinary windows beside others add nothing and take nothing away."""
     alone, both = _compressor(ordinary).compress, _compressor(toxic + ordinary).compress
-    out = np.zeros((len(texts), 4))
-    for i, text in enumerate(texts):
-        saved = np.array([len(alone(w)) - len(both(w)) for w in windows(text)])
-        top = np.sort(saved)[-3:].mean()
-        out[i] = saved.mean(), top, (saved >= STRONG).mean(), np.log1p(len(saved))
+    out = []
+    for text in texts:
+        saved = np.array([max(0, len(alone(w)) - len(both(w))) for w in windows(text)])
+        last = max(0, len(saved) - STRETCH)
+        parts = [saved[a : a + STRETCH] for a in (*range(0, last, STRETCH // 2), last)]
+        out.append(np.array([(p.sum() / STRETCH, np.sort(p)[-3:].sum() / 3, (p >= STRONG).sum() / STRETCH) for p in parts]))
     return out
 
 
+def _best(x: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """The row of each array that ``weights`` (of the plain features) put first."""
+    return np.array([a[np.argmax(a @ weights)] for a in x]).reshape(len(x), 3)
+
+
+def _scores(texts: list[str], model: Model) -> np.ndarray:
+    weights = np.array(model.weights)
+    best = _best(features(texts, model.ordinary, model.toxic), weights[:-1] / np.array(model.scale))
+    return sigmoid((best - np.array(model.center)) / np.array(model.scale) @ weights[:-1] + weights[-1])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that are not held out; label, lang, source and id of a document never enter a score."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), MODULUS, HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = dict(known.groupBy("toxic").count().collect())
     drawn = F.broadcast(bounded_sample(known, ["toxic"], SAMPLE_ROWS, 7))  # bounded by its parameter
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(drawn, "doc_id")
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(drawn, "doc_id")
     rows = sorted((r["toxic"], r["doc_id"], r["text"]) for r in sample.collect())
     groups = {c: [t for k, _, t in rows if k == c] for c in (0, 1)}
     fold = {c: [t.lower().encode("utf-8", "surrogatepass") for i, t in enumerate(groups[c]) if i % 3] for c in groups}
@@ -117,7 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = [(t, c) for c in groups for i, t in enumerate(groups[c]) if i % 3 == 0]
     x = features([t for t, _ in texts], ordinary, toxic)
     y = np.array([c for _, c in texts], float)
-    center, scale, weights = fit_logistic(x, y)
+    ranks = np.array([1.0, 0.0, 0.0])  # the mean saving chooses first
+    for _ in range(REFITS):
+        center, scale, weights = fit_logistic(_best(x, ranks), y)
+        ranks = weights[:-1] / scale
     if min(counts.get(0, 0), counts.get(1, 0)) and 0 < y.sum() < len(y):  # from the shares of the sample to those of the labels
         weights[-1] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return Model(ordinary, toxic, tuple(center), tuple(scale), tuple(weights))
@@ -125,10 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.array(model.weights)
         for batch in batches:
-            x = features([t or "" for t in batch.column("text").to_pylist()], model.ordinary, model.toxic)
-            score = sigmoid((x - np.array(model.center)) / np.array(model.scale) @ weights[:-1] + weights[-1])
+            score = _scores([t or "" for t in batch.column("text").to_pylist()], model)
             kept = [n for n in batch.schema.names if n != "text" or batch.schema.names.count("text") > 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(score)], names=[*kept, "score"])
 
@@ -149,10 +166,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _keeper(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.array(model.weights)
         for batch in batches:
-            x = features([t or "" for t in batch.column("text").to_pylist()], model.ordinary, model.toxic)
-            s = sigmoid((x - np.array(model.center)) / np.array(model.scale) @ weights[:-1] + weights[-1])
+            s = _scores([t or "" for t in batch.column("text").to_pylist()], model)
             yield batch.filter(pa.array(s < threshold))
 
     return run

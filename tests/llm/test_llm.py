@@ -313,6 +313,18 @@ def test_toxicity_held_out(spark, messy):
     assert toxicity.drop_toxic(messy, small, threshold=1.1).count() == messy.count()
 
 
+def test_toxic_passage_in_a_long_text(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    held = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"), toxicity.MODULUS, toxicity.HELD_OUT)).orderBy("doc_id")
+    clean = " ".join(r["text"] for r in held.where("toxic = 0 and lang = 'en'").limit(40).collect())
+    assert len(clean) > 20_000
+    toxic = [r["text"] for r in held.where("toxic = 1 and length(text) < 3000").limit(40).collect()]
+    hits = lambda texts: [s >= toxicity.THRESHOLD for s in toxicity._scores(texts, model)]
+    short, long = hits(toxic), hits([f"{t} {clean[:20_000]}" for t in toxic])
+    assert sum(short) and sum(a and b for a, b in zip(short, long, strict=True)) >= 0.8 * sum(short)
+
+
 def test_quality_held_out(spark, messy):
     docs, labels, pages = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels", "pages"))
     got = quality.judge(docs, labels, pages).where("held_out").join(labels, "doc_id").collect()
