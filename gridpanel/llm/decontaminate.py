@@ -12,6 +12,9 @@ words and as names; the coverages of the readings are united. A name that is rep
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +84,12 @@ def _is_slot(word: Column) -> Column:
 def _hits(table: Bloom, width: int) -> Column:
     """(pos, width, reading) of the windows that the bit table lets through; a reading's windows count where they differ from those before it."""
     every = F.when(F.size("p") >= width, F.sequence(F.lit(0), F.size("p") - width))
-    inside = lambda c, i: F.slice(c, i + 1, width)
+    # slice copies the whole array for each window
+    some = lambda test, i: reduce(or_, [test(i + k) for k in range(width)])
     found = (
         F.filter(every, lambda i: table.holds(_window_hash(F.col("p"), i, width))),
-        F.filter(every, lambda i: F.array_contains(inside("s", i), NAME) & table.holds(_window_hash(F.col("s"), i, width))),
-        F.filter(every, lambda i: (inside("n", i) != inside("s", i)) & table.holds(_window_hash(F.col("n"), i, width))),
+        F.filter(every, lambda i: some(lambda k: F.get("s", k) == NAME, i) & table.holds(_window_hash(F.col("s"), i, width))),
+        F.filter(every, lambda i: some(lambda k: F.get("n", k) != F.get("s", k), i) & table.holds(_window_hash(F.col("n"), i, width))),
     )
     return F.concat(*[F.transform(f, lambda i, k=k: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.lit(k).alias("reading"))) for k, f in enumerate(found)])
 
