@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, token_counts, toxicity, url_filter
+from gridpanel.llm import (
+    bpe_trie,
+    collocations,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    mixing,
+    pii,
+    quality,
+    token_counts,
+    toxicity,
+    url_filter,
+    whitening,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,3 +102,45 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(*(table(spark, sf_dir, name) for name in ("documents", "labels", "pages")))
+
+
+@register
+def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trie.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), w -> w <> '') AS w
+    FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s FROM d)),
+u AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+o AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM u),
+f1 AS (SELECT lang, w1 AS g, count(*) AS f FROM o GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, w1 || ' ' || w2 AS g, count(*) AS f FROM o WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 AS g, count(*) AS f FROM o WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM o GROUP BY lang),
+longer AS (SELECT lang, g, max(f) AS m FROM (SELECT lang, w1 || ' ' || w2 AS g, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY lang, g),
+cut AS (
+    SELECT f2.lang, f2.g AS phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.g = f2.w1
+        JOIN f1 y ON y.lang = f2.lang AND y.g = f2.w2 LEFT JOIN longer m ON m.lang = f2.lang AND m.g = f2.g
+        WHERE f2.f >= 10 AND (m.m IS NULL OR 100 * m.m < 50 * f2.f)
+    UNION ALL SELECT f3.lang, f3.g, f3.f, 1, x.f, y.f FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.g = f3.w1
+        JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+    UNION ALL SELECT f3.lang, f3.g, f3.f, 2, x.f, y.f FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2
+        JOIN f1 y ON y.lang = f3.lang AND y.g = f3.w3),
+s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS q FROM s),
+c AS (SELECT b.lang, phrase, a, l, r, n.n, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM b JOIN n ON n.lang = b.lang WHERE q = 1)
+SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM c WHERE rank <= 2000"""
