@@ -122,7 +122,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op13_collocations"] = r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-p AS (SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), w -> w <> '') AS w
+p AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(s, '[^\x20\x09]+') AS w
     FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s FROM d)),
 u AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
 o AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM u),
