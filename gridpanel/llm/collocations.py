@@ -158,4 +158,4 @@ def mine(docs: DataFrame, least: int = 10, within: int = 50, top: int = 2000) ->
     for parts in (*SALTS, 1):  # a part hands on its first rows: no task sorts a whole language
         rows = rows.withColumn("_salt", F.pmod("_salt", F.lit(parts)))
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
-    return rows.select("lang", F.col("rank").cast("int").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return rows.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -143,4 +143,4 @@ s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS scor
 b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS q FROM s),
 c AS (SELECT b.lang, phrase, a, l, r, n.n, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank
     FROM b JOIN n ON n.lang = b.lang WHERE q = 1)
-SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM c WHERE rank <= 2000"""
+SELECT lang, rank, phrase, a, l, r, n, score FROM c WHERE rank <= 2000"""
