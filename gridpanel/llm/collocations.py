@@ -3,7 +3,8 @@
 The texts give one table of counts: the longest gram that starts at every word. A gram of full length is an edge between the two overlapping shorter grams
 (nodes) that it consists of, weighted with its count; a shorter one ends its piece and is kept as a correction. All other counts follow without
 another look at the texts: a node occurs as often as its outgoing edges and the pieces that end in it, and the same holds one length below. So every word
-position is shuffled once, after partial aggregation, whatever the number of lengths.
+position is shuffled once, whatever the number of lengths: tasks count the grams of some megabytes of text, and send them packed by buckets of nodes. All
+edges out of a node lie in one bucket, so its flow needs no shuffle of its own, and only what is frequent and the counts of words leave a bucket.
 
 Nodes with one edge in, one edge out and one weight have no piece that starts or ends in them. Chains of them (unary paths: passages that always occur whole)
 are compacted to one row, found by pointer doubling. A path lies within every piece that touches it, so no path is longer than the longest piece. Inside a
@@ -13,27 +14,155 @@ counts of nodes again.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count, islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.llm.common import ascii_lower
+from gridpanel.llm.shingles import mix
 from gridpanel.session import written
 
-PIECE_END = r"[.,;:!?\x0A-\x0D]"
 LONGEST = 3
+TOKENS = 1 << 20  # words and piece ends that a task counts at once
+BUCKETS = 8  # of nodes, for each input partition: a bucket holds the grams of some 20 MB of text and is reduced in memory
 SALTS = (1024, 32)  # parts of a language in which the best phrases are chosen before they meet
+# words, and piece ends (one for a run of them)
+_TOKEN = re.compile("[^ \t.,;:!?\n\x0b\x0c\r]+|[.,;:!?\n\x0b\x0c\r]+")
+_ENDS = frozenset(".,;:!?\n\x0b\x0c\r")
+WORD, NODE, EDGE = 0, 1, 2  # kinds of counts
+
+
+class _Chunk:
+    """Words and piece ends of texts, numbered for each language."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.next = count()
+        self.numbers: dict[str, defaultdict] = {}
+        self.parts: list[np.ndarray] = []
+        self.left_out: list[int] = []  # places whose grams are counted elsewhere
+        self.size = 0
+
+    def add(self, lang: str, tokens: list[str], goes_on: bool = False) -> None:
+        """Take the tokens of a text or of a part of it; the next part repeats the last two tokens, and counts the grams that start there."""
+        numbers = self.numbers.get(lang)
+        if numbers is None:
+            numbers = self.numbers[lang] = defaultdict(self.next.__next__)
+        self.parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
+        self.size += len(tokens)
+        if goes_on:
+            self.left_out += [self.size - 2, self.size - 1]
+
+    def counted(self) -> Iterator[pa.RecordBatch]:
+        """(bucket, lang, lines): the longest gram at each word with its count, a line each; words and counts are parted by tabs."""
+        ids = np.concatenate([*self.parts, [-1, -1]]) if self.parts else np.zeros(0, np.int64)
+        n = next(self.next)
+        words, langs = np.empty(n, object), np.empty(n, np.int32)
+        names = list(self.numbers)
+        for k, lang in enumerate(names):
+            at = np.fromiter(self.numbers[lang].values(), np.int64, len(self.numbers[lang]))
+            words[at], langs[at] = list(self.numbers[lang]), k
+        left_out = self.left_out
+        self.clear()
+        if not n:
+            return
+        end = np.fromiter((w[0] in _ENDS for w in words), bool, n)
+        ids[:-2][end[ids[:-2]]] = -1
+        first, second, third = ids[:-2], ids[1:-1], ids[2:]
+        third = np.where(second < 0, -1, third)
+        keep = first >= 0
+        keep[left_out] = False
+        packed, c = np.unique((first[keep] << 42) | (second[keep] + 1 << 21) | (third[keep] + 1), return_counts=True)
+        low = (1 << 21) - 1
+        grams = (packed >> 42, (packed >> 21 & low) - 1, (packed & low) - 1)
+        hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
+        second_hash = np.where(grams[1] >= 0, hashes[grams[1]], np.uint64(1 << 40))
+        bucket = (mix(hashes[grams[0]] << np.uint64(32) ^ second_hash) % np.uint64(self.buckets)).astype(np.int64)
+        group = bucket * len(names) + langs[grams[0]]
+        order = np.argsort(group, kind="stable")
+        table = pa.array([*words, ""], pa.string())
+        columns = [table.take(pa.array(np.where(g < 0, n, g)[order])) for g in grams]
+        lines = pc.binary_join_element_wise(*columns, pa.array(c[order]).cast(pa.string()), "\t")
+        group = group[order]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(group)).astype(np.int32)), lines)
+        at = group[starts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at // len(names)), pa.array(names, pa.string()).take(pa.array(at % len(names))), pc.binary_join(lists, "\n")], names=["bucket", "lang", "lines"])
+
+
+def _count_grams(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _Chunk(buckets)
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if len(text) < TOKENS:
+                    chunk.add(lang, [*_TOKEN.findall(text), "."])
+                else:
+                    found = (m.group() for m in _TOKEN.finditer(text))
+                    tokens = list(islice(found, TOKENS // 2))
+                    while following := list(islice(found, TOKENS // 2)):
+                        chunk.add(lang, tokens, goes_on=True)
+                        if chunk.size >= TOKENS:
+                            yield from chunk.counted()
+                        tokens = tokens[-2:] + following
+                    chunk.add(lang, [*tokens, "."])
+                if chunk.size >= TOKENS:
+                    yield from chunk.counted()
+        yield from chunk.counted()
+
+    return run
 
 
-def grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, size, c): how often each gram of three words occurs, and each shorter one that is the end of its piece."""
-    pieces = F.split(ascii_lower(F.coalesce("text", F.lit(""))), PIECE_END)
-    words = F.filter(F.split("piece", r"[\x20\x09]+"), lambda w: w != "")
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(pieces).alias("piece"))
-    rows = rows.withColumn("w", words).where(F.size("w") > 0)
-    last = F.size("w") - 1
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    counts = rows.select("lang", F.explode(starts).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
-    return counts.withColumn("size", F.size(F.split("gram", " ")))
+def _sums(table: pa.Table, keys: list[str], sums: list[str]) -> pa.Table:
+    out = table.group_by(keys, use_threads=False).aggregate([(c, "sum") for c in sums])
+    return out.select([*keys, *[f"{c}_sum" for c in sums]]).rename_columns([*keys, *sums])
+
+
+def _reduce_bucket(least: int):
+    """Counts of a bucket: the words' shares, and the nodes and edges that occur ``least`` times, with the number of edges out of a node."""
+    def run(table: pa.Table) -> pa.Table:
+        lines = pc.split_pattern(table.column("lines").combine_chunks(), "\n")
+        lang = table.column("lang").combine_chunks().take(pc.list_parent_indices(lines))
+        fields = pc.split_pattern(lines.flatten(), "\t").flatten()
+        w1, w2, w3, c = (fields.take(pa.array(np.arange(i, len(fields), 4))) for i in range(4))
+        grams = _sums(pa.table({"lang": lang, "w1": w1, "w2": w2, "w3": w3, "c": c.cast(pa.int64())}), ["lang", "w1", "w2", "w3"], ["c"])
+        ends = pc.equal(grams.column("w3"), "")
+        nodes = grams.append_column("outs", pc.if_else(ends, 0, 1)).append_column("end", pc.if_else(ends, grams.column("c"), 0))
+        nodes = _sums(nodes, ["lang", "w1", "w2"], ["c", "outs", "end"])
+        words = _sums(nodes, ["lang", "w1"], ["c"])
+        nodes = nodes.filter(pc.and_(pc.not_equal(nodes.column("w2"), ""), pc.greater_equal(nodes.column("c"), least)))
+        edges = grams.filter(pc.and_(pc.invert(ends), pc.greater_equal(grams.column("c"), least)))
+        out = []
+        for kind, part, keys in ((WORD, words, ["w1"]), (NODE, nodes, ["w1", "w2"]), (EDGE, edges, ["w1", "w2", "w3"])):
+            gram = part.column(keys[0]) if len(keys) == 1 else pc.binary_join_element_wise(*[part.column(k) for k in keys], " ")
+            single = pc.and_(pc.equal(part.column("outs"), 1), pc.equal(part.column("end"), 0)) if kind == NODE else pa.nulls(len(part), pa.bool_())
+            out.append(pa.table({"kind": pa.array(np.full(len(part), kind, np.int32)), "lang": part.column("lang"), "gram": gram, "c": part.column("c"), "single": single}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def grams(docs: DataFrame, least: int) -> DataFrame:
+    """(kind, lang, gram, c, single): parts of the counts of all words, and the counts of the nodes and edges that occur ``least`` times.
+
+    ``single`` tells that one edge leaves a node, and that no piece ends in it.
+    """
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
+    buckets = BUCKETS * max(1, rows.rdd.getNumPartitions())  # grows with the table
+    packed = rows.mapInArrow(_count_grams(buckets), "bucket bigint, lang string, lines string")
+    return packed.groupBy("bucket").applyInArrow(_reduce_bucket(least), "kind int, lang string, gram string, c bigint, single boolean")
 
 
 def _first(gram: Column | str, n: int) -> Column:
@@ -44,24 +173,10 @@ def _last(gram: Column | str, n: int) -> Column:
     return F.substring_index(gram, " ", -n)
 
 
-def nodes(counts: DataFrame) -> DataFrame:
-    """(lang, node, f, unary) of all pairs of words: f from the flow out of the node and the pieces that end in it."""
-    edges, ends = counts.where(F.col("size") == LONGEST), counts.where(F.col("size") == LONGEST - 1)
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    sides = F.array(
-        F.struct(_first("gram", 2).alias("node"), F.col("c").alias("out"), one.alias("outs"), zero.alias("in"), zero.alias("ins")),
-        F.struct(_last("gram", 2).alias("node"), zero.alias("out"), zero.alias("outs"), F.col("c").alias("in"), one.alias("ins")))
-    flow = edges.select("lang", F.explode(sides).alias("s")).select("lang", "s.*", zero.alias("end"))
-    flow = flow.unionByName(ends.select("lang", F.col("gram").alias("node"), *[zero.alias(x) for x in ("out", "outs", "in", "ins")], F.col("c").alias("end")))
-    found = flow.groupBy("lang", "node").agg(*[F.sum(x).alias(x) for x in ("out", "outs", "in", "ins", "end")])
-    unary = (F.col("outs") == 1) & (F.col("ins") == 1) & (F.col("out") == F.col("in")) & (F.col("end") == 0)
-    return found.select("lang", "node", (F.col("out") + F.col("end")).alias("f"), unary.alias("unary"))
-
-
-def words(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lang, word, f): the flow of the nodes that start with a word, and the pieces that end in it."""
-    ends = counts.where(F.col("size") == 1).select("lang", F.col("gram").alias("word"), F.col("c").alias("f"))
-    return pairs.select("lang", _first("node", 1).alias("word"), "f").unionByName(ends).groupBy("lang", "word").agg(F.sum("f").alias("f"))
+def unary_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes(lang, node, f, single)`` with unary: one edge out, and one in that has the whole weight, so that nothing starts or ends in the node."""
+    into = edges.groupBy("lang", _last("gram", 2).alias("node")).agg(F.max("c").alias("most"))
+    return nodes.join(into, ["lang", "node"], "left").select("lang", "node", "f", (F.col("single") & F.coalesce(F.col("most") == F.col("f"), F.lit(False))).alias("unary"))
 
 
 def paths(edges: DataFrame, unary: DataFrame) -> DataFrame:
@@ -107,12 +222,11 @@ def candidates(docs: DataFrame, least: int = 10, within: int = 50) -> DataFrame:
 
     A phrase goes if a longer candidate that holds it has at least ``within`` hundredths of its count.
     """
-    counts = written(grams(docs))
-    pairs = written(nodes(counts))
-    singles = written(words(counts, pairs))
+    counts = written(grams(docs, least))
+    singles = written(counts.where(F.col("kind") == WORD).groupBy("lang", F.col("gram").alias("word")).agg(F.sum("c").alias("f")))
     totals = singles.groupBy("lang").agg(F.sum("f").alias("n"))
-    heavy = pairs.where(F.col("f") >= least)
-    edges = counts.where((F.col("size") == LONGEST) & (F.col("c") >= least)).select("lang", "gram", "c")
+    edges = counts.where(F.col("kind") == EDGE).select("lang", "gram", "c")
+    heavy = written(unary_nodes(counts.where(F.col("kind") == NODE).select("lang", F.col("gram").alias("node"), F.col("c").alias("f"), "single"), edges))
     graph = written(paths(edges, heavy.where("unary").select("lang", "node")))
     # edges of the paths, with the counts of their nodes where these lie inside a path
     last = F.size("words") - 3
