@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 MARK = 256  # added to the byte that ends a word
 PART = 1_000_000  # characters of a text that are split at once, cut at white space
-WORDS, NODES = 300_000, 800_000  # words (of the last while, and as many of the while before) and trie nodes that a task keeps; others are built anew
+WORDS, NODES = 150_000, 400_000  # words (of the last while, and as many of the while before) and trie nodes that a task keeps; others are built anew
 DEEP = 128  # symbols of a word that get nodes; what is deeper belongs to one word and lives while that word is read
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")  # fixed values: the splitter of the vocabulary file takes these as words of their own
 
@@ -58,15 +57,12 @@ class Encoder:
     """Words to ids by a trie; one for each Python worker and vocabulary file."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)  # normalizes and splits texts with code points newer than Python's tables
+        self.path = path
         with open(path) as f:
             spec = json.load(f)
         vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.strings = [""] * (1 + max([*vocabulary.values(), *self.special.values()]))
-        for token, i in [*vocabulary.items(), *self.special.items()]:
-            self.strings[i] = token
         self.letters = _byte_letters()
         # tokens are numbered by the time at which merges make them: single symbols first
         rank = {chr(c): c for c in range(2 * MARK)}
@@ -173,7 +169,8 @@ class Encoder:
         if not text.isascii():
             if (_kinds()[_codes(text)] == 4).any():
                 stand_in = dict(zip(self.letters, range(256), strict=True))
-                found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                library = _library(self.path)
+                found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
                 return [bytes(stand_in[c] for c in word).decode("utf-8", "surrogatepass") for word, _ in found]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a last sigma is lower-cased like any other
         text = text.lower()
@@ -244,9 +241,6 @@ class Encoder:
             out.extend([self.special[part]] if i % 2 else self.words(part))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.strings.__getitem__, ids))
-
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -262,19 +256,53 @@ def _cut(text: str) -> Iterator[str]:
         start = stop
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _library(path: str):
+    """The tokenizer's own library; it normalizes and splits texts with code points that are newer than Python's tables."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
 def encoder_for(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=1)
+def strings_for(path: str) -> list[str]:
+    """The string of each id."""
+    with open(path) as f:
+        spec = json.load(f)
+    strings = dict(spec["model"]["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [""] * (1 + max(strings.values()))
+    for token, i in strings.items():
+        out[i] = token
+    return out
+
+
+def decode_ids(ids: list[int], strings: list[str]) -> str:
+    return " ".join(map(strings.__getitem__, ids))
+
+
+def _slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` in size; a larger row is a range of its own."""
+    part = np.cumsum(sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
+    yield from zip(edges[:-1], edges[1:], strict=True)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         for batch in batches:
-            found = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            offsets = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+            sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b in _slices(sizes, 2 * PART):
+                part = batch.slice(a, b - a)
+                found = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                offsets = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return run
 
@@ -291,14 +319,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(path)
+        strings = strings_for(path)
         for batch in batches:
-            column = batch.column("ids")
-            flat, offsets = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(column).fill_null(0))))
-            texts = [encoder.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            digests = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(digests, pa.string())],
-                                             names=[*batch.schema.names, "decoded", "ids_sha256"])
+            sizes = pa.compute.list_value_length(batch.column("ids")).fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b in _slices(sizes, PART // 2):
+                part = batch.slice(a, b - a)
+                flat, offsets = part.column("ids").flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes[a:b])))
+                rows = [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+                texts = pa.array([decode_ids(r.tolist(), strings) for r in rows], pa.string())
+                digests = pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts, digests], names=[*batch.schema.names, "decoded", "ids_sha256"])
 
     return run
 
