@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -179,13 +180,27 @@ def multinomial_loglik(df: DataFrame, row: Sequence[str], obs: str, pred: str) -
     return df.groupBy(*row).agg(F.sum(F.col(obs) * log_floor(F.col(pred), FLOOR)).alias("ll"))
 
 
+def poisson_draws(y: str, scale: float = 1.0) -> Callable:
+    """Log-likelihood of a count under the utilities of every draw, summed over the classes, for ``drawstore.pointwise_moments``."""
+    def loglik(values: dict, u):
+        eta, count = u * scale, values[y]
+        constant = np.array([math.lgamma(v + 1.0) for v in count])
+        return (count[:, None, None] * eta - np.exp(eta) - constant[:, None, None]).sum(axis=2)
+
+    return loglik
+
+
 def waic(ll: DataFrame, row: Sequence[str], value: str = "ll") -> DataFrame:
-    """lppd, p_waic and WAIC from pointwise log-likelihoods by draw, with the standard error of WAIC."""
+    """lppd, p_waic and WAIC from a stored table of pointwise log-likelihoods by draw, with the standard error of WAIC."""
     src = with_group_values(ll, row, _m=F.max(value))
-    per = src.groupBy(*row).agg(
+    return waic_of_moments(src.groupBy(*row).agg(
         (F.max("_m") + F.log(F.avg(F.exp(F.col(value) - F.col("_m"))))).alias("lpd"), F.var_samp(value).alias("p")
-    ).withColumn("elpd", F.col("lpd") - F.col("p"))
-    return per.agg(
+    ))
+
+
+def waic_of_moments(per: DataFrame) -> DataFrame:
+    """WAIC from the rows' lpd and p, which ``drawstore.pointwise_moments`` forms without a rows × draws table."""
+    return per.withColumn("elpd", F.col("lpd") - F.col("p")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("lpd").alias("lppd"), F.sum("p").alias("p_waic"), (F.sum("elpd") * -2).alias("waic"),
         (2 * F.sqrt(F.count(F.lit(1)) * F.var_samp("elpd"))).alias("se"),
     )

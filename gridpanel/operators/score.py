@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.functions.scalar import log_floor, normal_icdf
+from gridpanel.operators import drawstore as ds
 from gridpanel.operators.design import Paths, edges
 from gridpanel.operators.focal import focal_columns
 from gridpanel.plans.skew import HASH_BITS, hash_order
 from gridpanel.session import cut_lineage
 
-POOLED = "__pooled__"  # group label of the pooled coefficients
+POOLED = ds.POOLED
 
 
 # ---- row expressions -------------------------------------------------------------------------------------------
@@ -97,41 +98,9 @@ def _matrix(b) -> np.ndarray:
     return np.asarray([list(r) for r in b], dtype=float)
 
 
-def load_coefficients(coef: DataFrame, group: str, draw: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> list[dict[str, np.ndarray]]:
-    """Read coefficient matrices into blocks {group: array[draw, class, cov]} of at most ``chunk_bytes`` where draws allow.
-
-    A plug-in table is one block.  Draws are split into as many blocks as their size asks for; the sizes are counted
-    before anything is read.
-    """
-    if draw is None:
-        return [{r[group]: _matrix(r["b"])[None] for r in coef.select(group, "b").collect()}]
-    cells = F.size("b") * F.size(F.get("b", F.lit(0))) * 8
-    coef = coef.persist()
-    try:
-        sizes = coef.groupBy(draw).agg(F.sum(cells).alias("n")).orderBy(draw).collect()
-        blocks: list[list] = []
-        filled = chunk_bytes + 1
-        for r in sizes:
-            if filled + r["n"] > chunk_bytes:
-                blocks.append([])
-                filled = 0
-            blocks[-1].append(r[draw])
-            filled += r["n"]
-        out = []
-        for draws in blocks:
-            part = coef.where(F.col(draw).between(draws[0], draws[-1])).select(group, draw, "b").collect()
-            mats: dict[str, list] = {}
-            for r in sorted(part, key=lambda r: r[draw]):
-                mats.setdefault(r[group], []).append(_matrix(r["b"]))
-            out.append({g: np.stack(m) for g, m in mats.items()})
-        return out
-    finally:
-        coef.unpersist()
-
-
-def np_softmax(u: np.ndarray) -> np.ndarray:
-    e = np.exp(u - u.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
+def load_coefficients(coef: DataFrame, group: str) -> dict[str, np.ndarray]:
+    """A plug-in table as {group: array[1, class, cov]}; callers have checked its size. Draws go through ``drawstore``."""
+    return {r[group]: _matrix(r["b"])[None] for r in coef.select(group, "b").collect()}
 
 
 def _by_group(groups: pd.Series, block: dict) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -143,13 +112,6 @@ def _by_group(groups: pd.Series, block: dict) -> Iterator[tuple[np.ndarray, np.n
         yield np.flatnonzero(label == g), block[g], g == POOLED
 
 
-def _expand(u: np.ndarray, class_map: Sequence[int] | None) -> np.ndarray:
-    if class_map is None:
-        return u
-    m = np.asarray(class_map)
-    return u[..., m] - np.log(np.bincount(m)[m])
-
-
 def predict_shares(
     df: DataFrame, coef: DataFrame, group: str, x: str = "x", class_map: Sequence[int] | None = None,
     offset: str | None = None, out: str = "p",
@@ -162,7 +124,7 @@ def predict_shares(
     size = coef.agg(F.sum(F.size("b") * F.size(F.get("b", F.lit(0))) * 8).alias("n")).first()["n"] or 0
     if size > CHUNK_BYTES:
         return _predict_joined(df, coef, group, x, class_map, offset, out)
-    block = df.sparkSession.sparkContext.broadcast(load_coefficients(coef, group)[0])
+    block = df.sparkSession.sparkContext.broadcast(load_coefficients(coef, group))
 
     @F.pandas_udf("u array<double>, pooled boolean, p array<double>")
     def score(xs: pd.Series, groups: pd.Series, extra: pd.Series) -> pd.DataFrame:
@@ -172,7 +134,7 @@ def predict_shares(
             ug = design[at] @ b[0].T
             if offset:
                 ug = ug + np.vstack(extra.to_numpy()[at])
-            pg = np_softmax(_expand(ug, class_map))
+            pg = ds.np_softmax(ds.expand(ug, class_map))
             pooled[at] = is_pooled
             for i, row in enumerate(at):
                 u[row], p[row] = ug[i], pg[i]
@@ -198,89 +160,12 @@ def _predict_joined(
     return joined.withColumn(out, softmax(final)).select(*df.columns, "u", "pooled", out)
 
 
-def _chunk_sums(df: DataFrame, blocks: list[dict], kernel: Callable, x: str, group: str, extra: Sequence[Column], size: int) -> DataFrame:
-    """Add ``_sum``: the sum over all draws of an array-valued kernel, one Arrow pass per coefficient block."""
-    def pass_over(shared):
-        @F.pandas_udf("array<double>")
-        def chunk(xs: pd.Series, groups: pd.Series, off: pd.Series, cap: pd.Series) -> pd.Series:
-            design = np.vstack(xs.to_numpy())
-            total = np.zeros((len(xs), size))
-            for at, b, _ in _by_group(groups, shared.value):
-                for lo in range(0, len(b), 8):  # a few draws at a time keep the working array small
-                    u = np.einsum("nk,djk->ndj", design[at], b[lo : lo + 8])
-                    total[at] += kernel(u, off.to_numpy()[at], cap.to_numpy()[at]).sum(axis=1)
-            return pd.Series(list(total))
-
-        return chunk
-
-    sc = df.sparkSession.sparkContext
-    parts = []
-    for i, block in enumerate(blocks):
-        df = df.withColumn(f"_part{i}", pass_over(sc.broadcast(block))(F.col(x), F.col(group), *extra))
-        parts.append(F.col(f"_part{i}"))
-    total = parts[0]
-    for p in parts[1:]:
-        total = F.zip_with(total, p, lambda a, b: a + b)
-    return df.withColumn("_sum", total).drop(*[f"_part{i}" for i in range(len(parts))])
-
-
 def predict_predictive(
     df: DataFrame, draws: DataFrame, key: Sequence[str], group: str, draw: str, n_classes: int, x: str = "x",
-    out: str = "p", class_map: Sequence[int] | None = None, chunk_bytes: int = CHUNK_BYTES,
-) -> DataFrame:
-    """Posterior-predictive shares: softmax averaged over draws (group, draw, b); unseen groups use the pooled draws.
-
-    A row's average forms inside its own batch, so nothing is shuffled however many draws there are.
-    """
-    blocks = load_coefficients(draws, group, draw, chunk_bytes)
-    counts = _draw_counts(blocks)
-    none = F.lit(None).cast("double")
-    scored = _chunk_sums(df, blocks, lambda u, off, cap: np_softmax(_expand(u, class_map)), x, group, [none, none], n_classes)
-    n = F.coalesce(F.try_element_at(F.create_map(*counts), F.col(group)), F.lit(_pooled_count(blocks))).cast("long")
-    return scored.withColumn("n_draws", n).select(*key, "n_draws", F.transform("_sum", lambda v: v / F.col("n_draws")).alias(out))
-
-
-def _draw_counts(blocks: list[dict]) -> list[Column]:
-    total: dict[str, int] = {}
-    for blk in blocks:
-        for g, b in blk.items():
-            total[g] = total.get(g, 0) + len(b)
-    return [F.lit(v) for g, n in total.items() for v in (g, n)]
-
-
-def _pooled_count(blocks: list[dict]) -> int | None:
-    return sum(len(blk[POOLED]) for blk in blocks if POOLED in blk) or None
-
-
-def draw_totals(
-    df: DataFrame, draws: DataFrame, by: str, group: str, draw: str, weight: str, classes: Sequence[str], x: str = "x",
-    chunk_bytes: int = CHUNK_BYTES,
+    out: str = "p", class_map: Sequence[int] | None = None, chunk_bytes: int = ds.CHUNK_BYTES,
 ) -> DataFrame:
-    """Weighted class totals per (by, class, draw): every batch is reduced to its totals before anything is shuffled."""
-    sc = df.sparkSession.sparkContext
-    src = df.select(F.col(by).cast("string").alias("_by"), F.col(group).alias("_g"), F.col(x).alias("_x"), F.col(weight).cast("double").alias("_w"))
-    out, first = None, 0
-    for blk in load_coefficients(draws, group, draw, chunk_bytes):
-        shared = sc.broadcast(blk)
-        base = first
-
-        def totals(batches: Iterator[pd.DataFrame], shared=shared, base=base) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                acc: dict[tuple[str, int], np.ndarray] = {}
-                design, w, label = np.vstack(batch["_x"].to_numpy()) if len(batch) else None, batch["_w"].to_numpy(), batch["_by"].to_numpy()
-                for at, b, _ in _by_group(batch["_g"], shared.value) if len(batch) else ():
-                    for d in range(len(b)):
-                        p = np_softmax(design[at] @ b[d].T) * w[at][:, None]
-                        for k in pd.unique(label[at]):
-                            got = p[label[at] == k].sum(axis=0)
-                            acc[(k, base + d)] = acc.get((k, base + d), 0.0) + got
-                rows = [(k, d, classes[j], float(v)) for (k, d), tot in acc.items() for j, v in enumerate(tot)]
-                yield pd.DataFrame(rows, columns=[by, "draw", "class", "total"])
-
-        part = src.mapInPandas(totals, f"{by} string, draw int, class string, total double")
-        out = part if out is None else out.unionByName(part)
-        first += max(len(b) for b in blk.values())
-    return out.groupBy(by, "class", "draw").agg(F.sum("total").alias("total"))
+    """Posterior-predictive shares: softmax averaged over draws (group, draw, b); unseen groups use the pooled draws."""
+    return ds.predictive_shares(df, ds.matrix_parts(draws, group, draw), key, group, n_classes, x, class_map, out=out, chunk_bytes=chunk_bytes)
 
 
 def marginal_draws(group_coef: DataFrame, pooled: DataFrame, cov: str, cls: str, value: str, draws: int, seed: int) -> DataFrame:
@@ -312,24 +197,6 @@ def predict_count(
     return rate if density else rate * F.exp(offset)
 
 
-def predict_count_draws(
-    df: DataFrame, draws: DataFrame, key: Sequence[str], group: str, draw: str, offset: str, x: str = "x",
-    cap: str | None = None, out: str = "mu", density: bool = False, chunk_bytes: int = CHUNK_BYTES,
-) -> DataFrame:
-    """Posterior-predictive counts: the cap acts on every draw's density before averaging.  One class per matrix."""
-    def kernel(u: np.ndarray, off: np.ndarray, top: np.ndarray) -> np.ndarray:
-        rate = np.exp(u)
-        if cap:
-            rate = np.minimum(rate, top.astype(float)[:, None, None])
-        return rate if density else rate * np.exp(off.astype(float))[:, None, None]
-
-    blocks = load_coefficients(draws, group, draw, chunk_bytes)
-    limit = F.col(cap).cast("double") if cap else F.lit(None).cast("double")
-    scored = _chunk_sums(df, blocks, kernel, x, group, [F.col(offset).cast("double"), limit], 1)
-    n = F.coalesce(F.try_element_at(F.create_map(*_draw_counts(blocks)), F.col(group)), F.lit(_pooled_count(blocks))).cast("long")
-    return scored.withColumn("n_draws", n).select(*key, "n_draws", (F.get("_sum", F.lit(0)) / F.col("n_draws")).alias(out))
-
-
 # ---- nested probabilities --------------------------------------------------------------------------------------
 
 

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridpanel.operators import draws as dr
+from gridpanel.operators import drawstore as ds
 from gridpanel.operators import estimate as es
 from gridpanel.operators import score as so
 from gridpanel.operators.windows import autocovariance
 from gridpanel.queries.base import Tables, query
 from gridpanel.queries.design import COVS
-from gridpanel.queries.scoring import BETA, CLASSES, THINNED, draw_matrices, icdf_sql, rows
+from gridpanel.queries.scoring import CLASSES, WIDE, icdf_sql, model, rows, soft, unpivoted
 
 
 @query(
@@ -310,24 +311,14 @@ def _(t: Tables):
     return dr.effective_parameters(kappa, ["cov"])
 
 
-PERDRAW = f"""{BETA}, {THINNED}, al AS (SELECT * FROM th UNION ALL SELECT chain, iter, cov, class, 'g4', beta FROM tp),
-    ud AS (SELECT "row", grp, chain, iter, class, sum(value * beta) AS u FROM dl JOIN al USING (grp, cov) GROUP BY 1, 2, 3, 4, 5), pd AS (SELECT *, exp(u) / sum(exp(u)) OVER (PARTITION BY "row", chain, iter) AS p FROM ud)"""
-
-
-def per_draw(t: Tables):
-    """Class shares of every row under every thinned draw: row, grp, draw, x1, u and p arrays."""
-    m = draw_matrices(t).withColumnRenamed("grp", "_grp")
-    src = rows(t).withColumn("_grp", F.when(F.col("grp") == "g4", so.POOLED).otherwise(F.col("grp")))
-    return src.join(m, "_grp").withColumn("u", so.utilities(F.col("x"), F.col("b"))).withColumn("p", so.softmax(F.col("u"))).drop("b", "_grp")
-
-
 @query(
     "g18_predicted_totals", "draws design", dbl="est_q025:5 est_median:5 est_q975:5",
-    sql=f"""WITH {PERDRAW}, tt AS (SELECT pd.grp, class, chain, iter, sum(p * x1) AS t FROM pd JOIN design d ON d."row" = pd."row" GROUP BY 1, 2, 3, 4)
+    sql=f"""WITH {WIDE}, pd AS (SELECT *, {soft()} FROM wu), ts AS (SELECT grp, chain, iter, {", ".join(f"sum(p{i} * x1) AS t{i}" for i in range(4))} FROM pd GROUP BY 1, 2, 3),
+        tt AS (SELECT grp, {unpivoted("t{i}", "t")} FROM ts)
         SELECT grp, class, quantile_cont(t, 0.025) AS est_q025, median(t) AS est_median, quantile_cont(t, 0.975) AS est_q975 FROM tt GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    totals = so.draw_totals(rows(t), draw_matrices(t), "grp", "grp", "draw", "x1", CLASSES)
+    totals = ds.predictive_totals(rows(t), model(t), "grp", "grp", "x1", CLASSES, ["row"])
     return dr.predicted_totals(totals, ["grp", "class"])
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridpanel.operators import drawstore as ds
 from gridpanel.operators import metrics as me
 from gridpanel.queries.base import Tables, query
-from gridpanel.queries.draws import PERDRAW, per_draw
+from gridpanel.queries.scoring import WIDE, model, rows
 from gridpanel.queries.spatial import _h
 
 CLL = """pc AS (SELECT {by}class, count(*) AS n, sum(obs) AS so, avg(obs) AS mo, avg({p}) AS mp, sum(obs * ln(greatest({p}, 1e-12))) AS ll, sum(CASE WHEN obs > 0 THEN obs * ln(obs) ELSE 0 END) AS lp, corr(obs, {p}) AS c FROM {src} GROUP BY ALL),
@@ -164,12 +165,11 @@ def _(t: Tables):
 
 @query(
     "e11_waic", "draws design", dbl="lppd:5 p_waic:6 waic:4 se:5",
-    sql=f"""WITH {PERDRAW}, pl AS (SELECT "row", chain, iter, x2 * (u * 0.2) - exp(u * 0.2) - lgamma(x2 + 1) AS ll FROM ud JOIN design USING ("row") WHERE class = 'c0'), mx AS (SELECT *, max(ll) OVER (PARTITION BY "row") AS m FROM pl),
-        pw AS (SELECT "row", max(m) + ln(avg(exp(ll - m))) AS lpd, var_samp(ll) AS p FROM mx GROUP BY 1) SELECT count(*) AS n, sum(lpd) AS lppd, sum(p) AS p_waic, -2 * sum(lpd - p) AS waic, 2 * sqrt(count(*) * var_samp(lpd - p)) AS se FROM pw""",
+    sql=f"""WITH {WIDE}, pl AS (SELECT "row", {" + ".join(f"x2 * (u{i} * 0.2) - exp(u{i} * 0.2) - lgamma(x2 + 1)" for i in range(4))} AS ll FROM wu), mx AS (SELECT "row", max(ll) AS m FROM pl GROUP BY 1),
+        pw AS (SELECT "row", max(m) + ln(avg(exp(ll - m))) AS lpd, var_samp(ll) AS p FROM pl JOIN mx USING ("row") GROUP BY 1) SELECT count(*) AS n, sum(lpd) AS lppd, sum(p) AS p_waic, -2 * sum(lpd - p) AS waic, 2 * sqrt(count(*) * var_samp(lpd - p)) AS se FROM pw""",
 )
 def _(t: Tables):
-    ll = per_draw(t).select("row", "draw", me.poisson_loglik(F.col("x2"), F.col("u")[0] * 0.2).alias("ll"))
-    return me.waic(ll, ["row"])
+    return me.waic_of_moments(ds.pointwise_moments(rows(t), model(t), ["row"], "grp", 4, me.poisson_draws("x2", 0.2), ["x2"]))
 
 
 @query(

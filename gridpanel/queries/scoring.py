@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridpanel.operators import drawstore as ds
 from gridpanel.operators import score as so
-from gridpanel.operators import split as sp
 from gridpanel.operators.trees import score_trees
+from gridpanel.plans.skew import group_quantiles
 from gridpanel.queries.base import Tables, query
 from gridpanel.queries.design import ALT, COVS, alt_block
 from gridpanel.queries.spatial import CLASSES as LU_CLASSES
@@ -49,29 +50,43 @@ def _(t: Tables):
     return so.explode_classes(so.predict_shares(rows(t), coefs(t), "grp"), ["row", "pooled"], "p", CLASSES)
 
 
-def draw_matrices(t: Tables, max_draws: int = 2):
-    """Thinned draws as matrices per (group, draw), pooled ones included; draws are numbered over chains."""
-    kept = sp.thin(t.draws, ["param", "chain"], "iter", max_draws).withColumn("value", F.col("value") * SCALE)
-    ids = kept.select("chain", "iter").distinct().groupBy().agg(F.array_sort(F.collect_set(F.struct("chain", "iter"))).alias("_ids")).withColumn("_one", F.lit(1))
-    kept = kept.withColumn("_one", F.lit(1)).join(ids, "_one")
-    kept = kept.withColumn("draw", F.array_position("_ids", F.struct("chain", "iter"))).drop("_ids", "_one")
-    own = so.coefficient_matrix(kept, ["grp", "draw"], "cov", "class", "value", COVS, CLASSES)
-    pooled = so.coefficient_matrix(kept.withColumn("grp", F.lit(so.POOLED)), ["grp", "draw"], "cov", "class", "value", COVS, CLASSES)
-    return own.unionByName(pooled)
+def all_draws(t: Tables):
+    """Every draw of every chain, under one number."""
+    d = t.draws.withColumn("value", F.col("value") * SCALE)
+    return d.withColumn("draw", F.col("chain").cast("long") * F.lit(2**32) + F.col("iter"))
+
+
+def model(t: Tables):
+    """All draws as records: a matrix per draw for every group, and the pooled one."""
+    d = all_draws(t)
+    args = ("grp", "draw", "cov", "class", "value", COVS, CLASSES)
+    return ds.coefficient_parts(d, *args).unionByName(ds.coefficient_parts(d.withColumn("grp", F.lit(so.POOLED)), *args))
+
+
+IJ = [(i, j) for i in range(4) for j in range(4)]
+# one row per row and draw, the coefficients of its group (or the pooled ones) as columns b<class><covariate>
+WIDE = f"""wo AS (SELECT grp, chain, iter, {", ".join(f"avg(value) FILTER (class = 'c{i}' AND cov = 'x{j}') * 5 AS b{i}{j}" for i, j in IJ)} FROM draws GROUP BY 1, 2, 3),
+    wp AS (SELECT 'g4' AS grp, chain, iter, {", ".join(f"avg(b{i}{j}) AS b{i}{j}" for i, j in IJ)} FROM wo GROUP BY 2, 3), wd AS (SELECT * FROM wo UNION ALL SELECT * FROM wp),
+    wu AS (SELECT "row", grp, chain, iter, x0, x1, x2, x3, {", ".join("+".join(f"b{i}{j} * x{j}" for j in range(4)) + f" AS u{i}" for i in range(4))} FROM design JOIN wd USING (grp))"""
 
 
-THINNED = """th AS (SELECT chain, iter, cov, class, grp, value * 5 AS beta FROM (SELECT *, max(iter) OVER (PARTITION BY param, chain) AS n FROM draws) WHERE (iter - 1) % greatest(1, CAST(ceil(n / 2.0) AS BIGINT)) = 0),
-    tp AS (SELECT chain, iter, cov, class, avg(beta) AS beta FROM th GROUP BY 1, 2, 3, 4)"""
+def soft(u: str = "u") -> str:
+    """Columns p0..p3: the softmax of u0..u3."""
+    high = f"greatest({', '.join(f'{u}{i}' for i in range(4))})"
+    return ", ".join(f"exp({u}{i} - {high}) / ({' + '.join(f'exp({u}{k} - {high})' for k in range(4))}) AS p{i}" for i in range(4))
+
+
+def unpivoted(value: str, out: str, n: int = 4) -> str:
+    return f"unnest([{', '.join(repr(f'c{i}') for i in range(n))}]) AS class, unnest([{', '.join(value.format(i=i) for i in range(n))}]) AS {out}"
 
 
 @query(
     "q4_posterior_predictive", "draws design", dbl="p",
-    sql=f"""WITH {BETA}, {THINNED}, al AS (SELECT * FROM th UNION ALL SELECT chain, iter, cov, class, 'g4', beta FROM tp),
-        ud AS (SELECT "row", chain, iter, class, sum(value * beta) AS u FROM dl JOIN al USING (grp, cov) GROUP BY 1, 2, 3, 4), sd AS (SELECT *, exp(u) / sum(exp(u)) OVER (PARTITION BY "row", chain, iter) AS p FROM ud)
-        SELECT "row", class, avg(p) AS p, count(*) AS n_draws FROM sd GROUP BY 1, 2""",
+    sql=f"""WITH {WIDE}, pd AS (SELECT *, {soft()} FROM wu)
+        SELECT "row", n_draws, {unpivoted("a{i}", "p")} FROM (SELECT "row", count(*) AS n_draws, {", ".join(f"avg(p{i}) AS a{i}" for i in range(4))} FROM pd GROUP BY 1)""",
 )
 def _(t: Tables):
-    p = so.predict_predictive(rows(t), draw_matrices(t), ["row"], "grp", "draw", 4)
+    p = ds.predictive_shares(rows(t), model(t), ["row"], "grp", 4)
     return so.explode_classes(p, ["row", "n_draws"], "p", CLASSES)
 
 
@@ -130,16 +145,25 @@ def _(t: Tables):
     return scored.select("row", capped.alias("mu"), so.predict_count(eta, off, dispersion=F.lit(1.7), density=True).alias("density"))
 
 
+def stored_quantiles(t: Tables):
+    """Density quantiles of the training rows per class, as a fit stores them."""
+    k = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.lit(i + 1.0).alias("f")) for i, c in enumerate(CLASSES)])).alias("k")
+    long = t.design.select(k, "x1").select("k.class", (F.col("x1") * F.col("k.f")).alias("density"))
+    return group_quantiles(long, ["class"], "density", {"99%": 0.99, "100%": 1.0}).unpivot(["class"], ["99%", "100%"], "quantile", "density")
+
+
 @query(
-    "q7_predict_count_draws", "draws design", dbl="mu",
-    sql=f"""WITH {BETA}, {THINNED}, al AS (SELECT * FROM th UNION ALL SELECT chain, iter, cov, class, 'g4', beta FROM tp),
-        ud AS (SELECT "row", chain, iter, sum(value * beta) AS u FROM dl JOIN al USING (grp, cov) WHERE class = 'c0' GROUP BY 1, 2, 3)
-        SELECT "row", count(*) AS n_draws, avg(least(exp(u), 1.5) * (x1 + 1)) AS mu FROM ud JOIN design USING ("row") GROUP BY 1""",
+    "q7_predict_count_draws", "draws design", dbl="mu:7",
+    sql=f"""WITH {WIDE}, rd AS (SELECT chain, iter, {", ".join(f"1 + abs(avg(value) FILTER (class = 'c{i}')) AS r{i}" for i in range(4))} FROM draws GROUP BY 1, 2),
+        qs AS (SELECT quantile_cont(x1, 0.99) AS q FROM design)
+        SELECT "row", n_draws, {unpivoted("a{i}", "mu")} FROM (SELECT "row", count(*) AS n_draws, {", ".join(f"avg(least(r{i} * exp(u{i}), q * {i + 1}) * (x1 + 1)) AS a{i}" for i in range(4))}
+            FROM wu JOIN rd USING (chain, iter) CROSS JOIN qs GROUP BY 1)""",
 )
 def _(t: Tables):
-    src = rows(t).withColumn("off", F.log(F.col("x1") + 1)).withColumn("cap", F.lit(1.5))
-    one = draw_matrices(t).withColumn("b", F.slice("b", 1, 1))
-    return so.predict_count_draws(src, one, ["row"], "grp", "draw", "off", cap="cap")
+    src = ds.stored_cap(rows(t).withColumn("off", F.log(F.col("x1") + 1)), stored_quantiles(t), "99%", CLASSES)
+    r = all_draws(t).groupBy("draw").agg(F.array(*[1 + F.abs(F.avg(F.when(F.col("class") == c, F.col("value") / SCALE))) for c in CLASSES]).alias("r"))
+    out = ds.predictive_counts(src, model(t).unionByName(ds.vector_parts(r, "draw", "r", "dispersion")), ["row"], "grp", "off", 4, cap="cap")
+    return so.explode_classes(out, ["row", "n_draws"], "mu", CLASSES, "mu")
 
 
 NEST = {"c0": ["n1"], "c1": ["n1"], "c2": [], "c3": []}
@@ -189,15 +213,34 @@ def _(t: Tables):
     return so.explode_classes(score_trees(src, tree_nodes(t), "x", CLASSES), ["row"], "f", CLASSES, "f")
 
 
+def grown(i: int) -> str:
+    return f"greatest(least(CASE WHEN x1 <= t{i}0 + 2.5 THEN t{i}1 WHEN x3 <= t{i}3 + 0.5 THEN t{i}2 ELSE t{i}3 END, 1.0), -1.0) AS f{i}"
+
+
+HYBRID = f"""{WIDE}, wt AS (SELECT chain, iter, {", ".join(f"b{i}{j} AS t{i}{j}" for i, j in IJ)} FROM wp),
+    wf AS (SELECT wu.*, {", ".join(grown(i) for i in range(4))} FROM wu JOIN wt USING (chain, iter)), wh AS (SELECT *, {", ".join(f"u{i} + f{i} - (f0 + f1 + f2 + f3) / 4 AS h{i}" for i in range(4))} FROM wf)"""
+
+
+def draw_trees(t: Tables):
+    """One tree per draw and class, grown from that draw's pooled coefficients."""
+    v = all_draws(t).groupBy("draw", F.col("class").alias("ensemble")).pivot("cov", COVS).agg(F.avg("value"))
+    spec = [(1, 1, F.col("x0") + 2.5), (2, -1, F.col("x1")), (3, 3, F.col("x3") + 0.5), (4, -1, F.col("x2")), (5, -1, F.col("x3"))]
+    cells = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(k).alias("var"), e.alias("value")) for n, k, e in spec])
+    return v.select("draw", "ensemble", F.lit(1).alias("tree"), F.explode(cells).alias("n")).select("draw", "ensemble", "tree", "n.*")
+
+
+TREE_TERM = {"x": "x", "ensembles": CLASSES, "cap": 1.0}
+
+
 @query(
     "q15_hybrid_prediction", "draws design", dbl="p",
-    sql=f"""WITH {BETA}, {TREES}, h AS (SELECT "row", ut.class, u + f - avg(f) OVER (PARTITION BY "row") AS u FROM ut JOIN tf USING ("row", class))
-        SELECT "row", class, exp(u) / sum(exp(u)) OVER (PARTITION BY "row") AS p FROM h""",
+    sql=f"""WITH {HYBRID}, pd AS (SELECT "row", {soft("h")} FROM wh)
+        SELECT "row", n_draws, {unpivoted("a{i}", "p")} FROM (SELECT "row", count(*) AS n_draws, {", ".join(f"avg(p{i}) AS a{i}" for i in range(4))} FROM pd GROUP BY 1)""",
 )
 def _(t: Tables):
-    src = score_trees(rows(t).select("row", "grp", "x"), tree_nodes(t), "x", CLASSES)
-    src = src.withColumn("f", so.hybrid_offset(F.col("f"), 4))
-    return so.explode_classes(so.predict_shares(src, coefs(t), "grp", offset="f"), ["row"], "p", CLASSES)
+    parts = model(t).unionByName(ds.tree_parts(draw_trees(t)))
+    out = ds.predictive_shares(rows(t), parts, ["row"], "grp", 4, trees=TREE_TERM)
+    return so.explode_classes(out, ["row", "n_draws"], "p", CLASSES)
 
 
 def state(t: Tables):
