@@ -238,6 +238,26 @@ def predictive_shares(
     return sums.select(*key, F.col("n").alias("n_draws"), F.transform("s", lambda v: v / F.col("n")).alias(out))
 
 
+def ensemble_means(
+    rows: DataFrame, model: DataFrame, key: Sequence[str], x: str, ensembles: Sequence[str], cap: float | None = None, out: str = "f", **sizes: int
+) -> DataFrame:
+    """key and the sum over trees per ensemble, each draw's sum capped at ±cap, averaged over the draws; zeros without any draw."""
+    def kernel(a: pa.Table, chunk: Chunk) -> Iterator[dict]:
+        design = array_column(a, x)
+        s = np.zeros((a.num_rows, len(ensembles)))
+        for r, d in slices(len(design), len(chunk.draws), len(ensembles)):
+            s[r] += chunk.ensemble(design[r], ensembles, chunk.draws[d], cap).sum(axis=1)
+        yield {**{k: a.column(k) for k in key}, "n": pa.array(np.full(a.num_rows, len(chunk.draws))), "s": pa.array(list(s))}
+
+    source = rows.select(*dict.fromkeys([*key, x]))
+    parts, chunks = product(source, model, kernel, _schema(source, key, "n bigint, s array<double>"), **sizes)
+    sums = _added(parts, chunks, key, len(ensembles))
+    mean = F.transform("s", lambda v: v / F.col("n"))
+    if model.isEmpty():
+        return source.select(*key, F.array(*[F.lit(0.0)] * len(ensembles)).alias(out))
+    return sums.select(*key, mean.alias(out))
+
+
 def predictive_counts(
     rows: DataFrame, model: DataFrame, key: Sequence[str], group: str, offset: str, classes: int, x: str = "x", cap: str | None = None,
     trees: dict | None = None, density: bool = False, out: str = "mu", **sizes: int,
@@ -329,3 +349,18 @@ def pointwise_moments(rows: DataFrame, model: DataFrame, key: Sequence[str], gro
     lpd = F.col("top") + F.log(add(lambda q: q["s"] * F.exp(q["top"] - F.col("top"))) / F.col("n"))
     spread = add(lambda q: q["m2"] + q["n"] * (q["mean"] - F.col("mean")) * (q["mean"] - F.col("mean")))
     return merged.select(*key, F.col("n").cast("bigint").alias("n"), lpd.alias("lpd"), F.when(F.col("n") > 1, spread / (F.col("n") - 1)).alias("p"))
+
+
+def partial_dependence(
+    rows: DataFrame, model: DataFrame, cols: Sequence[str], var: str, group: str, classes: int, points: int = 50, trees: dict | None = None, **sizes: int
+) -> DataFrame:
+    """group, point, value and the mean shares over all draws (and their trees) along a grid of one covariate, the others at their means.
+
+    Every fitted group is followed, and the pooled coefficients under the name ``POOLED``.
+    """
+    means = rows.agg(*[F.avg(c).alias(c) for c in cols if c != var], F.min(var).alias("_lo"), F.max(var).alias("_hi"))  # one row
+    grid = means.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    grid = grid.withColumn("value", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / F.lit(float(points - 1)))
+    grid = grid.withColumn("x", F.array(*[F.col("value") if c == var else F.col(c) for c in cols])).select("point", "value", "x", F.lit(1).alias("_one"))
+    groups = model.where(F.col("kind") == "coef").select(F.col("a").alias(group)).distinct().withColumn("_one", F.lit(1))
+    return predictive_shares(grid.join(groups, "_one"), model, [group, "point", "value"], group, classes, trees=trees, **sizes)

@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpanel.functions.scalar import log_floor, normal_icdf
+from gridpanel.functions.scalar import normal_icdf
 from gridpanel.operators import drawstore as ds
-from gridpanel.operators.design import Paths, edges
 from gridpanel.operators.focal import focal_columns
 from gridpanel.plans.skew import HASH_BITS, hash_order
 from gridpanel.session import cut_lineage
@@ -197,48 +196,7 @@ def predict_count(
     return rate if density else rate * F.exp(offset)
 
 
-# ---- nested probabilities --------------------------------------------------------------------------------------
-
-
-def predict_nested(
-    x_long: DataFrame, key: str, coefs: DataFrame, paths: Paths, classes: Sequence[str] | None = None
-) -> DataFrame:
-    """Nested class probabilities from long covariates (key, cov, value).
-
-    ``coefs`` is (node, child, cov, beta); an inclusive value enters a parent as covariate ``IV_<child>``.  Levels are
-    scored from the deepest node up, one join per level; the class probability is the product along its path.  A node
-    without coefficients splits evenly.
-    """
-    steps = edges(paths)
-    deepest = max(d for *_, d in steps)
-    by_depth = {d: sorted({(n, c) for _, n, c, dd in steps if dd == d}) for d in range(deepest + 1)}
-    feats, probs = x_long.select(key, "cov", "value"), None
-    rows = x_long.select(key).distinct()
-    for depth in range(deepest, -1, -1):
-        pairs = by_depth[depth]
-        nodes = sorted({n for n, _ in pairs})
-        level = coefs.where(F.col("node").isin(*nodes))
-        scored = feats.join(level, "cov").groupBy(key, "node", "child").agg(F.sum(F.col("value") * F.col("beta")).alias("u"))
-        grid = rows.withColumn("_e", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("node"), F.lit(c).alias("child")) for n, c in pairs
-        ]))).select(key, "_e.*")
-        full = grid.join(scored, [key, "node", "child"], "left").fillna(0.0, ["u"])
-        w = Window.partitionBy(key, "node")
-        full = full.withColumn("_m", F.max("u").over(w)).withColumn("_e", F.exp(F.col("u") - F.col("_m")))
-        full = full.withColumn("_s", F.sum("_e").over(w)).withColumn("p", F.col("_e") / F.col("_s"))
-        part = full.select(key, "node", "child", "p")
-        probs = part if probs is None else probs.unionByName(part)
-        if depth > 0:
-            iv = full.groupBy(key, "node").agg((F.max("_m") + F.log(F.max("_s"))).alias("value"))
-            iv = iv.select(key, F.concat(F.lit("IV_"), F.col("node")).alias("cov"), "value")
-            feats = feats.unionByName(iv)
-    names = sorted(paths) if classes is None else list(classes)
-    lookup = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("class"), F.lit(n).alias("node"), F.lit(k).alias("child")) for c, n, k, _ in steps if c in names
-    ]))
-    table = x_long.sparkSession.range(1).select(lookup.alias("_e")).select("_e.*")
-    out = probs.join(table, ["node", "child"]).groupBy(key, "class").agg(F.exp(F.sum(log_floor(F.col("p"), 1e-300))).alias("p"))
-    return out
+# ---- alternative-specific terms and state ---------------------------------------------------------------------
 
 
 def alt_utility(z: DataFrame, delta: DataFrame, keys: Sequence[str], baseline: str | None = None) -> DataFrame:
@@ -323,16 +281,6 @@ def marginal_effects(p: DataFrame, coef: DataFrame, group: str, cls: str, cov: s
     return tot.withColumn("ame", F.col("ame") - F.avg("ame").over(Window.partitionBy(cov)))
 
 
-def partial_dependence(df: DataFrame, cols: Sequence[str], var: str, coef: DataFrame, group: str, points: int = 50) -> DataFrame:
-    """Shares along a grid of one covariate, the others at their means; scored per coefficient row."""
-    means = df.agg(*[F.avg(c).alias(c) for c in cols if c != var], F.min(var).alias("_lo"), F.max(var).alias("_hi"))
-    grid = means.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    grid = grid.withColumn(var, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / F.lit(float(points - 1)))
-    grid = feature_array(grid, cols).withColumn("_one", F.lit(1))
-    joined = grid.join(coef.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(group, F.col("_i").alias("point"), F.col(var).alias("value"), softmax(utilities(F.col("x"), F.col("b"))).alias("p"))
-
-
 def hybrid_offset(f: Column, classes: int, symmetric: bool = True, cap: float | None = None) -> Column:
     """Tree contribution to utilities: capped, then centred over classes (symmetric) or with a zero baseline appended."""
     g = f if cap is None else F.transform(f, lambda v: F.greatest(F.least(v, F.lit(cap)), F.lit(-cap)))

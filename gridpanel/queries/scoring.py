@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridpanel.operators import drawstore as ds
+from gridpanel.operators import nested as ne
 from gridpanel.operators import score as so
-from gridpanel.operators.trees import score_trees
 from gridpanel.plans.skew import group_quantiles
 from gridpanel.queries.base import Tables, query
 from gridpanel.queries.design import ALT, COVS, alt_block
@@ -169,20 +169,68 @@ def _(t: Tables):
 NEST = {"c0": ["n1"], "c1": ["n1"], "c2": [], "c3": []}
 
 
+ROOT = ["x0", "x12", "x3"]  # the root's design: x1 and x2 are routed into one column
+TREE = ne.nest_tree(NEST, COVS, routes={"root": [["x0"], ["x1", "x2"], ["x3"]]}, alternatives=["root"])
+
+
+def nested_model(t: Tables):
+    """Records of a nest {c0, c1} beside c2 and c3: inclusive values enter n1 with 0.6 + b33 / 10 and c2 with 0.1; δ of the root per draw."""
+    d = all_draws(t)
+    d = d.unionByName(d.withColumn("grp", F.lit(so.POOLED)).groupBy("param", "cov", "class", "grp", "chain", "iter", "draw").agg(F.avg("value").alias("value")))
+    inner = d.where(F.col("class").isin("c0", "c1")).select("grp", "draw", "cov", "class", "value")
+    own = d.where(F.col("class").isin("c2", "c3") & (F.col("cov") != "x2")).select(
+        "grp", "draw", F.when(F.col("cov") == "x1", "x12").otherwise(F.col("cov")).alias("cov"), "class", "value")
+    pivot = d.where((F.col("class") == "c3") & (F.col("cov") == "x3")).groupBy("grp", "draw").agg(F.avg("value").alias("value"))
+    pairs = F.explode(F.array(F.struct(F.lit("n1").alias("class"), (0.6 + F.col("value") / 10).alias("v")), F.struct(F.lit("c2").alias("class"), F.lit(0.1).alias("v")))).alias("e")
+    through = pivot.select("grp", "draw", F.lit("IV_n1").alias("cov"), pairs).select("grp", "draw", "cov", "e.class", F.col("e.v").alias("value"))
+    mean = lambda c: F.avg(F.when(F.col("class") == c, F.col("value")))
+    delta = d.where(F.col("grp") != so.POOLED).groupBy("draw").agg(F.array(mean("c0"), mean("c1"), F.lit(0.0)).alias("v"))
+    parts = ne.node_parts(inner, TREE, "n1", "grp", "draw", "cov", "class", "value", COVS)
+    parts = parts.unionByName(ne.node_parts(own.unionByName(through), TREE, "root", "grp", "draw", "cov", "class", "value", ROOT))
+    return parts.unionByName(ne.delta_parts(delta, "root", "draw", "v"))
+
+
+def nested_rows(t: Tables):
+    return rows(t).withColumn("z", F.array("x3", F.col("x1") / 4, F.lit(0.0)))
+
+
+def nested_sql(source: str) -> str:
+    """Columns of log probabilities l0..l3 over ``source`` with b<class><covariate>, d0, d1, the design x0..x3 and the alternative values z0, z1."""
+    u = [" + ".join(f"b{i}{j} * x{j}" for j in range(4)) for i in (0, 1)]
+    r = [f"b{i}0 * x0 + b{i}1 * (x1 + x2) + b{i}3 * x3" for i in (2, 3)]
+    return f"""SELECT *, vn - lt + u0 - iv AS l0, vn - lt + u1 - iv AS l1, v2 - lt AS l2, v3 - lt AS l3 FROM (SELECT *, ln(exp(vn) + exp(v2) + exp(v3)) AS lt FROM (
+        SELECT *, (0.6 + b33 / 10) * iv + d0 * z0 AS vn, r2 + 0.1 * iv + d1 * z1 AS v2, r3 AS v3 FROM (SELECT *, ln(exp(u0) + exp(u1)) AS iv FROM (
+        SELECT *, {u[0]} AS u0, {u[1]} AS u1, {r[0]} AS r2, {r[1]} AS r3 FROM ({source})))))"""
+
+
+DELTAS = "dd AS (SELECT chain, iter, avg(value) FILTER (class = 'c0') * 5 AS d0, avg(value) FILTER (class = 'c1') * 5 AS d1 FROM draws GROUP BY 1, 2)"
+NESTED = 'SELECT wd.*, d0, d1, "row", x0, x1, x2, x3, x3 AS z0, x1 / 4 AS z1 FROM design JOIN wd USING (grp) JOIN dd USING (chain, iter)'
+
+
 @query(
     "q8_predict_nested", "draws design", dbl="p",
-    sql=f"""WITH {BETA}, lam AS (SELECT 0.5 + avg(value) AS l FROM draws), up AS (SELECT "row", class, sum(value * beta) AS u FROM dl JOIN bp USING (cov) GROUP BY 1, 2),
-        w AS (SELECT "row", max(CASE class WHEN 'c0' THEN u END) AS u0, max(CASE class WHEN 'c1' THEN u END) AS u1, max(CASE class WHEN 'c2' THEN u END) AS u2, max(CASE class WHEN 'c3' THEN u END) AS u3 FROM up GROUP BY 1),
-        v AS (SELECT *, l * ln(exp(u0) + exp(u1)) AS un FROM w, lam), s AS (SELECT *, exp(un) + exp(u2) + exp(u3) AS t FROM v)
-        SELECT "row", k AS class, CASE k WHEN 'c0' THEN exp(un) / t * exp(u0) / (exp(u0) + exp(u1)) WHEN 'c1' THEN exp(un) / t * exp(u1) / (exp(u0) + exp(u1)) WHEN 'c2' THEN exp(u2) / t ELSE exp(u3) / t END AS p
-        FROM s CROSS JOIN (VALUES ('c0'), ('c1'), ('c2'), ('c3')) c(k)""",
+    sql=f"""WITH {WIDE}, {DELTAS}, pl AS ({nested_sql(NESTED)})
+        SELECT "row", n_draws, {unpivoted("a{i}", "p")} FROM (SELECT "row", count(*) AS n_draws, {", ".join(f"avg(exp(l{i})) AS a{i}" for i in range(4))} FROM pl GROUP BY 1)""",
+)
+def _(t: Tables):
+    out = ne.predict_nested(nested_rows(t), nested_model(t), ["row"], "grp", TREE, z="z")
+    return so.explode_classes(out, ["row", "n_draws"], "p", TREE.classes)
+
+
+STEP = "1e-4::DOUBLE"
+MOVED = f"""SELECT * EXCLUDE (x0, x1, x2, x3), {", ".join(f"x{j} + CASE WHEN j = {j} THEN sg * {STEP} ELSE 0 END AS x{j}" for j in range(4))}
+    FROM ({NESTED}) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS j) CROSS JOIN (SELECT unnest([-1, 1]) AS sg)"""
+
+
+@query(
+    "q13_nested_effects", "draws design", dbl="median:5 q025:5 q975:5",
+    sql=f"""WITH {WIDE}, {DELTAS}, pl AS ({nested_sql(MOVED)}),
+        pd AS (SELECT chain, iter, 'x' || j AS cov, {", ".join(f"sum(sg * l{i}) / (count(*) * {STEP}) AS a{i}" for i in range(4))} FROM pl GROUP BY 1, 2, 3),
+        ce AS (SELECT cov, {unpivoted("a{i} - (a0 + a1 + a2 + a3) / 4", "ame")} FROM pd)
+        SELECT cov, class, median(ame) AS median, quantile_cont(ame, 0.025) AS q025, quantile_cont(ame, 0.975) AS q975 FROM ce GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    base = t.draws.groupBy("cov", "class").agg((F.avg("value") * SCALE).alias("beta"))
-    own = base.select(F.when(F.col("class").isin("c0", "c1"), "n1").otherwise("root").alias("node"), F.col("class").alias("child"), "cov", "beta")
-    lam = t.draws.agg((F.avg("value") + 0.5).alias("beta")).select(F.lit("root").alias("node"), F.lit("n1").alias("child"), F.lit("IV_n1").alias("cov"), "beta")
-    x = t.design.unpivot(["row"], COVS, "cov", "value")
-    return so.predict_nested(x, "row", own.unionByName(lam), NEST)
+    return ne.nested_effects(nested_rows(t), nested_model(t), ["row"], "grp", TREE, COVS, z="z")
 
 
 @query(
@@ -195,24 +243,6 @@ def _(t: Tables):
     return so.alt_utility(alt_block(t).withColumn("block", F.lit("block")), delta, ["row"], baseline="right")
 
 
-def tree_nodes(t: Tables):
-    """One tree per (draw, class), grown from the draw means: x1 at the top, x3 on its right."""
-    v = t.draws.groupBy(F.col("grp").alias("draw"), F.col("class").alias("ensemble")).pivot("cov", COVS).agg(F.avg("value") * SCALE)
-    spec = [(1, 1, F.col("x0") + 2.5), (2, -1, F.col("x1")), (3, 3, F.col("x3") + 0.5), (4, -1, F.col("x2")), (5, -1, F.col("x3"))]
-    cells = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(k).alias("var"), e.alias("value")) for n, k, e in spec])
-    return v.select("draw", "ensemble", F.lit(1).alias("tree"), F.explode(cells).alias("n")).select("draw", "ensemble", "tree", "n.*")
-
-
-TREES = """tv AS (SELECT grp AS draw, class, avg(value) FILTER (cov = 'x0') * 5 AS v0, avg(value) FILTER (cov = 'x1') * 5 AS v1, avg(value) FILTER (cov = 'x2') * 5 AS v2, avg(value) FILTER (cov = 'x3') * 5 AS v3 FROM draws GROUP BY 1, 2),
-    tf AS (SELECT "row", class, avg(CASE WHEN x1 <= v0 + 2.5 THEN v1 WHEN x3 <= v3 + 0.5 THEN v2 ELSE v3 END) AS f FROM design CROSS JOIN tv GROUP BY 1, 2)"""
-
-
-@query("q11_score_trees", "draws design", dbl="f", sql=f'WITH {TREES} SELECT "row", class, f FROM tf')
-def _(t: Tables):
-    src = rows(t).select("row", "x")
-    return so.explode_classes(score_trees(src, tree_nodes(t), "x", CLASSES), ["row"], "f", CLASSES, "f")
-
-
 def grown(i: int) -> str:
     return f"greatest(least(CASE WHEN x1 <= t{i}0 + 2.5 THEN t{i}1 WHEN x3 <= t{i}3 + 0.5 THEN t{i}2 ELSE t{i}3 END, 1.0), -1.0) AS f{i}"
 
@@ -232,6 +262,16 @@ def draw_trees(t: Tables):
 TREE_TERM = {"x": "x", "ensembles": CLASSES, "cap": 1.0}
 
 
+@query(
+    "q11_score_trees", "draws design", dbl="f",
+    sql=f"""WITH {WIDE}, wt AS (SELECT chain, iter, {", ".join(f"b{i}{j} AS t{i}{j}" for i, j in IJ)} FROM wp)
+        SELECT "row", {unpivoted("a{i}", "f")} FROM (SELECT "row", {", ".join(f"avg(f{i}) AS a{i}" for i in range(4))} FROM (SELECT "row", {", ".join(grown(i) for i in range(4))} FROM design CROSS JOIN wt) GROUP BY 1)""",
+)
+def _(t: Tables):
+    out = ds.ensemble_means(rows(t), ds.tree_parts(draw_trees(t)), ["row"], "x", CLASSES, 1.0)
+    return so.explode_classes(out, ["row"], "f", CLASSES, "f")
+
+
 @query(
     "q15_hybrid_prediction", "draws design", dbl="p",
     sql=f"""WITH {HYBRID}, pd AS (SELECT "row", {soft("h")} FROM wh)
@@ -296,12 +336,15 @@ def _(t: Tables):
 
 @query(
     "q14_partial_dependence", "draws design", dbl="value p",
-    sql=f"""WITH {BETA}, be AS (SELECT * FROM bg UNION ALL SELECT 'pooled', * FROM bp), m AS (SELECT avg(x0) AS m0, avg(x2) AS m2, avg(x3) AS m3, min(x1) AS lo, max(x1) AS hi FROM design),
-        g AS (SELECT CAST(i AS INTEGER) AS point, lo + (hi - lo) * i / 19.0::DOUBLE AS value, m0, m2, m3 FROM m CROSS JOIN (SELECT unnest(range(20)) AS i)),
-        u AS (SELECT grp, point, value, class, sum(beta * CASE cov WHEN 'x0' THEN m0 WHEN 'x1' THEN value WHEN 'x2' THEN m2 ELSE m3 END) AS u FROM g CROSS JOIN be GROUP BY 1, 2, 3, 4)
-        SELECT grp, point, value, class, exp(u) / sum(exp(u)) OVER (PARTITION BY grp, point) AS p FROM u""",
+    sql=f"""WITH {WIDE}, wt AS (SELECT chain, iter, {", ".join(f"b{i}{j} AS t{i}{j}" for i, j in IJ)} FROM wp), m AS (SELECT avg(x0) AS x0, avg(x2) AS x2, avg(x3) AS x3, min(x1) AS lo, max(x1) AS hi FROM design),
+        g AS (SELECT CAST(i AS INTEGER) AS point, lo + (hi - lo) * i / 19.0::DOUBLE AS x1, x0, x2, x3 FROM m CROSS JOIN (SELECT unnest(range(20)) AS i)),
+        gu AS (SELECT wd.grp, point, x1, {", ".join("+".join(f"b{i}{j} * x{j}" for j in range(4)) + f" AS u{i}" for i in range(4))}, {", ".join(grown(i) for i in range(4))} FROM g CROSS JOIN wd JOIN wt USING (chain, iter)),
+        gh AS (SELECT *, {", ".join(f"u{i} + f{i} - (f0 + f1 + f2 + f3) / 4 AS h{i}" for i in range(4))} FROM gu), pd AS (SELECT *, {soft("h")} FROM gh)
+        SELECT CASE grp WHEN 'g4' THEN 'pooled' ELSE grp END AS grp, point, x1 AS value, n_draws, {unpivoted("a{i}", "p")}
+        FROM (SELECT grp, point, x1, count(*) AS n_draws, {", ".join(f"avg(p{i}) AS a{i}" for i in range(4))} FROM pd GROUP BY 1, 2, 3)""",
 )
 def _(t: Tables):
-    out = so.partial_dependence(t.design, COVS, "x1", coefs(t), "grp", 20)
+    parts = model(t).unionByName(ds.tree_parts(draw_trees(t)))
+    out = ds.partial_dependence(t.design, parts, COVS, "x1", "grp", 4, 20, trees=TREE_TERM)
     out = out.withColumn("grp", F.when(F.col("grp") == so.POOLED, "pooled").otherwise(F.col("grp")))
-    return so.explode_classes(out, ["grp", "point", "value"], "p", CLASSES)
+    return so.explode_classes(out, ["grp", "point", "value", "n_draws"], "p", CLASSES)

@@ -14,14 +14,15 @@ from gridpanel.operators import allocate as al
 from gridpanel.operators import classes as cl
 from gridpanel.operators import design as de
 from gridpanel.operators import draws as dr
+from gridpanel.operators import drawstore as ds
 from gridpanel.operators import estimate as es
 from gridpanel.operators import focal as fo
 from gridpanel.operators import joins as jn
 from gridpanel.operators import metrics as me
+from gridpanel.operators import nested as ne
 from gridpanel.operators import score as so
 from gridpanel.operators import screens as sc
 from gridpanel.operators import split as sp
-from gridpanel.operators import trees as tr
 from gridpanel.operators import windows as wn
 from gridpanel.plans.skew import average_ranks, hash_order
 
@@ -410,21 +411,121 @@ def test_trees_walk_like_a_plain_reader(spark):
     nodes = spark.createDataFrame([(d, e, t, n, v, s) for (d, e, t), ns in trees.items() for n, (v, s) in enumerate(ns)], "draw int, ensemble string, tree int, node int, var int, value double")
     x = rng.normal(size=(40, 3))
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "row int, x array<double>")
-    for chunk in (500_000, 5):
-        got = {r["row"]: r["f"] for r in tr.score_trees(df, nodes, "x", ["A", "B"], cap=1.0, chunk_nodes=chunk).collect()}
+    for chunk in (1 << 20, 300):
+        got = {r["row"]: r["f"] for r in ds.ensemble_means(df, ds.tree_parts(nodes), ["row"], "x", ["A", "B"], 1.0, chunk_bytes=chunk, block_rows=7).collect()}
         for i, row in enumerate(x):
             for j, e in enumerate(("A", "B")):
                 per = [np.clip(sum(read(trees[(d, e, t)], row)[0] for t in (1, 2)), -1, 1) for d in (1, 2, 3)]
                 assert math.isclose(got[i][j], np.mean(per), abs_tol=1e-12)
 
 
-def test_nested_probabilities_sum_to_one_and_even_split(spark):
-    x = spark.createDataFrame([(1, "x0", 1.0), (1, "x1", 0.4), (2, "x0", 1.0), (2, "x1", -2.0)], "row int, cov string, value double")
-    coefs = spark.createDataFrame([("root", "n", "IV_n", 0.7), ("root", "c", "x1", 0.5), ("n", "a", "x0", 0.2), ("n", "b", "x1", -1.0)], "node string, child string, cov string, beta double")
-    out = so.predict_nested(x, "row", coefs, {"a": ["n"], "b": ["n"], "c": []}).toPandas()
-    assert np.allclose(out.groupby("row")["p"].sum(), 1.0)
-    even = so.predict_nested(x, "row", coefs.where("node = 'none'"), {"a": ["n"], "b": ["n"], "c": []})
-    assert dict(rows(even.where("row = 1"), "class", "p")) == pytest.approx({"a": 0.25, "b": 0.25, "c": 0.5})
+def nested_by_hand(tree, mats, deltas, x, z):
+    """Class probabilities of one row under one draw, by plain recursion from the root."""
+    nodes = {n.name: n for n in tree.nodes}
+
+    def child_utilities(name):
+        n = nodes[name]
+        if name not in mats:
+            return None
+        f = [sum(x[c] for c in g) for g in n.routes] + [inclusive(c) for c in n.iv]
+        u = mats[name] @ np.array(f)
+        return u + deltas[name] * z[n.slot : n.slot + len(n.children)] if n.slot is not None else u
+
+    def inclusive(name):
+        u = child_utilities(name)
+        return 0.0 if u is None else math.log(sum(math.exp(v) for v in u))
+
+    def down(name, p):
+        if name not in nodes:
+            return {name: p}
+        u = child_utilities(name)
+        w = np.full(len(nodes[name].children), 1 / len(nodes[name].children)) if u is None else np.exp(u) / np.exp(u).sum()
+        return {k: v for c, q in zip(nodes[name].children, w) for k, v in down(c, p * q).items()}
+
+    found = down("root", 1.0)
+    return np.array([found[c] for c in tree.classes])
+
+
+@pytest.fixture(scope="module")
+def nested_case(spark):
+    """Three levels, an even node, routed columns, a nest without inclusive value, alternative terms, an unseen group, four draws."""
+    rng = np.random.default_rng(8)
+    paths = {"a1": ["A", "AA"], "a2": ["A", "AA"], "a3": ["A"], "b1": ["B"], "b2": ["B"], "e1": ["E"], "e2": ["E"], "c": []}
+    tree = ne.nest_tree(paths, ["x0", "x1", "x2"], {"A": [["x0"], ["x1", "x2"]]}, no_iv=["B"], alternatives=["root", "B"])
+    fitted = [n for n in tree.nodes if n.name != "E"]
+    mats = {(g, d, n.name): rng.normal(size=(len(n.children), n.features)) for g in ("g0", "g1", so.POOLED) for d in (1, 2, 5, 9) for n in fitted}
+    deltas = {(d, name): rng.normal(size=k) for d in (1, 2, 5, 9) for name, k in (("root", 4), ("B", 2))}
+    model = spark.createDataFrame(
+        [(d, "node", g, n, None, m.ravel().tolist()) for (g, d, n), m in mats.items()] + [(d, "delta", n, None, None, v.tolist()) for (d, n), v in deltas.items()], ds.PARTS)
+    data = [(i, f"g{i % 3}", [1.0, *rng.normal(size=2).tolist()], rng.normal(size=6).tolist()) for i in range(40)]
+    return tree, mats, deltas, model, data, spark.createDataFrame(data, "row int, grp string, x array<double>, z array<double>")
+
+
+def hand_draw(case, row, d, x=None):
+    tree, mats, deltas, *_ = case
+    g = row[1] if row[1] != "g2" else so.POOLED
+    return nested_by_hand(tree, {n: m for (h, e, n), m in mats.items() if (h, e) == (g, d)}, {n: v for (e, n), v in deltas.items() if e == d}, row[2] if x is None else x, np.array(row[3]))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 7, "chunk_bytes": 900}])
+def test_nested_prediction_equals_recursion(nested_case, sizes):
+    tree, _, _, model, data, df = nested_case
+    got = {r["row"]: r for r in ne.predict_nested(df, model, ["row"], "grp", tree, z="z", **sizes).collect()}
+    for row in data:
+        assert got[row[0]]["n_draws"] == 4
+        assert np.allclose(got[row[0]]["p"], np.mean([hand_draw(nested_case, row, d) for d in (1, 2, 5, 9)], axis=0), atol=1e-12)
+
+
+def test_nested_effects_equal_differences(nested_case):
+    tree, _, _, model, data, df = nested_case
+    got = {(r["draw"], r["class"], r["cov"]): r["ame"] for r in ne.effect_draws(df, model, ["row"], "grp", tree, ["x0", "x1", "x2"], z="z", block_rows=9, chunk_bytes=900).collect()}
+    h = 1e-5
+    for d in (1, 2, 5, 9):
+        want = np.zeros((len(tree.classes), 3))
+        for row in data:
+            for j in range(3):
+                up, down = (hand_draw(nested_case, row, d, [v + s * h * (k == j) for k, v in enumerate(row[2])]) for s in (1, -1))
+                want[:, j] += (np.log(up) - np.log(down)) / (2 * h) / len(data)
+        want -= want.mean(axis=0)
+        for i, c in enumerate(tree.classes):
+            for j in range(3):
+                assert math.isclose(got[d, c, f"x{j}"], want[i, j], abs_tol=1e-7)
+
+
+def test_unfitted_group_without_pooled_coefficients_is_an_error(spark, nested_case):
+    tree, _, _, model, _, df = nested_case
+    with pytest.raises(Exception, match="not fitted"):
+        ne.predict_nested(df, model.where(F.coalesce("a", F.lit("")) != so.POOLED), ["row"], "grp", tree, z="z").collect()
+
+
+def test_count_draws_with_dispersion_and_stored_cap(spark):
+    rng = np.random.default_rng(3)
+    mats = {d: rng.normal(size=(2, 2)) for d in range(1, 6)}
+    r = {d: rng.uniform(0.5, 2, size=2) for d in mats}
+    model = spark.createDataFrame([(d, "coef", so.POOLED, None, None, m.ravel().tolist()) for d, m in mats.items()] + [(d, "dispersion", None, None, None, v.tolist()) for d, v in r.items()], ds.PARTS)
+    data = [(i, None, [1.0, float(v)], 0.1 * i) for i, v in enumerate(rng.normal(size=20))]
+    df = spark.createDataFrame(data, "row int, grp string, x array<double>, off double")
+    stored = spark.createDataFrame([("A", "99%", 1.2), ("B", "99%", 2.5), ("A", "100%", 9.0)], "class string, quantile string, density double")
+    out = ds.predictive_counts(ds.stored_cap(df, stored, "99%", ["A", "B"]), model, ["row"], "grp", "off", 2, cap="cap", chunk_bytes=200, block_rows=6)
+    got = {x["row"]: x["mu"] for x in out.collect()}
+    for i, _, x, off in data:
+        want = np.mean([np.minimum(r[d] * np.exp(m @ x), [1.2, 2.5]) * math.exp(off) for d, m in mats.items()], axis=0)
+        assert np.allclose(got[i], want)
+    with pytest.raises(Exception, match="no stored quantile"):
+        ds.stored_cap(df, stored, "100%", ["A", "B"]).collect()
+
+
+def test_row_moments_merge_over_chunks(spark):
+    rng = np.random.default_rng(2)
+    mats = {d: rng.normal(size=(1, 2)) for d in range(1, 12)}
+    model = spark.createDataFrame([(d, "coef", so.POOLED, None, None, m.ravel().tolist()) for d, m in mats.items()], ds.PARTS)
+    data = [(i, "g", [1.0, float(v)], float(i % 4)) for i, v in enumerate(rng.normal(size=15))]
+    df = spark.createDataFrame(data, "row int, grp string, x array<double>, y double")
+    got = {r["row"]: r for r in ds.pointwise_moments(df, model, ["row"], "grp", 1, me.poisson_draws("y"), ["y"], chunk_bytes=200, block_rows=4).collect()}
+    for i, _, x, y in data:
+        eta = np.array([float((m @ x)[0]) for m in mats.values()])
+        ll = y * eta - np.exp(eta) - math.lgamma(y + 1)
+        assert got[i]["n"] == 11 and math.isclose(got[i]["lpd"], math.log(np.mean(np.exp(ll)))) and math.isclose(got[i]["p"], np.var(ll, ddof=1))
 
 
 # ---- draws -----------------------------------------------------------------------------------------------------
