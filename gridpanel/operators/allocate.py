@@ -16,6 +16,11 @@ from gridpanel.plans.skew import group_quantiles, join_null_safe, with_group_val
 from gridpanel.session import cut_lineage
 
 
+def _among(cls: str, names: Sequence[str]) -> Column:
+    """Whether the class is one of ``names``; a null class is none of them."""
+    return F.coalesce(F.col(cls).isin(*names), F.lit(False))
+
+
 # ---- carve-outs ------------------------------------------------------------------------------------------------
 
 
@@ -24,12 +29,12 @@ def carve_flag(
 ) -> DataFrame:
     """Move flag × (pool total) of every cell into a new class, taken from the pool in proportion to its members.
 
-    An area already stored under ``into`` is replaced.  The new row of a cell is generated from the cell's first pool
+    An area already stored under ``into`` is replaced; rows of a null class or cell stay.  The new row of a cell is generated from the cell's first pool
     row, so the table is read once.
     """
-    base = df.where(F.col(cls) != into).groupBy(cell, cls).agg(F.sum(area).alias(area))
-    base = base.join(flags.select(cell, F.col(flag).alias("_f")), cell, "left")
-    in_pool = F.col(cls).isin(*pool)
+    base = df.where(~F.col(cls).eqNullSafe(into)).groupBy(cell, cls).agg(F.sum(area).alias(area))
+    base = join_null_safe(base, flags.select(cell, F.col(flag).alias("_f")), [cell], "left")
+    in_pool = _among(cls, pool)
     whole = Window.partitionBy(cell)
     total = F.sum(F.when(in_pool, F.col(area)).otherwise(0.0)).over(whole)
     lead = F.row_number().over(whole.orderBy(F.when(in_pool, 0).otherwise(1), cls)) == 1
@@ -168,7 +173,7 @@ def rule_transitions(classes: DataFrame, rules: Sequence[dict], shares: DataFram
     """
     state = classes.select("geo", "class").distinct().withColumn("target", F.col("class")).withColumn("factor", F.lit(1.0))
     for rule in rules:
-        hit = F.col("target") == rule["from"]
+        hit = F.col("target").eqNullSafe(rule["from"])
         if rule["action"] == "rename":
             state = state.withColumn("target", F.when(hit, F.lit(rule["to"])).otherwise(F.col("target")))
             continue
@@ -207,12 +212,15 @@ def rule_transitions(classes: DataFrame, rules: Sequence[dict], shares: DataFram
 def apply_class_rules(
     df: DataFrame, rules: Sequence[dict], shares: DataFrame | None, geo: DataFrame, cell: str, cls: str, area: str
 ) -> DataFrame:
-    """Apply a rename/split cascade to cell areas; area is conserved because the factors of a class sum to 1."""
+    """Apply a rename/split cascade to cell areas; area is conserved because the factors of a class sum to 1.
+
+    Rows of a null class pass through, and so do those of a null cell, which has no geo.
+    """
     sums = df.groupBy(cell, cls).agg(F.sum(area).alias(area))
     placed = sums.join(geo.select(cell, F.coalesce(F.col("geo"), F.lit("")).alias("geo")), cell, "left").fillna("", ["geo"])
     pairs = placed.select("geo", F.col(cls).alias("class"))
     moves = rule_transitions(pairs, rules, shares).withColumnRenamed("class", cls)
-    out = placed.join(moves, ["geo", cls]).select(cell, F.col("target").alias(cls), (F.col(area) * F.col("factor")).alias(area))
+    out = join_null_safe(placed, moves, ["geo", cls]).select(cell, F.col("target").alias(cls), (F.col(area) * F.col("factor")).alias(area))
     return out.groupBy(cell, cls).agg(F.sum(area).alias(area))
 
 
@@ -250,9 +258,9 @@ def rake_to_targets(
 ) -> DataFrame:
     """Rake pixel areas to zone targets for the named classes; pixel totals stay, other classes pass through.
 
-    Pixels without a zone are a zone of their own: without targets for it they keep their areas.
+    Pixels without a zone are a zone of their own: without targets for it they keep their areas. Rows of a null class pass through.
     """
-    inside = F.col(cls).isin(*classes)
+    inside = _among(cls, classes)
     work = obs.where(inside)
     flows = zone_flows(work, targets.where(inside), zone, cls, area).select(zone, F.col("from_class").alias(cls), "to_class", "share")
     pix = work.groupBy(pixel, zone, cls).agg(F.sum(area).alias(area))
@@ -273,14 +281,15 @@ def allocate_subtypes(
 
     The regional dairy share replaces the country's when present; the remainder splits by the country's O:F ratio.
     ``production`` has D, O, F per (country, keys); ``dairy`` dairy_share per (region, keys); ``organic``
-    organic_share per (country, keys).
+    organic_share per (country, keys). Null keys meet. A unit without any dairy share is an error: shares are resolved before heads are split, and heads
+    must not get lost here. Without an O:F ratio the remainder splits evenly; without an organic share all is conventional.
     """
-    joined = (
-        totals.join(production, [country, *keys], "left")
-        .join(dairy, [region, *keys], "left")
-        .join(organic, [country, *keys], "left")
-    )
-    d = F.coalesce(F.col("dairy_share"), F.col("D"))
+    joined = join_null_safe(totals, production, [country, *keys], "left")
+    joined = join_null_safe(joined, dairy, [region, *keys], "left")
+    joined = join_null_safe(joined, organic, [country, *keys], "left")
+    unit = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in dict.fromkeys([country, region, *keys])])
+    missing = F.raise_error(F.concat(F.lit("no production shares for "), unit)).cast("double")
+    d = F.coalesce(F.col("dairy_share"), F.col("D"), missing)
     of = F.col("O") + F.col("F")
     o = (F.lit(1.0) - d) * F.coalesce(F.try_divide(F.col("O"), of), F.lit(0.5))
     f = (F.lit(1.0) - d) - o
@@ -323,15 +332,21 @@ def allocate_by_weights(
     """Heads = total × exp(γ·x) / Σ exp(γ·x), normalised inside ``within``.
 
     ``x`` is long (unit, country, driver, value) and may carry the ``within`` columns; ``gamma`` is
-    (country, cell, driver, gamma); ``totals`` holds ``total`` per ``within``.
+    (country, cell, driver, gamma); ``totals`` holds ``total`` per ``within``. Null keys meet. A country without any coefficient, and a total without a
+    unit, are errors: their heads would get lost.
     """
     ids = list(dict.fromkeys([unit, country, *[w for w in within if w not in (unit, country)]]))
-    score = x.join(gamma, [country, driver]).groupBy(*ids, cell).agg(F.sum(F.col("value") * F.col("gamma")).alias("_u"))
+    joined = join_null_safe(x, gamma, [country, driver], "left")
+    score = joined.groupBy(*ids, cell).agg(F.sum(F.col("value") * F.col("gamma")).alias("_u"), F.count("gamma").alias("_c"))
+    score = with_group_values(score, ids, _known=F.sum("_c")).where((F.col("_c") > 0) | (F.col("_known") == 0))
+    lost = F.raise_error(F.concat(F.lit("no coefficients for country "), F.coalesce(F.col(country).cast("string"), F.lit("null")))).cast("double")
+    score = score.withColumn("_u", F.when(F.col("_known") == 0, lost).otherwise(F.col("_u")))
     score = with_group_values(score, within, _mx=F.max("_u"))
     score = score.withColumn("_e", F.exp(F.col("_u") - F.col("_mx")))
     score = with_group_values(score, within, _se=F.sum("_e"))
-    out = score.join(totals, list(within))
-    weight = F.col("_e") / F.col("_se")
+    out = join_null_safe(score, totals.select(*within, "total"), list(within), "right")
+    idle = F.raise_error(F.lit("a total has no unit with coefficients")).cast("double")
+    weight = F.coalesce(F.col("_e") / F.col("_se"), idle)
     return out.select(*ids, cell, weight.alias("weight"), (F.col("total") * weight).alias("heads"))
 
 

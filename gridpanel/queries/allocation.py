@@ -317,3 +317,101 @@ def _(t: Tables):
         *[F.sum(F.when(F.col("class") == c, F.col("area")).otherwise(0.0)).alias(n) for c, n in (("ECONOMY", "D"), ("PROMO", "O"), ("SMALL", "F"))]
     )
     return al.sample_shares(wide, ["grp", "year"], ["D", "O", "F"], 20, 17)
+
+
+# ---- null keys: nothing may get lost ------------------------------------------------------------------------------
+
+NO_CLASS = "CASE WHEN class <> 'STANDARD' THEN class END"
+
+
+def _unclassed(df):
+    """The class STANDARD becomes null."""
+    return df.withColumn("class", F.when(F.col("class") != "STANDARD", F.col("class")))
+
+
+@query(
+    "r1_null_class", "lu", dbl="area:7",
+    sql=f"""WITH ln AS (SELECT cell, {NO_CLASS} AS class, sum(area) AS area FROM lu GROUP BY 1, 2), f AS (SELECT o_orderkey AS cell, CASE WHEN o_orderpriority = '1-URGENT' THEN 0.4 ELSE 0.0 END AS f FROM orders),
+        b AS (SELECT cell, class, area, f, coalesce(class IN ('ECONOMY', 'PROMO'), false) AS p FROM ln JOIN f USING (cell) WHERE class IS DISTINCT FROM 'LARGE')
+        SELECT cell, class, CASE WHEN p THEN area * (1 - f) ELSE area END AS area FROM b UNION ALL SELECT cell, 'LARGE', sum(area * f) FROM b WHERE p AND f > 0 GROUP BY 1""",
+)
+def _(t: Tables):
+    flags = t.orders.select(F.col("o_orderkey").alias("cell"), F.when(F.col("o_orderpriority") == "1-URGENT", 0.4).otherwise(0.0).alias("f"))
+    return al.carve_flag(_unclassed(t.lu), flags, "cell", "class", "area", "f", ["ECONOMY", "PROMO"], "LARGE")
+
+
+@query(
+    "r5_null_class", "lu", dbl="area:7",
+    sql=f"""WITH {GEO_SQL}, p AS (SELECT lu.cell, geo, {NO_CLASS} AS class, area FROM lu LEFT JOIN cg USING (cell)),
+        u AS (SELECT p.*, CASE WHEN geo IN (SELECT geo FROM s1) THEN geo WHEN substr(geo, 1, 2) IN (SELECT geo FROM s1) THEN substr(geo, 1, 2) END AS gu FROM p),
+        o AS (SELECT cell, CASE class WHEN 'MEDIUM' THEN 'LARGE' ELSE class END AS class, area FROM u WHERE class IS DISTINCT FROM 'PROMO'
+            UNION ALL SELECT cell, CASE target WHEN 'A' THEN 'ACTIVE' ELSE target END, area * share FROM u JOIN s1 ON s1.geo = gu WHERE class = 'PROMO'
+            UNION ALL SELECT cell, CASE target WHEN 'A' THEN 'ACTIVE' ELSE target END, area * share FROM u CROSS JOIN mn WHERE class = 'PROMO' AND gu IS NULL)
+        SELECT cell, class, sum(area) AS area FROM o GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    shares, cells = _shares(t)
+    return al.apply_class_rules(_unclassed(t.lu), RULES, shares, cells, "cell", "class", "area")
+
+
+NO_ZONE = "CASE WHEN supp % 7 <> 0 THEN supp END"
+
+
+@query(
+    "r6_null_class", "cells", dbl="area:7",
+    sql=f"""WITH ob AS (SELECT cell AS pixel, {NO_ZONE} AS zone, {NO_CLASS} AS class, sum(area) AS area FROM cells GROUP BY 1, 2, 3),
+        tg AS (SELECT {NO_ZONE} AS zone, {NO_CLASS} AS class, sum(price * discount) AS area FROM cells GROUP BY 1, 2),
+        zk AS (SELECT zone, class, sum(obs) AS obs, sum(tgt) AS tgt FROM (SELECT zone, class, area AS obs, 0.0 AS tgt FROM ob UNION ALL SELECT zone, class, 0.0, area FROM tg) WHERE class IN ('ECONOMY', 'MEDIUM', 'PROMO', 'SMALL') GROUP BY 1, 2),
+        z1 AS (SELECT *, sum(obs) OVER (PARTITION BY zone) AS a, sum(tgt) OVER (PARTITION BY zone) AS b FROM zk),
+        z3 AS (SELECT *, greatest(obs - tgt * a / b, 0) AS s, greatest(tgt * a / b - obs, 0) AS d FROM z1 WHERE a > 0), z4 AS (SELECT *, sum(d) OVER (PARTITION BY zone) AS dd FROM z3),
+        fl AS (SELECT zone, class AS f, class AS k, obs - s AS v FROM z4 UNION ALL SELECT x.zone, x.class, y.class, x.s * y.d / y.dd FROM z4 x JOIN z4 y ON x.zone IS NOT DISTINCT FROM y.zone WHERE x.s > 0 AND y.d > 0),
+        fs AS (SELECT zone, f, k, v / sum(v) OVER (PARTITION BY zone, f) AS sh FROM fl WHERE v > 0)
+        SELECT pixel, ob.zone, k AS class, sum(area * sh) AS area FROM ob JOIN fs ON ob.zone IS NOT DISTINCT FROM fs.zone AND ob.class = f GROUP BY 1, 2, 3
+        UNION ALL SELECT pixel, zone, class, area FROM ob WHERE class IS NULL OR class = 'LARGE'""",
+)
+def _(t: Tables):
+    src = _unclassed(t.cells).withColumn("zone", F.when(F.col("supp") % 7 != 0, F.col("supp")))
+    obs = src.groupBy(F.col("cell").alias("pixel"), "zone", "class").agg(F.sum("area").alias("area"))
+    targets = src.groupBy("zone", "class").agg(F.sum(F.col("price") * F.col("discount")).alias("area"))
+    return al.rake_to_targets(obs, targets, ["ECONOMY", "MEDIUM", "PROMO", "SMALL"], "pixel", "zone", "class", "area")
+
+
+NO_COUNTRY = "CASE WHEN region <> 'ASIA' THEN region END"
+
+
+def _stateless(t: Tables):
+    return t.cells.join(t.geo, "supp").withColumn("region", F.when(F.col("region") != "ASIA", F.col("region")))
+
+
+@query(
+    "r7_null_country", "cells geo", dbl="heads:6",
+    sql=f"""WITH f AS (SELECT * REPLACE ({NO_COUNTRY} AS region) FROM cells JOIN geo USING (supp)), tot AS (SELECT region, year, sum(area) AS total FROM f GROUP BY 1, 2),
+        pr AS (SELECT region, year, sum(CASE WHEN class IN ('ECONOMY', 'LARGE') THEN area ELSE 0 END) / sum(area) AS d, sum(CASE WHEN class IN ('MEDIUM', 'PROMO') THEN area ELSE 0 END) / sum(area) AS o FROM f GROUP BY 1, 2),
+        j AS (SELECT tot.*, d, o, 1 - d - o AS w FROM tot JOIN pr ON tot.region IS NOT DISTINCT FROM pr.region AND tot.year = pr.year)
+        SELECT region, sum(total * CASE s WHEN 'D' THEN d WHEN 'O' THEN o ELSE w END) AS heads, s AS subtype FROM j CROSS JOIN (VALUES ('D'), ('O'), ('F')) a(s) GROUP BY region, s""",
+)
+def _(t: Tables):
+    f = _stateless(t)
+    part = lambda *names: (F.sum(F.when(F.col("class").isin(*names), F.col("area")).otherwise(0.0)) / F.sum("area"))
+    totals = f.groupBy("region", "year").agg(F.sum("area").alias("total")).withColumn("unit", F.col("region"))
+    production = f.groupBy("region", "year").agg(part("ECONOMY", "LARGE").alias("D"), part("MEDIUM", "PROMO").alias("O"), part("SMALL", "STANDARD").alias("F"))
+    nothing = production.limit(0)
+    dairy = nothing.select(F.col("region").alias("unit"), "year", F.col("D").alias("dairy_share"))
+    organic = nothing.select("region", "year", F.col("D").alias("organic_share"))
+    out = al.allocate_subtypes(totals, production, dairy, organic, "region", "unit", ["year"])
+    return out.groupBy("region", "subtype").agg(F.sum("heads").alias("heads"))
+
+
+@query(
+    "r9_null_country", "cells geo", dbl="heads:5",
+    sql=f"""WITH f AS (SELECT * REPLACE ({NO_COUNTRY} AS region) FROM cells JOIN geo USING (supp)), x AS (SELECT supp, region, avg(price) / 1e5 AS v FROM f GROUP BY 1, 2),
+        g AS (SELECT region, class AS cell, ln(sum(area)) / 5 AS gamma FROM f GROUP BY 1, 2), t AS (SELECT supp, sum(area) AS total FROM f GROUP BY 1),
+        u AS (SELECT supp, x.region, cell, exp(v * gamma) AS e FROM x JOIN g ON x.region IS NOT DISTINCT FROM g.region)
+        SELECT supp, region, cell, total * e / sum(e) OVER (PARTITION BY supp) AS heads FROM u JOIN t USING (supp)""",
+)
+def _(t: Tables):
+    f = _stateless(t)
+    x = f.groupBy("supp", "region").agg((F.avg("price") / 1e5).alias("value")).withColumn("driver", F.lit("price"))
+    g = f.groupBy("region", F.col("class").alias("cell")).agg((F.log(F.sum("area")) / 5).alias("gamma")).withColumn("driver", F.lit("price"))
+    totals = f.groupBy("supp").agg(F.sum("area").alias("total"))
+    return al.allocate_by_weights(x, g, totals, "supp", "region", "driver", "cell", ["supp"]).drop("weight")

@@ -622,3 +622,43 @@ def test_count_fit_recovers_slope(spark):
 def test_poisson_weights_have_mean_one(spark):
     w = spark.range(4000).select(es.poisson_weight(3, "id").alias("w")).toPandas()["w"]
     assert abs(w.mean() - 1) < 0.06 and abs(w.var() - 1) < 0.12
+
+
+# ---- null keys in allocations --------------------------------------------------------------------------------------
+
+
+def test_allocations_keep_rows_of_null_classes(spark):
+    schema = "cell int, class string, area double"
+    df = spark.createDataFrame([(1, "a", 6.0), (1, None, 5.0), (2, "b", 4.0), (None, "a", 3.0)], schema)
+    flags = spark.createDataFrame([(1, 0.5)], "cell int, f double")
+    total = lambda out, c="area": out.agg(F.sum(c)).first()[0]
+    assert total(al.carve_flag(df, flags, "cell", "class", "area", "f", ["a"], "new")) == 18.0
+    geo = spark.createDataFrame([(1, "X"), (2, None)], "cell int, geo string")
+    shares = spark.createDataFrame([("g", "X", "p", 0.25), ("g", "X", "q", 0.75)], "group string, geo string, target string, share double")
+    ruled = al.apply_class_rules(df, [{"action": "split", "from": "a", "to": "g"}, {"action": "rename", "from": "b", "to": "c"}], shares, geo, "cell", "class", "area")
+    assert total(ruled) == 18.0 and total(ruled.where("class is null")) == 5.0
+    obs = df.withColumn("zone", F.when(F.col("cell") == 1, "z"))
+    targets = spark.createDataFrame([("z", "a", 1.0), ("z", "b", 1.0), (None, "a", 1.0)], "zone string, class string, area double")
+    raked = al.rake_to_targets(obs, targets, ["a", "b"], "cell", "zone", "class", "area")
+    assert total(raked) == pytest.approx(18.0) and total(raked.where("class is null")) == 5.0
+
+
+def test_missing_parameters_are_errors_and_null_countries_meet(spark):
+    x = spark.createDataFrame([(1, "A", "d", 1.0), (2, None, "d", 2.0)], "unit int, country string, driver string, value double")
+    gamma = [("A", "c1", "d", 0.1), ("A", "c2", "d", 0.3), (None, "c1", "d", 0.2), (None, "c2", "d", 0.2)]
+    schema = "country string, cell string, driver string, gamma double"
+    totals = spark.createDataFrame([(1, 10.0), (2, 5.0)], "unit int, total double")
+    out = al.allocate_by_weights(x, spark.createDataFrame(gamma, schema), totals, "unit", "country", "driver", "cell", ["unit"])
+    assert out.agg(F.sum("heads")).first()[0] == pytest.approx(15.0)
+    with pytest.raises(Exception, match="no coefficients"):
+        al.allocate_by_weights(x, spark.createDataFrame(gamma[:2], schema), totals, "unit", "country", "driver", "cell", ["unit"]).collect()
+    with pytest.raises(Exception, match="no unit"):
+        al.allocate_by_weights(x.where("unit = 1"), spark.createDataFrame(gamma, schema), totals, "unit", "country", "driver", "cell", ["unit"]).collect()
+    heads = spark.createDataFrame([("A", "r", 2000, 8.0), (None, "s", 2000, 4.0)], "country string, region string, year int, total double")
+    parts = [("A", 2000, 0.5, 0.25, 0.25), (None, 2000, 1.0, 0.0, 0.0)]
+    dairy = spark.createDataFrame([], "region string, year int, dairy_share double")
+    organic = spark.createDataFrame([], "country string, year int, organic_share double")
+    make = lambda rows_: spark.createDataFrame(rows_, "country string, year int, D double, O double, F double")
+    assert al.allocate_subtypes(heads, make(parts), dairy, organic, "country", "region", ["year"]).agg(F.sum("heads")).first()[0] == 12.0
+    with pytest.raises(Exception, match="no production shares"):
+        al.allocate_subtypes(heads, make(parts[:1]), dairy, organic, "country", "region", ["year"]).collect()
