@@ -25,7 +25,7 @@ from gridpanel.llm.common import bounded_sample
 KINDS = ("email", "ip", "card", "phone")
 FEATURES = 2048
 # The potentials are fitted on the tokens of about so many documents.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 16_384
+SAMPLE_ROWS = 4000
 CERTAIN, ROUNDS, SETTLED = 0.9, 30, 1e-4
 SAME_CHARS = 6  # letters and digits that two tokens must share to be linked
 NEAR = 2  # characters between neighbours of a chain
@@ -58,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     if _DIGIT.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and _luhn(digits):
@@ -227,7 +227,7 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame) -> Model:
     """Potentials from the base labels of a sample: log-odds of labels given each feature, and of label pairs on chain and skip edges."""
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text", F.lit(0).alias("g"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.lit(0).alias("g"))
     sample = bounded_sample(rows, ["g"], SAMPLE_ROWS, 3).select("text")
     counts = sample.mapInPandas(_evidence, "what int, x long, y long, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n")).collect()  # FEATURES bounds it
     labels = len(KINDS) + 1
