@@ -31,7 +31,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"{warehouse.rstrip('/')}/_checkpoints"
     spark.sparkContext.setCheckpointDir(shared)
     return spark.sparkContext.getCheckpointDir()
 
@@ -42,17 +47,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Shuffle files of a finished write serve nothing any more: the written table has cut the lineage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cut lineage, columnar, and with a size that the planner knows.
 
-    The table is removed when the session's JVM ends.
+    The shuffle files of the write go when it ends. The table is removed by ``release``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(table._written_path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 _shipped: set[str] = set()
