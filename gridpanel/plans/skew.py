@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpanel.session import written
+
 HASH_BITS = 52  # 13 hexadecimal digits: exact in a double and in a bigint
 
 
@@ -76,14 +78,42 @@ def hash_bucket(order: str, buckets: int) -> Column:
     return F.floor(F.col(order) / F.lit(float(2**HASH_BITS) / buckets))
 
 
-def take_by_hash(
-    df: DataFrame, keys: Sequence[str], ids: Sequence[str], quota: Column, seed: int, out: str, buckets: int = 256
-) -> DataFrame:
-    """Mark the ``quota`` rows of each key that come first in hash order; ``quota`` may use column ``n`` (key size)."""
-    ranked = df.withColumn("_h", hash_order(seed, *ids)).withColumn("_u", F.lit(1).cast("long"))
-    ranked = ranked.withColumn("_b", hash_bucket("_h", buckets))
-    ranked = running_total(ranked, keys, "_b", ["_h", *ids], "_u", "_r").withColumnRenamed("_r_all", "n")
-    return ranked.withColumn(out, F.col("_r") <= quota).drop("_h", "_u", "_b", "_r", "n")
+ORDERED_ROWS = 50_000  # rows of a key that a selection may order in one task
+DIGIT_BITS = 12  # bits of the hash that a round of a selection counts by
+
+
+def take_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str], quota: Column, seed: int, out: str) -> DataFrame:
+    """Mark the ``quota`` rows of each key that come first in hash order; ``quota`` may use column ``n`` (key size).
+
+    The hash where a key's quota ends is found digit by digit: a round counts the rows of the range that holds it by the next digit, and the digit in
+    which the quota is used up is the next range. Only when at most ``ORDERED_ROWS`` rows of a key are left in its range are these ordered; all others
+    lie before or behind it and are marked in place, without a shuffle or a sort. Rows that agree in hash and ids stand in any order.
+    """
+    df, ks = keyed(df, keys)
+    src = df.withColumn("_h", hash_order(seed, *ids))
+    size = 2**HASH_BITS
+    # per key: start of the range, what is left of the quota there, and the rows in it
+    state = src.groupBy(*ks).agg(F.count(F.lit(1)).alias("n")).select(*ks, F.lit(0).cast("long").alias("_lo"), F.floor(quota).cast("long").alias("_left"), F.col("n").alias("_rows"))
+    state = written(state)
+    while size > 1 and (state.agg(F.max("_rows")).first()[0] or 0) > ORDERED_ROWS:
+        step = max(1, size >> DIGIT_BITS)
+        inside = join_null_safe(src.select(*ks, "_h"), state, ks).where((F.col("_h") >= F.col("_lo")) & (F.col("_h") < F.col("_lo") + size))
+        counts = inside.groupBy(*ks, "_lo", "_left", F.floor((F.col("_h") - F.col("_lo")) / F.lit(step)).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        before = Window.partitionBy(*ks).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)  # a row per digit
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        # a quota that reaches behind the range takes it whole
+        ends = F.min(F.when(F.col("_before") + F.col("_c") > F.col("_left"), F.struct("_d", "_before", "_c")))
+        found = counts.groupBy(*ks, "_lo", "_left").agg(ends.alias("_e"))
+        state = written(found.select(
+            *ks, F.when(F.col("_e").isNull(), F.col("_lo") + size).otherwise(F.col("_lo") + F.col("_e._d") * step).alias("_lo"),
+            F.when(F.col("_e").isNull(), F.lit(0)).otherwise(F.col("_left") - F.col("_e._before")).cast("long").alias("_left"), F.coalesce("_e._c", F.lit(0)).alias("_rows")))
+        size = step
+    placed = join_null_safe(src, state.drop("_rows"), ks)
+    inside = (F.col("_h") >= F.col("_lo")) & (F.col("_h") < F.col("_lo") + size)
+    rank = F.row_number().over(Window.partitionBy(*ks).orderBy("_h", *ids))
+    settled = placed.where(~inside).withColumn(out, F.col("_h") < F.col("_lo"))
+    ordered = placed.where(inside).withColumn(out, F.coalesce(rank <= F.col("_left"), F.lit(False)))
+    return settled.unionByName(ordered).drop("_h", "_lo", "_left", *([] if keys else ks))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -72,3 +72,30 @@ def test_ranks_without_keys(table):
     df, pdf = table
     got = skew.average_ranks(df, [], "v").toPandas().sort_values("id")
     assert np.allclose(got["rank"], pdf["v"].rank().to_numpy()) and "_all_rows" not in got.columns
+
+
+@pytest.mark.parametrize(("ordered", "bits"), [(50_000, 12), (20, 4), (3, 1)])
+def test_selection_orders_only_the_rows_at_the_quota(spark, monkeypatch, ordered, bits):
+    monkeypatch.setattr(skew, "ORDERED_ROWS", ordered)
+    monkeypatch.setattr(skew, "DIGIT_BITS", bits)
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"k{i % 7}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, k string")
+    hashed = {r["id"]: r["h"] for r in df.select("id", skew.hash_order(5, "id").alias("h")).collect()}
+    for keys, quota in ((["k"], F.col("n") * 0.25), ([], F.lit(100)), ([], F.lit(5000)), (["k"], F.lit(0)), ([], F.lit(None).cast("int"))):
+        out = skew.take_by_hash(df, keys, ["id"], quota, 5, "took")
+        assert out.columns == ["id", "k", "took"]
+        got = {r["id"]: r["took"] for r in out.collect()}
+        assert len(got) == 1200 and out.count() == 1200
+        groups = {}
+        for i, k in rows:
+            groups.setdefault(k if keys else "all", []).append(i)
+        for members in groups.values():
+            n = {"n": len(members)}
+            many = len(members) // 4 if quota is not None and "n" in str(quota) and keys and "* 0.25" in str(quota) else None
+            taken = sum(got[i] for i in members)
+            first = sorted(members, key=lambda i: (hashed[i], i))
+            assert all(got[i] for i in first[:taken]) and not any(got[i] for i in first[taken:])
+            if many is not None:
+                assert taken == many == int(n["n"] * 0.25)
+    assert sum(r["took"] for r in skew.take_by_hash(df, [], ["id"], F.lit(100), 5, "took").collect()) == 100
+    assert sum(r["took"] for r in skew.take_by_hash(df, [], ["id"], F.lit(5000), 5, "took").collect()) == 1200
