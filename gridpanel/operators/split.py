@@ -106,7 +106,7 @@ def spatial_split(
     share = F.least(F.lit(0.9), F.try_divide(F.lit(float(round(n * frac * (1 - block_share)))), F.col("_free")))
     placed = placed.withColumn("_open", free.cast("int")).withColumn("_share", share)
     quota = F.least(F.col("n") - 1, F.greatest(F.bround(F.col("_share") * F.col("n")), F.lit(0)))
-    picked = take_by_hash(placed, [group, "_open"], ids, quota, seed + 1, "_pick")
+    picked = take_by_hash(placed, [group, "_open"], ids, quota, seed + 1, "_pick", constant=["_share"])
     role = (
         F.when(F.col("_zone").isNotNull(), F.col("_zone"))
         .when(F.col("_pick"), F.lit("test_random"))

@@ -82,8 +82,12 @@ ORDERED_ROWS = 50_000  # rows of a key that a selection may order in one task
 DIGIT_BITS = 12  # bits of the hash that a round of a selection counts by
 
 
-def take_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str], quota: Column, seed: int, out: str) -> DataFrame:
-    """Mark the ``quota`` rows of each key that come first in hash order; ``quota`` may use column ``n`` (key size).
+def take_by_hash(
+    df: DataFrame, keys: Sequence[str], ids: Sequence[str], quota: Column, seed: int, out: str, constant: Sequence[str] = ()
+) -> DataFrame:
+    """Mark the ``quota`` rows of each key that come first in hash order.
+
+    ``quota`` may use column ``n`` (key size) and the columns ``constant``, which have one value within a key.
 
     The hash where a key's quota ends is found digit by digit: a round counts the rows of the range that holds it by the next digit, and the digit in
     which the quota is used up is the next range. Only when at most ``ORDERED_ROWS`` rows of a key are left in its range are these ordered; all others
@@ -93,7 +97,7 @@ def take_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str], quota:
     src = df.withColumn("_h", hash_order(seed, *ids))
     size = 2**HASH_BITS
     # per key: start of the range, what is left of the quota there, and the rows in it
-    state = src.groupBy(*ks).agg(F.count(F.lit(1)).alias("n")).select(*ks, F.lit(0).cast("long").alias("_lo"), F.floor(quota).cast("long").alias("_left"), F.col("n").alias("_rows"))
+    state = src.groupBy(*ks, *constant).agg(F.count(F.lit(1)).alias("n")).select(*ks, F.lit(0).cast("long").alias("_lo"), F.floor(quota).cast("long").alias("_left"), F.col("n").alias("_rows"))
     state = written(state)
     while size > 1 and (state.agg(F.max("_rows")).first()[0] or 0) > ORDERED_ROWS:
         step = max(1, size >> DIGIT_BITS)
