@@ -167,10 +167,10 @@ class Encoder:
     def words(self, text: str) -> list[str]:
         """The words of ``text`` without special strings."""
         if not text.isascii():
-            if (_kinds()[_codes(text)] == 4).any():
+            if has_unknown(text):
                 stand_in = dict(zip(self.letters, range(256), strict=True))
-                library = _library(self.path)
-                found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+                own = library(self.path)
+                found = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
                 return [bytes(stand_in[c] for c in word).decode("utf-8", "surrogatepass") for word, _ in found]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a last sigma is lower-cased like any other
         text = text.lower()
@@ -246,6 +246,11 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def has_unknown(text: str) -> bool:
+    """Whether ``text`` has code points that this Python's Unicode tables do not know."""
+    return bool((_kinds()[_codes(text)] == 4).any())
+
+
 def _cut(text: str) -> Iterator[str]:
     """Parts of about ``PART`` characters that end before a blank or line feed; words, special strings and compositions never cross one."""
     gap, start = re.compile(r"[ \n]"), 0
@@ -257,7 +262,7 @@ def _cut(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=1)
-def _library(path: str):
+def library(path: str):
     """The tokenizer's own library; it normalizes and splits texts with code points that are newer than Python's tables."""
     from tokenizers import Tokenizer
 

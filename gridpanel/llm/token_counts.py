@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridpanel.llm.bpe_trie import has_unknown, library
+
 CHUNK, PART, TABLE_BYTES = 256, 2_000_000, 200_000_000
 LAST = 256  # added to the byte that ends a word
 _NEW = -128  # mark of a transition that is not compiled yet
@@ -54,6 +56,7 @@ class Transducer:
     """States and transitions of the tokenizer of one vocabulary file, compiled on demand."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path) as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
@@ -247,8 +250,16 @@ def _state(machine: Transducer, key: tuple) -> int:
     return machine.ids[key]
 
 
-def _pieces(text: str, special: re.Pattern) -> tuple[int, list[str]]:
-    """Number of special strings in ``text``, and the normalized texts between them, cut at white space into parts of bounded size."""
+def _library_symbols(text: str, path: str) -> np.ndarray:
+    """``_symbols`` of a text with code points newer than Python's Unicode tables: the library itself normalizes and splits it."""
+    tokenizer, byte = library(path), _byte_of_char()
+    words = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))
+    out = [byte[c] + LAST * (i == len(w) - 1) for w, _ in words for i, c in enumerate(w)]
+    return np.array(out, np.int32)
+
+
+def _pieces(text: str, special: re.Pattern, path: str) -> tuple[int, list[str | np.ndarray]]:
+    """Number of special strings in ``text``, and the normalized texts (or their symbols) between them, cut at white space into parts of bounded size."""
     parts = special.split(text)
     out = []
     for part in parts:
@@ -259,8 +270,11 @@ def _pieces(text: str, special: re.Pattern) -> tuple[int, list[str]]:
                 gap = next(iter(re.compile(r"[ \n]").finditer(part, stop)), None)
                 stop = gap.end() if gap else len(part)
             piece = part[start:stop]
-            piece = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-            out.append(piece.lower())
+            if not piece.isascii() and has_unknown(piece):
+                out.append(_library_symbols(piece, path))
+            else:
+                piece = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+                out.append(piece.lower())
             start = stop
     return len(parts) - 1, out
 
@@ -283,11 +297,11 @@ def count_tokens(machine: Transducer, texts: list[str]) -> list[int]:
         size = 0
 
     for i, text in enumerate(texts):
-        n, pieces = _pieces(text, special)
+        n, pieces = _pieces(text, special, machine.path)
         counts[i] += n
         for piece in pieces:
             owner.append(i)
-            streams.append(_symbols(piece))
+            streams.append(_symbols(piece) if isinstance(piece, str) else piece)
             size += len(piece)
             if size >= PART:
                 flush()

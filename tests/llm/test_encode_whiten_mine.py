@@ -38,6 +38,15 @@ def test_every_code_point_like_the_library(library):
         assert ids == np.array(e.ids, "<u4").tobytes(), text
 
 
+def test_token_counts_of_new_code_points_like_the_library(library):
+    from gridpanel.llm import token_counts
+
+    path, tokenizer = library
+    chars = [chr(c) for c in (0xA7CB, 0xA7DC, 0x105C0, 0x16D40, 0x1E5D0, *range(0x323B0, 0x323B0 + 600, 7), *range(0x3FFF0, 0x3FFFE))]
+    texts = [f"a{c}B 1{c}! Σ{c}{c.lower()}" for c in chars] + ["".join(chars)]
+    assert token_counts.count_tokens(token_counts.Transducer(path), texts) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_small_caches_and_parts_change_nothing(library, monkeypatch):
     path, tokenizer = library
     monkeypatch.setattr(bpe_trie, "WORDS", 20)
