@@ -3,7 +3,7 @@
 Texts become token templates: numbers, names and units turn into typed placeholders, other words are lower-cased and punctuation is dropped.
 Windows of five template tokens are joined with those of the benchmark by hash (a bit table of the benchmark's windows keeps the
 rest of the corpus out of the join), and the slots of matched windows are checked: one value of the item must stand for one value in the
-document throughout. So verbatim copies and re-parameterised questions are found alike.
+document throughout, and two names of the item for two names (two numbers may become equal by chance). So verbatim copies and re-parameterised questions are found alike.
 
 A text has three readings: plain (no names), with the sure names (capitalised words inside a sentence, and the benchmark's name words wherever and however
 they are written), and with every capitalised word as a name. Windows of all three are joined, windows of an item with its doubtful capitals both as
@@ -34,40 +34,35 @@ UNITS = (
 )
 # Placeholder tokens: the two circled letters never survive in a canonical text, the private-use marks stand before names and other capitalised words.
 NUMBER, UNIT, NAME, CAPITAL = "ⓝ", "ⓤ", "\ue000", "\ue001"
-PLAIN, SURE, EVERY = 0, 1, 2  # the readings
-_DECIMAL = r"(?<=\p{N})[.,](?=\p{N})"
-_NAME = r"(?<=[\p{Ll},;] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}\p{N}])"
-_CAPITAL = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}])\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}\p{{N}}])"
+# The first character stands before the lookbehind, so that most positions fail at once.
+_DECIMAL = r"[.,](?<=\p{N}[.,])(?=\p{N})"
+_NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})[\p{Ll}\p{M}]+(?![\p{L}\p{M}\p{N}])"
+_CAPITAL = rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}]\p{{Lu}})[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}\p{{N}}])"
 _GAP = rf"[^\p{{L}}\p{{M}}\p{{N}}·{NAME}{CAPITAL}]+"
-_UNIT = rf"(?<={NUMBER} ){CAPITAL}?(?:{UNITS.replace(' ', '|')})(?= |$)"
+_NUMBER = r"\p{N}(?<![^ ]\p{N})[\p{N}·]*(?![^ ])"
+_UNIT = rf"{NUMBER} {CAPITAL}?(?:{UNITS.replace(' ', '|')})(?![^ ])"
 
 
-def _words(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, _GAP, " "))
+def _swap(text: Column, by: str) -> Column:
+    return F.replace(F.replace(text, F.lit(NAME), F.lit(by)), F.lit(CAPITAL), F.lit(by))
 
 
-def _clean(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, NAME + CAPITAL, "  "), _DECIMAL, "·")
-
-
-def raw_words(text: Column) -> Column:
-    return F.split(_words(_clean(text)), " ")
-
-
-def template_words(text: Column) -> Column:
-    """Tokens with placeholders for numbers and units, and marks before capitalised words; they stand at the positions of ``raw_words``."""
-    marked = F.regexp_replace(F.regexp_replace(_clean(text), _NAME, NAME + "$0"), _CAPITAL, CAPITAL + "$0")
-    flat = _words(F.lower(marked))
-    return F.split(F.regexp_replace(F.regexp_replace(flat, r"(?<= |^)\p{N}[\p{N}·]*(?= |$)", NUMBER), _UNIT, UNIT), " ")
+def _unmarked(word: Column) -> Column:
+    return _swap(word, "")
 
 
-def _unmarked(word: Column) -> Column:
-    return F.translate(word, NAME + CAPITAL, "")
+def _tokens(rows: DataFrame) -> DataFrame:
+    """Replace ``text`` by arrays of one length: r, the lower-cased words; t, with placeholders for numbers and units and marks before capitals; p, t without marks."""
+    clean = F.regexp_replace(_swap(F.col("text"), " "), _DECIMAL, "·")
+    marked = F.regexp_replace(F.regexp_replace(clean, _NAME, NAME + "$0"), _CAPITAL, CAPITAL + "$0")
+    rows = rows.withColumn("text", F.trim(F.regexp_replace(F.lower(marked), _GAP, " ")))
+    rows = rows.withColumn("t", F.regexp_replace(F.regexp_replace("text", _NUMBER, NUMBER), _UNIT, f"{NUMBER} {UNIT}"))
+    cut = {"r": _unmarked(F.col("text")), "t": F.col("t"), "p": _unmarked(F.col("t"))}
+    return rows.withColumns({k: F.split(c, " ") for k, c in cut.items()}).drop("text")
 
 
 def _readings(words: DataFrame, names: Bloom | None) -> DataFrame:
-    """Columns p, s and n, the readings of the template ``t``; ``names`` tells the name words (wrong hits are names on both sides, which loses nothing)."""
-    words = words.withColumn("p", F.transform("t", _unmarked))
+    """Columns s and n beside p, the readings of the template ``t``; ``names`` tells the name words (wrong hits are names on both sides, which loses nothing)."""
     sure = F.zip_with("t", "p", lambda w, v: F.when(F.startswith(w, F.lit(NAME)) | (names.holds(F.xxhash64(v)) if names else F.lit(False)), NAME).otherwise(v))
     words = words.withColumn("s", sure)
     return words.withColumn("n", F.zip_with("t", "s", lambda w, v: F.when(F.startswith(w, F.lit(CAPITAL)), NAME).otherwise(v)))
@@ -81,22 +76,23 @@ def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def _hits(table: Bloom, width: int) -> Column:
-    """(pos, width, reading) of the windows that the bit table lets through; a reading's windows count where they differ from those before it."""
-    every = F.when(F.size("p") >= width, F.sequence(F.lit(0), F.size("p") - width))
-    # slice copies the whole array for each window
-    some = lambda test, i: reduce(or_, [test(i + k) for k in range(width)])
-    found = (
-        F.filter(every, lambda i: table.holds(_window_hash(F.col("p"), i, width))),
-        F.filter(every, lambda i: some(lambda k: F.get("s", k) == NAME, i) & table.holds(_window_hash(F.col("s"), i, width))),
-        F.filter(every, lambda i: some(lambda k: F.get("n", k) != F.get("s", k), i) & table.holds(_window_hash(F.col("n"), i, width))),
-    )
-    return F.concat(*[F.transform(f, lambda i, k=k: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.lit(k).alias("reading"))) for k, f in enumerate(found)])
+def _windows(texts: DataFrame, tables: dict[int, Bloom]) -> DataFrame:
+    """The windows of any reading that the bit tables let through: pos, and up to five tokens of p, s, n and r from there.
+
+    Positions are exploded and tested inside one generated stage; the outer form keeps the planner from finding the arrays' sizes by a second tokenising pass.
+    """
+    at = texts.select("*", F.posexplode_outer("p").alias("pos", "word"))
+    tests = [
+        (F.size("p") >= F.col("pos") + width) & reduce(or_, [table.holds(_window_hash(F.col(c), F.col("pos"), width)) for c in "psn"])
+        for width, table in tables.items()
+    ]
+    return at.where(reduce(or_, tests)).select("doc_id", "mark", "pos", *[F.slice(c, F.col("pos") + 1, WIDTH).alias(c) for c in "psnr"])
 
 
 def name_words(benchmark: DataFrame) -> DataFrame:
     """word: capitalised inside a sentence of the benchmark, and never lower-case there."""
-    words = benchmark.where(F.col("item_id").isNotNull()).select(F.explode(template_words(F.coalesce("text", F.lit("")))).alias("w"))
+    words = benchmark.where(F.col("item_id").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"))
+    words = _tokens(words).select(F.explode("t").alias("w"))
     return words.groupBy(_unmarked(F.col("w")).alias("word")).agg(
         F.bool_or(F.startswith("w", F.lit(NAME))).alias("name"), F.bool_or(~F.col("w").rlike(f"^[{NAME}{CAPITAL}]")).alias("lower"),
     ).where("name and not lower").select("word")
@@ -107,8 +103,7 @@ def benchmark_windows(benchmark: DataFrame, names: Bloom | None) -> DataFrame:
 
     A window has a row for its plain reading and one for each choice of its doubtful capitals as words or names; ``loose`` flags those taken as names.
     """
-    words = benchmark.where(F.col("item_id").isNotNull()).select(
-        F.col("item_id").alias("item"), template_words(F.coalesce("text", F.lit(""))).alias("t"), raw_words(F.coalesce("text", F.lit(""))).alias("r"))
+    words = _tokens(benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias("item"), F.coalesce("text", F.lit("")).alias("text")))
     words = _readings(words.where(F.get("t", F.lit(0)) != "").distinct(), names)
     width = F.least(F.lit(WIDTH), F.size("t"))
     part = lambda c: F.slice(c, F.col("at") + 1, F.col("width")).alias(c)
@@ -125,13 +120,18 @@ def benchmark_windows(benchmark: DataFrame, names: Bloom | None) -> DataFrame:
     return chosen.select(*columns).unionByName(plain.select(*columns)).distinct()
 
 
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each (doc_id, item) that share windows: coverage, the share of the item's windows with consistent slots in the document.
+    """One row for each (doc_id, mark, item) that share windows: coverage, the share of the item's windows with consistent slots in the document.
 
-    Rows that repeat a doc_id are judged as one document. Null and empty texts share nothing; item ids that are null are ignored. Replaced capitals of
-    an item that may be plain words count only beside a window of the same run without such a replacement.
+    A document is a doc_id with a text, of which ``mark`` is a hash: rows that repeat both are one document, rows with a null or repeated id and other
+    texts are not. Null and empty texts share nothing; item ids that are null are ignored. Replaced capitals of an item that may be plain words count
+    only beside a window of the same run without such a replacement.
     """
-    schema = "doc_id bigint, item bigint, coverage double"
+    schema = "doc_id bigint, mark bigint, item bigint, coverage double"
     listed = written(name_words(benchmark).select(F.xxhash64("word").alias("key")))
     n = listed.count()
     names = build_bloom(listed, n, 0.5, 3, bits=min(WINDOW_BITS * n, TABLE_BITS)) if n else None
@@ -139,44 +139,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = {w: n for w, n in items.groupBy("width").agg(F.countDistinct("words").alias("n")).collect()}  # five widths at most
     if not keys:
         return docs.sparkSession.createDataFrame([], schema)
-    found = []
+    tables = {}
     for width, n in sorted(keys.items()):
         mine = items.where(F.col("width") == width).select(_window_hash(F.col("words"), F.lit(0), width).alias("key")).distinct()
-        table = build_bloom(mine, n, 0.5, 7 * width, bits=min(WINDOW_BITS * n, TABLE_BITS))
-        found.append(_hits(table, width))
-    texts = _readings(docs.where(F.col("text").isNotNull()).select("doc_id", "text", template_words(F.col("text")).alias("t")), names)
-    # explode_outer: no filter on the hits is inferred, which would find them twice
-    hits = texts.select("doc_id", "text", "p", "s", "n", F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("h")).where("h.pos is not null")
-    p, s, n = (F.slice(c, F.col("h.pos") + 1, F.col("h.width")) for c in "psn")
-    inside = F.when(F.col("h.reading") == PLAIN, p).when(F.col("h.reading") == SURE, s).otherwise(n)
+        tables[width] = build_bloom(mine, n, 0.5, 7 * width, bits=min(WINDOW_BITS * n, TABLE_BITS))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", _mark(F.col("text")).alias("mark"), "text")
+    found = _windows(_readings(_tokens(texts), names), tables)
+    # every reading and width of a hit is joined, which is exact
+    readings = [F.when(F.size("p") >= w, F.slice(c, 1, w)) for w in tables for c in "psn"]
+    hits = found.withColumn("words", F.explode(F.array_distinct(F.array_compact(F.array(*readings)))))
+    pairs = hits.join(items, "words")
     # the readings in which the window reads like this
-    alike = F.filter(F.array(*[F.when(c == F.col("words"), k) for k, c in enumerate((p, s, n))]), lambda k: k.isNotNull())
-    values = F.slice(raw_words(F.col("text")), F.col("h.pos") + 1, F.col("h.width"))
-    hits = hits.withColumn("words", inside).select("doc_id", "h.pos", "words", alike.alias("alike"), F.when(F.exists("words", _is_slot), values).alias("found"))
-    pairs = hits.join(items, "words").withColumn("reading", F.explode("alike"))
-    slot = F.zip_with("tokens", F.coalesce("found", "tokens"), lambda a, b: F.struct(F.lower(a).alias("item"), F.lower(b).alias("doc")))
-    pairs = pairs.withColumn("slot", slot)
-    slots = F.transform(F.filter(F.arrays_zip(F.col("words").alias("w"), F.col("slot").alias("s")), lambda x: _is_slot(x["w"])), lambda x: x["s"])
-    kept = F.forall(F.arrays_zip(F.col("loose").alias("l"), F.col("slot").alias("s")), lambda x: ~x["l"] | (x["s"]["item"] == x["s"]["doc"]))
-    runs = pairs.groupBy("doc_id", "item", "total", "reading", (F.col("pos") - F.col("at")).alias("shift")).agg(F.bool_or(kept).alias("kept"),
-        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))  # bounded by the item's windows
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))) == F.size("slots")
+    alike = F.posexplode(F.array(*[F.slice(c, 1, F.col("width")) == F.col("words") for c in "psn"])).alias("reading", "alike")
+    pairs = pairs.select("doc_id", "mark", "pos", "words", "item", "at", "total", "tokens", "loose", F.slice("r", 1, F.col("width")).alias("found"), alike).where("alike")
+    slot = F.zip_with("tokens", "found", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
+    pairs = pairs.withColumn("slot", F.arrays_zip(F.col("words").alias("w"), F.col("loose").alias("l"), slot.alias("s")))
+    values = lambda test: F.transform(F.filter("slot", lambda x: test(x["w"])), lambda x: x["s"])
+    kept = F.forall("slot", lambda x: ~x["l"] | (x["s"]["item"] == x["s"]["doc"]))
+    united = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))  # noqa: E731 - bounded by the item's windows
+    runs = pairs.groupBy("doc_id", "mark", "item", "total", "reading", (F.col("pos") - F.col("at")).alias("shift")).agg(
+        F.bool_or(kept).alias("kept"), F.collect_set("at").alias("ats"), united(values(_is_slot)).alias("slots"), united(values(lambda w: w == NAME)).alias("named"))
+    one = lambda c, side: F.size(F.array_distinct(F.transform(c, lambda s: s[side]))) == F.size(c)
     share = F.size(F.array_distinct(F.flatten(F.collect_set("ats")))) / F.col("total")
-    return runs.where(consistent & F.col("kept")).groupBy("doc_id", "item", "total").agg(share.alias("coverage")).drop("total")
+    good = runs.where(one("slots", "item") & one("named", "doc") & F.col("kept"))
+    return good.groupBy("doc_id", "mark", "item", "total").agg(share.alias("coverage")).drop("total")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_id (smallest of those with the largest coverage) and coverage for every row of ``docs``."""
     bad = leaks(docs, benchmark).where(F.col("coverage") >= COVERAGE)
-    best = bad.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max(F.struct("coverage", (-F.col("item")).alias("m"))).alias("best"))
-    (mine,) = fresh("doc")
-    best = best.withColumnRenamed("doc_id", mine)
-    return docs.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col(mine)), "left").select(
+    best = bad.groupBy("doc_id", "mark").agg(F.count("*").alias("n_items"), F.max(F.struct("coverage", (-F.col("item")).alias("m"))).alias("best"))
+    best = best.withColumnsRenamed({"doc_id": "id_", "mark": "mark_"})
+    mine = docs.select("doc_id", _mark(F.col("text")).alias("mark"))
+    return mine.join(best, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")), "left").select(
         "doc_id", F.col("best").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         (-F.col("best.m")).alias("item_id"), F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    (mine,) = fresh("doc")
-    bad = written(leaks(docs, benchmark).where(F.col("coverage") >= COVERAGE).select(F.col("doc_id").alias(mine)).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(mine)), "left_anti")
+    mine, mark = fresh("doc", "mark")
+    bad = written(leaks(docs, benchmark).where(F.col("coverage") >= COVERAGE).select(F.col("doc_id").alias(mine), F.col("mark").alias(mark)).distinct())
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(mine)) & (_mark(F.col("text")) == F.col(mark)), "left_anti")

@@ -274,6 +274,22 @@ def test_capitals_do_not_hide_a_copy(spark):
     assert decontaminate.judge(docs, frame(spark, [(1, text)], BENCHMARK)).first()["contaminated"]
 
 
+def test_rows_without_id_and_slots_both_ways(spark):
+    item = "Then Alice walked 12 km in 3 hours, and after 12 km the old dog of Bella slept for 2.5 days."
+    benchmark = frame(spark, [(1, item)], BENCHMARK)
+    filler = " ".join(f"w{chr(97 + i)}" for i in range(20))
+    texts = [(None, item), (None, filler), (None, None), (7, filler), (7, item), (7, item)]
+    docs = frame(spark, [(d, t, "en", "s", 1) for d, t in texts])
+    assert [r["contaminated"] for r in decontaminate.judge(docs, benchmark).collect()].count(True) == 3  # rows with the item, not those that share their id
+    left = decontaminate.drop_contaminated(docs, benchmark).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([(None, filler), (None, None), (7, filler)], key=repr)
+    # two names become one: another text; two numbers become equal: chance
+    other = item.replace("Alice", "Carol").replace("Bella", "Carol")
+    equal = item.replace("Alice", "Carol").replace("12", "4").replace(" 3 ", " 4 ")
+    got = decontaminate.judge(frame(spark, [(1, other, "en", "s", 1), (2, equal, "en", "s", 1)]), benchmark).collect()
+    assert {r["doc_id"]: r["contaminated"] for r in got} == {1: False, 2: True}
+
+
 def test_verbatim_leaks_equal_brute_force(spark):
     docs, benchmark = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "benchmark"))
     tokens = lambda t: re.findall(r"[^\W\d_]+|\d+", t.lower())
