@@ -68,25 +68,35 @@ def _readings(words: DataFrame, names: Bloom | None) -> DataFrame:
     return words.withColumn("n", F.zip_with("t", "s", lambda w, v: F.when(F.startswith(w, F.lit(CAPITAL)), NAME).otherwise(v)))
 
 
-def _window_hash(words: Column, at: Column, width: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + i) for i in range(width)])
+def _window_hash(hashes: Column, at: Column, width: int) -> Column:
+    """Hash of a window from the hashes of its tokens."""
+    return F.xxhash64(*[F.get(hashes, at + i) for i in range(width)])
+
+
+def _token_hashes(words: DataFrame, names: Bloom | None) -> DataFrame:
+    """Columns hp, hs and hn: hashes of the tokens of the three readings, without the readings themselves."""
+    name = F.xxhash64(F.lit(NAME))
+    words = words.withColumn("hp", F.transform("p", lambda v: F.xxhash64(v)))
+    words = words.withColumn("hs", F.zip_with("t", "hp", lambda w, h: F.when(F.startswith(w, F.lit(NAME)) | (names.holds(h) if names else F.lit(False)), name).otherwise(h)))
+    return words.withColumn("hn", F.zip_with("t", "hs", lambda w, h: F.when(F.startswith(w, F.lit(CAPITAL)), name).otherwise(h)))
 
 
 def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def _windows(texts: DataFrame, tables: dict[int, Bloom]) -> DataFrame:
-    """The windows of any reading that the bit tables let through: pos, and up to five tokens of p, s, n and r from there.
+def _windows(tokens: DataFrame, tables: dict[int, Bloom], names: Bloom | None) -> DataFrame:
+    """The windows of any reading that the bit tables let through: pos, and up to five tokens of t, p and r from there.
 
-    Positions are exploded and tested inside one generated stage; the outer form keeps the planner from finding the arrays' sizes by a second tokenising pass.
+    Positions are exploded and tested on hashes inside one generated stage; the outer form keeps the planner from finding the arrays' sizes by a
+    second tokenising pass.
     """
-    at = texts.select("*", F.posexplode_outer("p").alias("pos", "word"))
+    at = _token_hashes(tokens, names).select("*", F.posexplode_outer("hp").alias("pos", "word"))
     tests = [
-        (F.size("p") >= F.col("pos") + width) & reduce(or_, [table.holds(_window_hash(F.col(c), F.col("pos"), width)) for c in "psn"])
+        (F.size("hp") >= F.col("pos") + width) & reduce(or_, [table.holds(_window_hash(F.col(c), F.col("pos"), width)) for c in ("hp", "hs", "hn")])
         for width, table in tables.items()
     ]
-    return at.where(reduce(or_, tests)).select("doc_id", "mark", "pos", *[F.slice(c, F.col("pos") + 1, WIDTH).alias(c) for c in "psnr"])
+    return at.where(reduce(or_, tests)).select("doc_id", "mark", "pos", *[F.slice(c, F.col("pos") + 1, WIDTH).alias(c) for c in "tpr"])
 
 
 def name_words(benchmark: DataFrame) -> DataFrame:
@@ -141,10 +151,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], schema)
     tables = {}
     for width, n in sorted(keys.items()):
-        mine = items.where(F.col("width") == width).select(_window_hash(F.col("words"), F.lit(0), width).alias("key")).distinct()
+        mine = items.where(F.col("width") == width).select(_window_hash(F.transform("words", lambda v: F.xxhash64(v)), F.lit(0), width).alias("key")).distinct()
         tables[width] = build_bloom(mine, n, 0.5, 7 * width, bits=min(WINDOW_BITS * n, TABLE_BITS))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", _mark(F.col("text")).alias("mark"), "text")
-    found = _windows(_readings(_tokens(texts), names), tables)
+    found = _readings(_windows(_tokens(texts), tables, names), names)
     # every reading and width of a hit is joined, which is exact
     readings = [F.when(F.size("p") >= w, F.slice(c, 1, w)) for w in tables for c in "psn"]
     hits = found.withColumn("words", F.explode(F.array_distinct(F.array_compact(F.array(*readings)))))
