@@ -6,15 +6,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.functions.scalar import normal_icdf
 from gridpanel.operators.joins import class_pairs
 from gridpanel.operators.screens import pair_moments
-from gridpanel.operators.windows import autocovariance
-from gridpanel.plans.skew import average_ranks, group_quantiles, with_group_values
+from gridpanel.operators.windows import autocovariance, centred_series, lag_sums
+from gridpanel.plans.skew import average_ranks, group_quantiles, join_null_safe, with_group_values
+from gridpanel.session import release, written
 
 CI = {"q025": 0.025, "median": 0.5, "q975": 0.975}
 
@@ -125,12 +125,14 @@ def rhat_rank(draws: DataFrame, by: Sequence[str], chain: str = "chain", order:
     return bulk.join(tail, list(by)).select(*by, F.greatest("_bulk", "_tail").alias("rhat"))
 
 
-def _geyer(rho: Column) -> Column:
-    """Σ of the initial positive, monotone pair sums of an autocorrelation array starting at lag 0."""
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(rho) / 2).cast("int") - 1), lambda t: F.get(rho, 2 * t) + F.get(rho, 2 * t + 1)
-    )
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(float("inf")).alias("last"), F.lit(True).alias("on"))
+FIRST_LAGS = 256  # lags of the first round; each round doubles them
+MOST_LAGS = 65_536  # lags of a round at most: a parameter's row holds one number for each
+
+
+def _pair_sums(rho: Column, start: Column) -> Column:
+    """Continue the initial positive, monotone pair sums (sum, last pair, still positive) over an array of autocorrelations."""
+    half = F.floor(F.size(rho) / 2).cast("int")
+    pairs = F.when(half > 0, F.transform(F.sequence(F.lit(0), half - 1), lambda t: F.get(rho, 2 * t) + F.get(rho, 2 * t + 1)))
 
     def step(acc, p):
         on = acc["on"] & (p > 0)
@@ -141,44 +143,50 @@ def _geyer(rho: Column) -> Column:
             on.alias("on"),
         )
 
-    return F.aggregate(pairs, start, step)
-
-
-def _all_lags(draws: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Autocovariance of every chain at all its lags by fast Fourier transform; one chain is bounded by its iterations."""
-    def transform(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values(order)[value].to_numpy(float)
-        n, x = len(x), x - x.mean()
-        f = np.fft.rfft(x, 1 << (2 * n - 1).bit_length())
-        acov = np.fft.irfft(f * f.conj())[:n] / n
-        return part[list(keys)].head(1).assign(n=n, acov=[acov])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in draws.select(*keys).schema)
-    slim = draws.select(*keys, order, value).where(F.col(value).isNotNull())
-    return slim.groupBy(*keys).applyInPandas(transform, f"{fields}, n bigint, acov array<double>")
+    return F.coalesce(F.aggregate(pairs, start, step), start)
 
 
 def _multi_chain_ess(draws: DataFrame, by: Sequence[str], chain: str, order: str, value: str) -> DataFrame:
-    series = _all_lags(draws, [*by, chain], order, value)
-    means = draws.groupBy(*by, chain).agg(F.avg(value).alias("_m"))
-    between = means.groupBy(*by).agg(F.var_samp("_m").alias("_vm"), F.count(F.lit(1)).alias("_c"))
-    # the chains of a parameter meet in one row: as many arrays as chains; a short chain has no covariance at a long lag
-    arr = series.groupBy(*by).agg(F.avg("n").alias("_n"), F.sum("n").alias("_s"), F.collect_list("acov").alias("_l"), F.max("n").alias("_top"))
-    arr = arr.join(between, list(by))
-    total = lambda k: F.aggregate("_l", F.lit(0.0), lambda s, c: s + F.coalesce(F.get(c, k), F.lit(0.0)))
-    lags = F.sequence(F.lit(0), (F.col("_top") - 1).cast("int"))
-    arr = arr.withColumn("_x", F.transform(lags, lambda k: F.struct(k.alias("lag"), (total(k) / F.size("_l")).alias("_a"))))
-    n = F.col("_n")
-    w = F.get(F.col("_x"), F.lit(0))["_a"] * n / (n - 1)
-    plus = w * (n - 1) / n + F.when(F.col("_c") > 1, F.col("_vm")).otherwise(0.0)
-    rho = F.transform(
-        F.filter(F.col("_x"), lambda e: e["lag"] < n),
-        lambda e: F.when(e["lag"] == 0, F.lit(1.0)).otherwise(1 - F.try_divide(w - e["_a"] * n / (n - 1), plus)),
+    """Effective size from the autocovariances of all chains of a parameter, without a chain in one task.
+
+    Ranges of lags, each twice as wide as the one before, are added up block by block over the parameters whose pair sums are still positive, until there
+    are none. All lags that count do so; a short chain has no covariance at a long lag.
+    """
+    series = written(centred_series(draws.where(F.col(value).isNotNull()), [*by, chain], order, value, sparse=True))
+    lengths = series.groupBy(*by, chain).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("_x") * F.col("_x")).alias("_a"), F.max("_m").alias("_m"))
+    state = lengths.groupBy(*by).agg(
+        F.avg("_n").alias("_n"), F.sum("_n").alias("_s"), F.avg("_a").alias("_a"), F.var_samp("_m").alias("_vm"), F.count(F.lit(1)).alias("_chains")
     )
-    out = arr.withColumn("_g", _geyer(rho))
+    n = F.col("_n")
+    state = state.withColumn("_w", F.col("_a") * n / (n - 1))
+    plus = F.col("_w") * (n - 1) / n + F.when(F.col("_chains") > 1, F.col("_vm")).otherwise(0.0)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(float("inf")).alias("last"), F.lit(True).alias("on"))
+    state = written(state.select(*by, "_n", "_s", "_chains", "_w", plus.alias("_plus"), start.alias("_g")))
+    low, width = 0, FIRST_LAGS
+    lags = F.ceil(n).cast("long")
+    while True:
+        active = state.where(F.col("_g.on") & (lags >= low + 2))
+        if active.isEmpty():
+            break
+        high = low + width
+        sums = lag_sums(join_null_safe(series, active.select(*by), by), [*by, chain], low, high)
+        # the lags of a range that occur follow each other from ``low``, so the place in the sorted list tells the lag
+        rows = sums.groupBy(*by, "lag").agg(F.sum("acov").alias("_a")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("lag", "_a"))).alias("_l"))
+        step = join_null_safe(active, rows, by, "left")
+        rho = F.transform(
+            F.sequence(F.lit(low).cast("long"), F.least(lags, F.lit(high)) - 1),
+            lambda k: F.when(k == 0, F.lit(1.0)).otherwise(
+                1 - F.try_divide(F.col("_w") - F.coalesce(F.get(F.col("_l"), (k - low).cast("int"))["_a"], F.lit(0.0)) / F.col("_chains") * n / (n - 1), F.col("_plus"))
+            ),
+        )
+        moved = step.withColumn("_rho", rho).withColumn("_g", _pair_sums(F.col("_rho"), F.col("_g"))).select(*state.columns)
+        settled = state.where(~(F.coalesce(F.col("_g.on"), F.lit(False)) & (lags >= low + 2)))
+        before, state = state, written(settled.unionByName(moved))
+        release(before)
+        low, width = high, min(2 * width, MOST_LAGS)
+    release(series)
     tau = F.greatest(-1 + 2 * F.col("_g.s"), 1 / F.log10(F.col("_s")))
-    size = F.col("_s") / tau
-    return out.select(*by, size.alias("ess"), F.col("_g.on").alias("lag_limited"))
+    return state.select(*by, (F.col("_s") / tau).alias("ess"), F.col("_g.on").alias("lag_limited"))
 
 
 def ess_bulk(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridpanel.functions.scalar import normal_upper_tail
 from gridpanel.operators.joins import distance_band, neighbour_offsets
 from gridpanel.operators.windows import grid_bins
-from gridpanel.plans.skew import with_group_values
+from gridpanel.plans.skew import range_bucketed, with_group_values
 
 CELL = "__cell__"  # marker class: one row per occupied cell, used to count neighbours
 
@@ -19,17 +19,17 @@ CELL = "__cell__"  # marker class: one row per occupied cell, used to count neig
 def infer_resolution(df: DataFrame, coord: Sequence[str]) -> DataFrame:
     """Smallest positive gap between distinct coordinates, over all axes (one row).
 
-    Works on the distinct values of one axis, which number the lattice's side length.
+    The distinct values of the axes are dealt by range: a task finds the gaps inside a range, and those between neighbouring ranges follow from the
+    ends of the ranges. Null coordinates do not count; without two different values the result is NULL.
     """
-    gaps = []
-    for c in coord:
-        axis = df.select(F.col(c).alias("v")).where(F.col("v").isNotNull()).distinct()
-        gap = F.lead("v").over(Window.orderBy("v")) - F.col("v")
-        gaps.append(axis.select(gap.alias("gap")))
-    both = gaps[0]
-    for g in gaps[1:]:
-        both = both.unionAll(g)
-    return both.where(F.col("gap") > 0).agg(F.min("gap").alias("res"))
+    axes = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).cast("double").alias("v")) for i, c in enumerate(coord)]))
+    values = df.select(axes.alias("_a")).select("_a.*").where(F.col("v").isNotNull()).distinct()
+    dealt = range_bucketed(values, ["axis"], ["v"])
+    gap = F.col("v") - F.lag("v").over(Window.partitionBy("axis", "_b").orderBy("v"))
+    inside = dealt.select(gap.alias("gap")).agg(F.min("gap").alias("gap"))
+    ends = dealt.groupBy("axis", "_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    between = ends.select((F.col("lo") - F.lag("hi").over(Window.partitionBy("axis").orderBy("_b"))).alias("gap"))  # a row per range
+    return inside.unionAll(between).agg(F.min("gap").alias("res"))
 
 
 def lattice_index(x: str, y: str, res: float, x0: float = 0.0, y0: float = 0.0) -> tuple[Column, Column]:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gridpanel.plans.skew import salted_join
+from gridpanel.plans.skew import join_null_safe, range_bucketed, salted_join
 
 
 def full_outer_fold(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -32,32 +32,55 @@ def expand_grid(df: DataFrame, **values: Sequence) -> DataFrame:
     return df
 
 
+def _around(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, cols: Sequence[str], after: bool) -> DataFrame:
+    """Left rows with ``_past``, the last right row at or before ``at``, and with ``after`` also ``_next``, the first one at or behind it.
+
+    The distinct (key, time) points of both sides are dealt by range of (key, time). A window inside a range finds the neighbours there; what a range
+    lacks comes from the ends of the ranges before or behind it, one row per key and range. No task holds the history of a key.
+    """
+    entry = F.struct(F.col(when).alias("w"), *[F.col(c) for c in cols])
+    known = right.where(F.col(when).isNotNull()).groupBy(*keys, F.col(when).alias("_t")).agg(F.max(entry).alias("_e"))
+    asked = left.select(*keys, F.col(at).alias("_t")).where(F.col("_t").isNotNull()).distinct().withColumn("_e", F.lit(None).cast(known.schema["_e"].dataType))
+    points = known.unionByName(asked).groupBy(*keys, "_t").agg(F.max("_e").alias("_e"))
+    dealt = range_bucketed(points, keys, ["_t"])
+
+    def nearest(inside: WindowSpec, outside: WindowSpec, name: str) -> tuple[Column, Column]:
+        own = F.last("_e", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        ends = F.last(f"_end{name}", ignorenulls=True).over(outside.rowsBetween(Window.unboundedPreceding, -1))
+        return own.alias(f"_own{name}"), ends.alias(f"_far{name}")
+
+    inside, outside = Window.partitionBy(*keys, "_b"), Window.partitionBy(*keys)
+    sides = [nearest(inside.orderBy("_t"), outside.orderBy("_b"), "_past")]
+    if after:
+        sides.append(nearest(inside.orderBy(F.desc("_t")), outside.orderBy(F.desc("_b")), "_next"))
+    ends = dealt.where(F.col("_e").isNotNull()).groupBy(*keys, "_b").agg(F.max_by("_e", "_t").alias("_end_past"), F.min_by("_e", "_t").alias("_end_next"))
+    ranges = dealt.select(*keys, "_b").distinct()
+    far = join_null_safe(ranges, ends, [*keys, "_b"], "left").select(*keys, "_b", *[f for _, f in sides])
+    near = dealt.select(*keys, "_b", "_t", *[o for o, _ in sides])
+    names = ["_past", "_next"] if after else ["_past"]
+    found = join_null_safe(near, far, [*keys, "_b"]).select(*keys, F.col("_t").alias(at), *[F.coalesce(f"_own{n}", f"_far{n}").alias(n) for n in names])
+    return left.join(found, [*keys, at], "left")
+
+
 def latest_before(
     left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, cols: Sequence[str]
 ) -> DataFrame:
     """Backward as-of join: the latest right row per key with ``when`` ≤ ``at`` (unmatched left rows keep NULLs).
 
-    The right side must be a table of yearly values (at most one row per key and year).  It becomes one sorted array
-    per key, so the join is a plain equi join that emits each left row once.
+    Of right rows that share key and time the largest (``cols`` in order) counts; rows of a null key or time match nothing. Each left row comes once.
     """
-    entry = F.struct(F.col(when).alias("w"), *[F.col(c) for c in cols])
-    history = right.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_h"))
-    past = F.filter(F.col("_h"), lambda e: e["w"] <= F.col(at))
-    last = F.when(F.size(past) > 0, F.element_at(past, -1))
-    out = left.join(history, list(keys), "left").withColumn("_m", last)
-    return out.select(*left.columns, F.col("_m.w").alias(f"matched_{when}"), *[F.col(f"_m.{c}").alias(c) for c in cols])
+    out = _around(left, right, keys, at, when, cols, after=False)
+    return out.select(*left.columns, F.col("_past.w").alias(f"matched_{when}"), *[F.col(f"_past.{c}").alias(c) for c in cols])
 
 
 def nearest_vintage(
     left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, cols: Sequence[str]
 ) -> DataFrame:
-    """Nearest available year per key; at equal distance the earlier year wins.  Same plan as ``latest_before``."""
-    entry = F.struct(F.col(when).alias("w"), *[F.col(c) for c in cols])
-    history = right.groupBy(*keys).agg(F.collect_list(entry).alias("_h"))
-    ranked = F.transform(F.col("_h"), lambda e: F.struct(F.abs(e["w"] - F.col(at)).alias("d"), e["w"].alias("w"), e.alias("e")))
-    best = F.array_min(ranked)
-    out = left.join(history, list(keys), "left").withColumn("_m", best)
-    return out.select(*left.columns, F.col("_m.w").alias(f"matched_{when}"), *[F.col(f"_m.e.{c}").alias(c) for c in cols])
+    """Nearest available year per key; at equal distance the earlier year wins.  Same plan as ``latest_before``, in both directions."""
+    out = _around(left, right, keys, at, when, cols, after=True)
+    later = F.col("_past").isNull() | (F.col("_next.w") - F.col(at) < F.col(at) - F.col("_past.w"))
+    out = out.withColumn("_m", F.when(later, F.col("_next")).otherwise(F.col("_past")))
+    return out.select(*left.columns, F.col("_m.w").alias(f"matched_{when}"), *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
 def neighbour_offsets(reach: int, centre: bool = False) -> Column:

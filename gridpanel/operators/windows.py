@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpanel.plans.skew import dense_index, group_quantiles, keyed, with_group_values
+from gridpanel.plans.skew import dense_index, group_quantiles, join_null_safe, keyed, with_group_values
 
 
 def top_by_count(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -95,32 +97,60 @@ def head_by(df: DataFrame, measure: str, label: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(measure), F.asc(label)).limit(k)
 
 
+def centred_series(df: DataFrame, keys: Sequence[str], order: str, value: str, sparse: bool) -> DataFrame:
+    """Series less their means: keys, ``_t`` from 1, ``_n`` values of the key, their mean ``_m``, ``_x``. With ``sparse`` any unique integer orders and is numbered here."""
+    df = dense_index(df, keys, order, "_t") if sparse else df.withColumn("_t", F.col(order).cast("long"))
+    df = with_group_values(df, keys, _m=F.avg(value), _n=F.count(value))
+    return df.select(*keys, "_t", "_n", "_m", F.coalesce(F.col(value) - F.col("_m"), F.lit(0.0)).alias("_x"))
+
+
+def lag_sums(series: DataFrame, keys: Sequence[str], low: int, high: int, block: int = 4096) -> DataFrame:
+    """Σ x_t x_{t+k} / n of every key at lags ``low`` ≤ k < ``high``, one row per lag that occurs (``lag``, ``acov``).
+
+    A series is cut into blocks of at least as many values as there are lags. A block gets its own values and those that lie ``low`` to ``high`` behind
+    them, so a value travels at most four times and a task holds blocks, never a whole series. The products of a block are summed by Fourier transform.
+    """
+    lags = high - low
+    block = max(block, lags)
+    t = F.col("_t") - 1
+    first = F.greatest(F.ceil((t - (block + high - 2)) / block), F.lit(0)).cast("long")
+    last = F.floor((t - low) / block).cast("long")
+    behind = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    own = F.floor(t / block).cast("long")
+    dealt = series.select(*keys, "_t", "_n", "_x", F.explode(F.array_union(F.array(own), behind)).alias("_blk"))
+
+    def products(part: pd.DataFrame) -> pd.DataFrame:
+        at, x, start = part["_t"].to_numpy() - 1, part["_x"].to_numpy(float), int(part["_blk"].iloc[0]) * block
+
+        def stretch(offset: int, length: int) -> np.ndarray:
+            pos = at - offset
+            inside = (pos >= 0) & (pos < length)
+            out = np.zeros(pos[inside].max() + 1 if inside.any() else 0)
+            out[pos[inside]] = x[inside]
+            return out
+
+        here, there = stretch(start, block), stretch(start + low, block + lags - 1)
+        found = min(lags, len(there)) if len(here) else 0
+        size = 1 << (len(here) + len(there)).bit_length()
+        sums = np.fft.irfft(np.fft.rfft(here, size).conj() * np.fft.rfft(there, size), size)[:found] if found else np.zeros(0)
+        return part[list(keys)].head(1).assign(_s=[sums / part["_n"].iloc[0]])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.select(*keys).schema)
+    blocks = dealt.groupBy(*keys, "_blk").applyInPandas(products, ", ".join(filter(None, [fields, "_s array<double>"])))
+    by_lag = blocks.select(*keys, F.posexplode("_s").alias("_k", "_v"))
+    return by_lag.groupBy(*keys, (F.col("_k") + F.lit(low)).alias("lag")).agg(F.sum("_v").alias("acov"))
+
+
 def autocovariance(
     df: DataFrame, keys: Sequence[str], order: str, value: str, max_lag: int, block: int = 4096, sparse: bool = False
 ) -> DataFrame:
-    """Autocovariance of a series per key at lags 0..max_lag: Σ (x_t − m)(x_{t+k} − m) / n.
+    """Autocovariance of a series per key at lags 0..max_lag: Σ (x_t − m)(x_{t+k} − m) / n, by blocks (``lag_sums``).
 
-    ``order`` counts 1..n without gaps; with ``sparse`` it is any unique integer and is numbered here.  A long series is
-    cut into blocks: the first ``max_lag`` values of a block are also sent to the block before it, so every product is
-    formed inside one block and no task holds a whole chain.
+    ``order`` counts 1..n without gaps; with ``sparse`` it is any unique integer and is numbered here. Lags beyond a series have covariance 0.
     """
     df, ks = keyed(df, keys)
-    if sparse:
-        df = dense_index(df, ks, order, "_t")
-    else:
-        df = df.withColumn("_t", F.col(order).cast("long"))
-    df = with_group_values(df, ks, _m=F.avg(value), _n=F.count(value))
-    x = df.select(*ks, "_t", "_n", (F.col(value) - F.col("_m")).alias("_x"), F.floor((F.col("_t") - 1) / block).alias("_blk"))
-    halo = F.when(
-        (F.pmod(F.col("_t") - 1, F.lit(block)) < max_lag) & (F.col("_blk") > 0),
-        F.array(F.struct(F.col("_blk").alias("b"), F.lit(True).alias("own")), F.struct((F.col("_blk") - 1).alias("b"), F.lit(False).alias("own"))),
-    ).otherwise(F.array(F.struct(F.col("_blk").alias("b"), F.lit(True).alias("own"))))
-    x = x.withColumn("_p", F.explode(halo)).select(*ks, "_t", "_n", "_x", F.col("_p.b").alias("_blk"), F.col("_p.own").alias("_own"))
-    w = Window.partitionBy(*ks, "_blk").orderBy("_t")
-    lead = {f"_k{k}": F.when(F.col("_own"), F.col("_x") * (F.lead("_x", k).over(w) if k else F.col("_x"))) for k in range(max_lag + 1)}
-    sums = x.select(*ks, "_n", *[c.alias(n) for n, c in lead.items()]).groupBy(*ks).agg(
-        F.max("_n").alias("n"), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in lead]
-    )
-    entries = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_k{k}").alias("s")) for k in range(max_lag + 1)])
-    out = sums.withColumn("_e", F.explode(entries))
-    return out.select(*keys, F.col("_e.lag").alias("lag"), (F.col("_e.s") / F.col("n")).alias("acov"), F.col("n"))
+    series = centred_series(df, ks, order, value, sparse)
+    sizes = series.groupBy(*ks).agg(F.max("_n").alias("n"))
+    wanted = sizes.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
+    out = join_null_safe(wanted, lag_sums(series, ks, 0, max_lag + 1, block), [*ks, "lag"], "left")
+    return out.select(*keys, "lag", F.coalesce("acov", F.lit(0.0)).alias("acov"), "n")

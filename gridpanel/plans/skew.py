@@ -129,20 +129,14 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _bucketed_counts(counts: DataFrame, ks: list[str], buckets: int) -> DataFrame:
-    """Cut the distinct values of each key into ordered buckets of similar size."""
-    if buckets & (buckets - 1):
-        raise ValueError("the number of buckets must be a power of two")
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*ks).agg(F.percentile_approx("_v", probs, 1000).alias("_cuts"))
-    out = join_null_safe(counts, cuts, ks)
-    # number of cut points below the value, by halving: plain expressions that stay in generated code
-    bucket, step = F.lit(0), buckets // 2
-    while step:
-        bucket = bucket + F.when(F.get(F.col("_cuts"), bucket + F.lit(step - 1)) < F.col("_v"), step).otherwise(0)
-        out = out.withColumn("_b", bucket)
-        bucket, step = F.col("_b"), step // 2
-    return out.select(*ks, "_v", "_n", "_b")
+def range_bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Written copy of ``df`` dealt by ranges of (``keys``, ``order``): ``_b`` numbers the range and does not decrease along ``order`` within a key.
+
+    Like a global sort, Spark samples the range bounds, so a bucket holds about one partition's rows whatever the size of a key, and the number of
+    buckets follows ``spark.sql.shuffle.partitions``. Rows that agree in all these columns share a bucket: make them distinct first. The copy is
+    written, because the bounds must be the same for all who read the buckets.
+    """
+    return written(df.repartitionByRange(*keys, *order).withColumn("_b", F.spark_partition_id()))
 
 
 def group_quantiles(
@@ -151,22 +145,21 @@ def group_quantiles(
     value: str,
     probs: dict[str, float],
     bounded: bool = False,
-    buckets: int = 32,
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles (type 7) per key: one column per entry of ``probs``.
 
     ``bounded=True`` says that a key holds few rows (for instance thinned draws of one parameter) and uses the
     built-in ``percentile``, which keeps a key's distinct values in memory.  Otherwise each key is reduced to
-    value counts, cut into buckets, and only the buckets that hold a wanted rank are sorted.  ``counts`` passes ready value
-    counts of the same keys.
+    value counts, these are dealt by range, and only the ranges that hold a wanted rank are sorted.  ``counts`` passes ready
+    value counts of the same keys.
     """
     df, ks = keyed(df, keys)
     if bounded:
         v = F.col(value).cast("double")
         out = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*ks)
         return out.agg(*[F.percentile(v, F.lit(p)).alias(n) for n, p in probs.items()]).drop("_all_rows")
-    counts = _bucketed_counts(value_counts(df, ks, value) if counts is None else counts, ks, buckets)
+    counts = range_bucketed(value_counts(df, ks, value) if counts is None else counts, ks, ["_v"])
     sums = counts.groupBy(*ks, "_b").agg(F.sum("_n").alias("_s"))
     before = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
@@ -205,13 +198,13 @@ def group_quantiles(
     )
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", buckets: int = 32) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Add the 1-based rank of ``value`` within the key (ties share their mean rank) and ``<out>_n``, the key size.
 
     Rows without a value stay and have no rank; rows of a null key are ranked among themselves.
     """
     df, ks = keyed(df, keys)
-    counts = _bucketed_counts(value_counts(df, ks, value), ks, buckets)
+    counts = range_bucketed(value_counts(df, ks, value), ks, ["_v"])
     ranked = running_total(counts, ks, "_b", ["_v"], "_n", "_cum")
     ranked = ranked.select(
         *ks,

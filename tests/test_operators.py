@@ -97,6 +97,58 @@ def test_autocovariance_over_block_borders(spark):
     assert all(math.isclose(got[k], float(d[: 100 - k] @ d[k:]) / 100, rel_tol=1e-9, abs_tol=1e-12) for k in range(7))
 
 
+def test_autocovariance_in_lag_ranges(spark):
+    rng = np.random.default_rng(4)
+    x = {k: np.cumsum(rng.normal(size=n)) for k, n in (("hot", 700), (None, 90), ("one", 1))}
+    df = spark.createDataFrame([(k, 3 * i + 5, float(v)) for k, part in x.items() for i, v in enumerate(part)], "k string, t int, v double")
+    series = wn.centred_series(df, ["k"], "t", "v", sparse=True)
+    for low, high in ((0, 16), (16, 48), (48, 640), (640, 900)):
+        got = {(r["k"], r["lag"]): r["acov"] for r in wn.lag_sums(series, ["k"], low, high, block=20).collect()}
+        for k, part in x.items():
+            d, n = part - part.mean(), len(part)
+            for lag in range(low, high):
+                want = float(d[: n - lag] @ d[lag:]) / n if lag < n else 0.0
+                assert math.isclose(got.get((k, lag), 0.0), want, rel_tol=1e-8, abs_tol=1e-9)
+
+
+# ---- as-of and spacing -----------------------------------------------------------------------------------------
+
+
+def test_as_of_over_range_borders(spark):
+    rng = np.random.default_rng(9)
+    keys = ["hot"] * 60 + [None] * 5 + list("ab") * 10
+    left = [(k, None if i % 17 == 0 else int(rng.integers(0, 400)), i) for i, k in enumerate(keys * 2)]
+    right = [(k, None if i % 23 == 0 else 3 * i % 301, float(i)) for i, k in enumerate(keys) if k != "b"]
+    ldf, rdf = spark.createDataFrame(left, "k string, at int, id int"), spark.createDataFrame(right, "k string, w int, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        last = {r["id"]: (r["matched_w"], r["v"]) for r in jn.latest_before(ldf, rdf, ["k"], "at", "w", ["v"]).collect()}
+        near = {r["id"]: (r["matched_w"], r["v"]) for r in jn.nearest_vintage(ldf, rdf, ["k"], "at", "w", ["v"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(last) == len(near) == len(left)
+    for k, at, i in left:
+        known = [(w, v) for g, w, v in right if g == k and k is not None and w is not None and at is not None]
+        past = [e for e in known if e[0] <= at]
+        assert last[i] == (max(past) if past else (None, None))
+        nearest = min(known, key=lambda e: (abs(e[0] - at), e[0], -e[1])) if known else (None, None)
+        assert near[i] == nearest
+
+
+def test_grid_spacing_across_ranges(spark):
+    pts = spark.createDataFrame([(float(i * 10), float(i * 40) if i != 7 else 273.0) for i in range(40)] + [(None, 5000.0)], "x double, y double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert fo.infer_resolution(pts, ["y"]).first()["res"] == 33.0
+        assert fo.infer_resolution(pts, ["x", "y"]).first()["res"] == 10.0
+        assert fo.infer_resolution(pts.limit(1), ["x"]).first()["res"] is None
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # ---- lattice ---------------------------------------------------------------------------------------------------
 
 
@@ -553,6 +605,20 @@ def test_diagnostics_tell_good_from_bad(spark):
     assert dr.ess_tail(good, ["param"]).first()["ess"] > 300
 
 
+def test_effective_size_over_several_lag_ranges(spark, monkeypatch):
+    def slow(r, c, i):
+        slow.x = 0.0 if i == 0 else 0.9 * slow.x + r.normal()
+        return slow.x
+
+    draws = draw_table(spark, 3, 300, fn=slow)
+    want = {r["param"]: (r["ess"], r["lag_limited"]) for r in dr.ess_bulk(draws, ["param"]).collect()}
+    monkeypatch.setattr(dr, "FIRST_LAGS", 4)
+    monkeypatch.setattr(dr, "MOST_LAGS", 8)
+    got = {r["param"]: (r["ess"], r["lag_limited"]) for r in dr.ess_bulk(draws, ["param"]).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[p][0], want[p][0], rel_tol=1e-9) and got[p][1] == want[p][1] for p in want)
+    assert all(10 < e < 200 for e, _ in got.values())
+
+
 def test_contrasts_are_antisymmetric(spark):
     rng = np.random.default_rng(8)
     d = spark.createDataFrame([("x", c, i, float(rng.normal())) for c in "ABC" for i in range(60)], "cov string, class string, iter int, value double")

@@ -63,9 +63,34 @@ def test_salted_join_equals_join(table, spark):
     assert a == sorted(tuple(r) for r in df.join(side, "k").select("id", "w").collect())
 
 
-def test_bucket_count_must_be_power_of_two(table):
-    with pytest.raises(ValueError):
-        skew.group_quantiles(table[0], ["k"], "v", {"a": 0.5}, buckets=20)
+def test_a_hot_key_is_cut_into_many_ranges(table):
+    counts = skew.value_counts(table[0].withColumn("v", F.col("v") + F.col("id") / 1e6), ["k"], "v")
+    rows = skew.range_bucketed(counts.repartition(3), ["k"], ["_v"]).orderBy("k", "_v").collect()
+    hot = [r["_b"] for r in rows if r["k"] == "hot"]
+    assert hot == sorted(hot) and len(rows) == counts.count() == 3000
+    with_conf = table[0].sparkSession
+    with_conf.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = skew.range_bucketed(counts, ["k"], ["_v"]).where("k = 'hot'").groupBy("_b").count().collect()
+    finally:
+        with_conf.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 0.8 * len(hot)
+
+
+def test_quantiles_and_ranks_over_many_ranges(table, spark):
+    df, pdf = table
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = skew.group_quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.77}).toPandas().set_index("k")
+        ranks = skew.average_ranks(df, ["k"], "v").toPandas().sort_values("id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k, part in pdf.groupby("k"):
+        assert np.allclose(got.loc[k, ["a", "b"]].astype(float), np.quantile(part["v"], [0.01, 0.77]))
+    assert np.allclose(ranks["rank"], pdf.groupby("k")["v"].rank().to_numpy())
 
 
 def test_ranks_without_keys(table):
