@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -728,3 +729,48 @@ def test_missing_parameters_are_errors_and_null_countries_meet(spark):
     assert al.allocate_subtypes(heads, make(parts), dairy, organic, "country", "region", ["year"]).agg(F.sum("heads")).first()[0] == 12.0
     with pytest.raises(Exception, match="no production shares"):
         al.allocate_subtypes(heads, make(parts[:1]), dairy, organic, "country", "region", ["year"]).collect()
+
+
+def test_slices_are_tall_and_moved_bytes_follow_the_input():
+    first = next(ds.slices(150_000, 10_256, 4))
+    assert first[0].stop >= 1000  # the loops run along rows, whatever the number of draws
+    def moved(scale):
+        rows, model = scale * 20 * 2**20, scale * 10 * 2**20
+        blocks, chunks = ds.dealt(scale * 150_000, rows, scale * 50_000, model, 12, ds.BLOCK_ROWS, ds.CHUNK_BYTES)
+        assert rows / blocks <= ds.BLOCK_BYTES and model / chunks <= ds.CHUNK_BYTES and blocks * chunks >= 12
+        return blocks * model + chunks * rows
+    assert moved(10) <= 11 * moved(1) and moved(60) <= 66 * moved(1)
+
+
+def test_forest_scores_many_trees_of_mixed_shapes():
+    from gridpanel.operators import trees as tr
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    shapes = [[1, -1, 2, -1, -1], [0, 2, -1, -1, -1], [-1]]
+    table = [(d, "tree", e, str(k), v, rng.normal(size=len(v)).tolist()) for d in (3, 5, 9, 11) for e in ("A", "B") for k, v in enumerate([shapes[(d + len(e)) % 3], shapes[0], shapes[0]])]
+    names = ("draw", "kind", "a", "b", "ints", "vals")
+    chunk = ds.Chunk(pa.table({c: pa.array([r[i] for r in table]) for i, c in enumerate(names)}))
+    for draws in ([3, 5, 9, 11], [5, 9], [9, 10]):
+        want = np.zeros((500, len(draws), 2))
+        for d, _, e, _, var, value in table:
+            if d in draws:
+                want[:, draws.index(d), "AB".index(e)] += tr.walk(x, np.array(var), np.array(value), tr.right_children(np.array(var)))
+        assert np.allclose(chunk.ensemble(x, ["A", "B"], draws, 1.5), np.clip(want, -1.5, 1.5))
+
+
+def test_nested_effects_sum_over_rows_by_weights():
+    covs = ["x0", "x1"]
+    tree = ne.nest_tree({"A": ["m", "n"], "B": ["m", "n"], "C": ["m"], "D": []}, covs)
+    rng = np.random.default_rng(8)
+    mats = {k.name: rng.normal(size=(3, len(k.children), k.features)) for k in tree.nodes}
+    x = rng.normal(size=(40, 2))
+
+    def logs(x):
+        shares = ne._evaluate(tree, x, None, mats, {})
+        return np.stack([sum(np.log(shares[node][k]) for node, k in tree.steps[c]).sum(axis=1) for c in tree.classes], axis=1)
+
+    got = ne._effects(tree, x, None, mats, {})
+    for j in range(2):
+        h = np.eye(2)[j] * 1e-6
+        assert np.allclose(got[:, :, j], (logs(x + h) - logs(x - h)) / 2e-6, atol=1e-5)
