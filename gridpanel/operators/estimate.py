@@ -22,7 +22,7 @@ from gridpanel.operators.design import Paths, edges, node_shares
 from gridpanel.operators.metrics import compare_fits
 from gridpanel.operators.score import explode_classes, feature_array, predict_shares, softmax
 from gridpanel.plans.skew import HASH_BITS, hash_order, with_group_values
-from gridpanel.session import cut_lineage
+from gridpanel.session import cut_lineage, release, written
 
 COEF_SCHEMA = "cov string, class string, beta double"
 
@@ -214,11 +214,15 @@ def bootstrap_draws(
 ) -> DataFrame:
     """Draw table from a weighted bootstrap: every replicate refits the share logit with Poisson row weights."""
     out = None
+    # every replicate reads them; the weights are hashed once, before anything filters by them
+    weights = [poisson_weight(seed + r, row).cast("tinyint").alias(f"_bw{r}") for r in range(1, replicates + 1)]
+    x, y = written(x.select(row, *cols)), written(y.select(row, "class", "share", *weights))
     for r in range(1, replicates + 1):
-        w = y.withColumn("_bw", poisson_weight(seed + r, row)).withColumn("_sw", F.col("share") * F.col("_bw"))
+        w = y.withColumn("_sw", F.col("share") * F.col(f"_bw{r}"))
         coef = fit_share_logit(x, w, row, cols, classes, "_sw", max_iter=max_iter)
         part = coef.select("cov", "class", F.lit(1).alias("chain"), F.lit(r).alias("iter"), F.col("beta").alias("value"))
         out = part if out is None else out.unionByName(part)
+    release(x, y)
     return out
 
 
@@ -262,15 +266,16 @@ def solve_intercepts(df: DataFrame, keys: Sequence[str], u: str, y: str, n_class
     than ``tolerance``; running out of them is an error.
     """
     j = n_classes
-    state = df.select(*keys).distinct().withColumn("a", F.array(*[F.lit(0.0)] * j))
-    data = df.select(*keys, u, y)
+    data = written(df.select(*keys, u, y))  # every iteration reads it
+    state = data.select(*keys).distinct().withColumn("a", F.array(*[F.lit(0.0)] * j))
     for _ in range(iterations):
-        rows = data.join(state, list(keys))
-        p = softmax(F.zip_with(F.col(u), F.col("a"), lambda s, t: s + t))
-        rows = rows.withColumn("_p", p)
-        grad = [F.sum(F.col("_p")[i] - F.col(y)[i]).alias(f"_g{i}") for i in range(j - 1)]
+        rows = data.join(state, list(keys)).withColumns({f"_u{i}": F.col(u)[i] + F.col("a")[i] for i in range(j)})
+        top = F.greatest(*[F.col(f"_u{i}") for i in range(j)]) if j > 1 else F.col("_u0")
+        rows = rows.withColumn("_top", top).withColumns({f"_e{i}": F.exp(F.col(f"_u{i}") - F.col("_top")) for i in range(j)})
+        rows = rows.withColumn("_s", sum((F.col(f"_e{i}") for i in range(j)), F.lit(0.0))).withColumns({f"_p{i}": F.col(f"_e{i}") / F.col("_s") for i in range(j)})
+        grad = [F.sum(F.col(f"_p{i}") - F.col(y)[i]).alias(f"_g{i}") for i in range(j - 1)]
         hess = [
-            F.sum((F.col("_p")[i] if i == k else F.lit(0.0)) - F.col("_p")[i] * F.col("_p")[k]).alias(f"_h{i}_{k}")
+            F.sum((F.col(f"_p{i}") if i == k else F.lit(0.0)) - F.col(f"_p{i}") * F.col(f"_p{k}")).alias(f"_h{i}_{k}")
             for i in range(j - 1) for k in range(i, j - 1)
         ]
         sums = rows.groupBy(*keys, "a").agg(*grad, *hess)
@@ -281,6 +286,7 @@ def solve_intercepts(df: DataFrame, keys: Sequence[str], u: str, y: str, n_class
         moved = cut_lineage(moved.select(*keys, "a", longest.alias("_d")))
         state, step = moved.drop("_d"), moved.agg(F.max("_d")).first()[0]
         if step is None or step <= tolerance:
+            release(data)
             return state
     raise RuntimeError(f"intercepts still move by {step} after {iterations} iterations")
 

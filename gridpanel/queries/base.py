@@ -10,10 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridpanel.plans.skew import dense_index
+from gridpanel.session import deal_by_size
 
 
 class Tables:
@@ -117,20 +118,21 @@ class Tables:
     @cached_property
     def fits(self) -> DataFrame:
         """Observed and predicted class shares per order (three classes, zeros included): row, grp, class, obs, pred."""
-        flags = F.explode(F.array(*[F.lit(c) for c in ("A", "N", "R")])).alias("class")
-        qty = self.lineitem.groupBy(F.col("l_orderkey").alias("row"), F.col("l_returnflag").alias("class")).agg(F.sum("l_quantity").alias("q"))
-        tot = qty.groupBy("row").agg(F.sum("q").alias("qt"))
-        rows = tot.join(self.design.select("row", "x1", "x2", "cust"), "row")
-        cust = self.customer.select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").cast("string").alias("grp"))
-        rows = rows.join(cust, "cust")
-        grid = rows.select("row", "grp", "x1", "x2", "qt", flags)
-        full = grid.join(qty, ["row", "class"], "left").fillna(0.0, ["q"]).withColumn("obs", F.col("q") / F.col("qt"))
-        base = full.groupBy("grp", "class").agg(F.sum("q").alias("gq"))
-        full = full.join(base, ["grp", "class"])
-        tilt = F.when(F.col("class") == "A", 0.05 * F.col("x1")).when(F.col("class") == "N", -0.02 * F.col("x2")).otherwise(0.0)
-        scored = full.withColumn("e", F.col("gq") * F.exp(tilt))
-        norm = scored.groupBy("row").agg(F.sum("e").alias("se"))
-        return scored.join(norm, "row").select("row", "grp", "class", "obs", (F.col("e") / F.col("se")).alias("pred"), "qt", "x1", "x2")
+        classes = ("A", "N", "R")
+        pick = lambda c: F.sum(F.when(F.col("l_returnflag") == c, F.col("l_quantity")))
+        qty = self.lineitem.groupBy(F.col("l_orderkey").alias("row")).agg(F.sum("l_quantity").alias("qt"), *[F.coalesce(pick(c), F.lit(0.0)).alias(f"q_{c}") for c in classes])
+        cust = self.customer.select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").cast("string").alias("grp")).where(F.col("grp").isNotNull())
+        # a row per order until the end: customers first, so that all that follows is dealt by order once
+        wide = self.design.select("row", "x1", "x2", "cust").join(cust, "cust").join(qty, "row")
+        base = wide.groupBy("grp").agg(*[F.sum(f"q_{c}").alias(f"g_{c}") for c in classes])
+        tilt = {"A": 0.05 * F.col("x1"), "N": -0.02 * F.col("x2"), "R": F.lit(0.0)}
+        scored = wide.join(base, "grp").withColumns({f"e_{c}": F.col(f"g_{c}") * F.exp(tilt[c]) for c in classes})
+        parts = [F.sum(f"e_{c}").over(Window.partitionBy("row")) for c in classes]  # an order may come more than once
+        scored = scored.withColumns({f"s_{c}": s for c, s in zip(classes, parts, strict=True)})
+        total = sum((F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) for c in classes), F.lit(0.0))
+        cells = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"q_{c}").alias("q"), F.col(f"e_{c}").alias("e")) for c in classes])
+        long = scored.withColumn("se", F.when(F.coalesce(*[F.col(f"s_{c}") for c in classes]).isNotNull(), total)).withColumn("_c", F.explode(cells))
+        return long.select("row", "grp", "_c.class", (F.col("_c.q") / F.col("qt")).alias("obs"), (F.col("_c.e") / F.col("se")).alias("pred"), "qt", "x1", "x2")
 
 
 CTES = {
@@ -203,6 +205,7 @@ class Query:
     dbl: dict[str, int]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        deal_by_size(spark, sf_dir)
         df = self.fn(Tables(spark, sf_dir))
         return df.withColumns({c: F.round(F.col(c) + nudge(d), d) for c, d in self.dbl.items()}) if self.dbl else df
 

@@ -1,5 +1,6 @@
 """Invariants and hand-checked cases of the operators."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -25,6 +26,7 @@ from gridpanel.operators import score as so
 from gridpanel.operators import screens as sc
 from gridpanel.operators import split as sp
 from gridpanel.operators import windows as wn
+from gridpanel.queries.base import Tables
 from gridpanel.plans.skew import average_ranks, hash_order
 
 
@@ -774,3 +776,34 @@ def test_nested_effects_sum_over_rows_by_weights():
     for j in range(2):
         h = np.eye(2)[j] * 1e-6
         assert np.allclose(got[:, :, j], (logs(x + h) - logs(x - h)) / 2e-6, atol=1e-5)
+
+
+def test_rows_that_repeat_a_key_stay_apart_over_chunks(spark):
+    model = ds.matrix_parts(spark.createDataFrame([(ds.POOLED, d, [[0.1 * d, 0.2], [0.0, 0.0]]) for d in range(40)], "grp string, draw int, b array<array<double>>"), "grp", "draw")
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [1.0, 2.0])], "row int, x array<double>").withColumn("grp", F.lit("a"))
+    one, many = (sorted((r["row"], r["n_draws"], round(r["p"][0], 9)) for r in ds.predictive_shares(rows, model, ["row"], "grp", 2, **kw).collect()) for kw in ({}, {"chunk_bytes": 300}))
+    assert one == many and [r[1] for r in one] == [40] * 4
+
+
+def test_fits_are_one_pass_and_intercepts_read_a_written_table(spark, tmp_path):
+    orders = [(k, k % 7, 1000.0 * k, f"{k % 5 + 1}-X", dt.date(1995, 1, 1 + k % 28)) for k in range(60)] + [(3, 3, 9.0, "1-X", dt.date(1995, 1, 1))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(c, c % 2) for c in range(7)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    lines = [(k, "ANR"[(k + i) % 3], float(1 + (k * i) % 9)) for k in range(60) for i in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    t = Tables(spark, str(tmp_path))
+    rows = t.fits.collect()
+    assert len(rows) == 61 * 3 and abs(sum(r["pred"] for r in rows) - 60) < 1e-9  # an order that comes twice shares its total
+    assert all(abs(sum(r["obs"] for r in rows if r["row"] == k) - 1) < 1e-9 for k in range(4, 60))
+    plan = t.fits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") + plan.count("l_quantity#") > 0 and plan.count("Relation") <= 6  # orders, customer and lineitem, and again for the group sums
+
+
+def test_shuffles_are_dealt_by_the_size_of_the_tables(spark, tmp_path):
+    from gridpanel import session
+
+    (tmp_path / "x.parquet").write_bytes(b"0" * (20 * session.INPUT_BYTES))
+    session.deal_by_size(spark, str(tmp_path))
+    assert int(spark.conf.get(session.INITIAL)) == 20 and int(spark.conf.get(session.ADVISORY).rstrip("b")) == session.TASK_BYTES
+    session.deal_as_set(spark)
+    assert spark.conf.get(session.INITIAL, None) is None
