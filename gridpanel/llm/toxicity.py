@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpanel.llm.common import bounded_sample, held_out
+from gridpanel.llm.common import bounded_sample, held_out, slices
 from gridpanel.llm.logistic import fit_logistic, sigmoid
 
 WINDOW, SLACK, LEVEL, GRAM = 64, 24, 9, 5
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             score = _scores([t or "" for t in batch.column("text").to_pylist()], model)
             kept = [n for n in batch.schema.names if n != "text" or batch.schema.names.count("text") > 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(score)], names=[*kept, "score"])
@@ -166,7 +166,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _keeper(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             s = _scores([t or "" for t in batch.column("text").to_pylist()], model)
             yield batch.filter(pa.array(s < threshold))
 

@@ -445,3 +445,45 @@ def test_pipeline_stages(spark):
         if name != "mixing sources to target weights":
             assert set(kept.columns) == set(docs.columns)
     assert kept.agg(F.sum("taken")).first()[0] > 0
+
+
+def test_texts_reach_the_kernels_a_megabyte_at_a_time(monkeypatch):
+    """op8 and toxicity: the memory of a Python worker follows the slice, not the Arrow batch."""
+    import pyarrow as pa
+
+    from gridpanel.llm import jaccard_join, toxicity
+    from gridpanel.llm.shingles import shingle_sets
+
+    texts = [None, "", *(f"word{i} " * 50_000 for i in range(8)), "a b c d"]
+    seen: list[int] = []
+
+    def sets(some, width):
+        seen.append(sum(len(t or "") for t in some))
+        return shingle_sets(some, width)
+
+    monkeypatch.setattr(jaccard_join, "shingle_sets", sets)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    out = pa.Table.from_batches([*jaccard_join._sketch(3, 90, 100)(iter([batch]))])
+    assert out["doc_id"].to_pylist() == [*range(len(texts))] and sum(seen) == sum(len(t or "") for t in texts)
+    assert max(seen) <= 1_000_000
+    seen.clear()
+    digests = pa.RecordBatch.from_arrays([out["doc_id"].combine_chunks(), *(out[c].combine_chunks() for c in ("n", "s1", "s2")), batch["text"]], names=["node", "n", "s1", "s2", "text"])
+    kept = pa.Table.from_batches([*jaccard_join._digests(3)(iter([digests]))])
+    assert kept["node"].to_pylist() == [*range(len(texts))] and kept["text"].to_pylist() == texts and max(seen) <= 1_000_000
+    monkeypatch.setattr(toxicity, "_scores", lambda some, model: (seen.append(sum(map(len, some))), np.zeros(len(some)))[1])
+    seen.clear()
+    assert pa.Table.from_batches([*toxicity._keeper(None, 0.5)(iter([batch]))])["text"].to_pylist() == texts and max(seen) <= 1_000_000
+
+
+def test_written_sends_small_batches_to_python_and_restores_the_setting(spark):
+    import pyarrow as pa
+
+    from gridpanel.session import ARROW_ROWS, written
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    before = spark.conf.get(ARROW_ROWS, None)
+    got = written(spark.range(0, 100, 1, 2).mapInArrow(sizes, "n bigint"), 8).toPandas()["n"]
+    assert got.sum() == 100 and got.max() <= 8 and spark.conf.get(ARROW_ROWS, None) == before
