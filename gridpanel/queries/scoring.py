@@ -12,6 +12,7 @@ from gridpanel.queries.base import Tables, query
 from gridpanel.queries.design import ALT, COVS, alt_block
 from gridpanel.queries.spatial import CLASSES as LU_CLASSES
 from gridpanel.queries.spatial import SHARES
+from gridpanel.session import written
 
 CLASSES = ["c0", "c1", "c2", "c3"]
 SCALE = 5.0
@@ -299,7 +300,7 @@ def state_coefs(t: Tables):
 
 
 def one_step(t: Tables):
-    cf = state_coefs(t)
+    cf = written(state_coefs(t))  # one row; every step reads it twice
     return lambda s: so.project_step(s, ["slice", "ix", "iy", "grp"], ["slice"], "ix", "iy", LU_CLASSES, [], cf, "grp")
 
 
@@ -311,12 +312,14 @@ def one_step(t: Tables):
         SELECT slice, ix, iy, 'all' AS grp, {', '.join(f"max(CASE WHEN class = '{c}' THEN v END) AS {c}" for c in LU_CLASSES)}, max(abs(v - y)) AS delta FROM n GROUP BY 1, 2, 3""",
 )
 def _(t: Tables):
-    return one_step(t)(state(t))
+    t.lattice = written(t.lattice)  # the coefficients and the state read it
+    return one_step(t)(written(state(t)))
 
 
 @query("q12_projection_trajectory")
 def _(t: Tables):
-    _, rows_ = so.project(state(t), 3, 1e-4, one_step(t), LU_CLASSES)
+    t.lattice = written(t.lattice)  # the coefficients and the state read it
+    _, rows_ = so.project(written(state(t)), 3, 1e-4, one_step(t), LU_CLASSES)
     return rows_
 
 
