@@ -231,14 +231,18 @@ def compare_arms(
 ) -> DataFrame:
     """Fit with and without a covariate block on training rows and compare on the common held-out rows, per class."""
     preds = []
+    # both arms read them, and the comparison once more
+    x, y = written(x.select(row, *dict.fromkeys([*base, *extra]), train.alias("_train"))), written(y.select(row, "class", "share"))
     for cols in (list(base), [*base, *extra]):
-        coef = fit_share_logit(x.where(train), y, row, cols, classes, max_iter=max_iter)
+        coef = fit_share_logit(x.where("_train"), y, row, cols, classes, max_iter=max_iter)
         table = coef_table(coef, "_g", "__pooled__", ["intercept", *cols], classes)
-        rows = feature_array(x.where(~train).withColumn("intercept", F.lit(1.0)).withColumn("_g", F.lit("all")), ["intercept", *cols])
+        rows = feature_array(x.where("not _train").withColumn("intercept", F.lit(1.0)).withColumn("_g", F.lit("all")), ["intercept", *cols])
         p = explode_classes(predict_shares(rows, table, "_g"), [row], "p", classes, "pred")
         obs = y.select(row, "class", F.col("share").alias("obs"))
         preds.append(p.join(obs, [row, "class"], "left").fillna(0.0, ["obs"]))
-    return compare_fits(preds[0], preds[1], [row], "class", "obs", "pred")
+    out = written(compare_fits(preds[0], preds[1], [row], "class", "obs", "pred"))  # a row for each class
+    release(x, y)
+    return out
 
 
 # ---- intercepts given slopes -----------------------------------------------------------------------------------

@@ -807,3 +807,39 @@ def test_shuffles_are_dealt_by_the_size_of_the_tables(spark, tmp_path):
     assert int(spark.conf.get(session.INITIAL)) == 20 and int(spark.conf.get(session.ADVISORY).rstrip("b")) == session.TASK_BYTES
     session.deal_as_set(spark)
     assert spark.conf.get(session.INITIAL, None) is None
+
+
+def _counted(spark, df, col):
+    """``df`` and the number of times that a value of ``col`` has been computed."""
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def same(v):
+        times.add(1)
+        return v
+
+    return df.withColumn(col, same(col)), times
+
+
+def test_compare_arms_computes_its_inputs_once(spark):
+    from gridpanel.operators import estimate as es
+
+    x = spark.createDataFrame([(i, float(i % 3), float(i % 4)) for i in range(30)], "row long, a double, b double")
+    y = spark.createDataFrame([(i, c, 0.25 + 0.5 * (i % 2 == (c == "B"))) for i in range(30) for c in "AB"], "row long, class string, share double")
+    plain = es.compare_arms(x, y, "row", ["a"], ["b"], ["A", "B"], F.col("row") % 3 != 0, max_iter=5)
+    (x, of_x), (y, of_y) = _counted(spark, x, "b"), _counted(spark, y, "share")
+    out = es.compare_arms(x, y, "row", ["a"], ["b"], ["A", "B"], F.col("row") % 3 != 0, max_iter=5)
+    assert {r["class"]: round(r["obs"], 9) for r in out.collect()} == {r["class"]: round(r["obs"], 9) for r in plain.collect()} and out.count() == 2
+    assert (of_x.value, of_y.value) == (30, 60)
+
+
+def test_projection_computes_the_lattice_once(spark):
+    from gridpanel.queries import load_all
+    from gridpanel.queries.base import Tables
+    from gridpanel.queries.spatial import CLASSES
+
+    rows = [(2000, i, j, c, 1.0 + (i + j + k) % 3) for i in range(4) for j in range(4) for k, c in enumerate(CLASSES)]
+    for name, n in (("q12_project_step", 16), ("q12_projection_trajectory", 3)):
+        t = Tables(spark, "")
+        t.lattice, times = _counted(spark, spark.createDataFrame(rows, "slice int, ix long, iy long, class string, area double"), "area")
+        assert load_all()[name].fn(t).count() == n and times.value == len(rows)
