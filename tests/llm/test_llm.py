@@ -487,3 +487,61 @@ def test_written_sends_small_batches_to_python_and_restores_the_setting(spark):
     before = spark.conf.get(ARROW_ROWS, None)
     got = written(spark.range(0, 100, 1, 2).mapInArrow(sizes, "n bigint"), 8).toPandas()["n"]
     assert got.sum() == 100 and got.max() <= 8 and spark.conf.get(ARROW_ROWS, None) == before
+
+
+def test_written_removes_the_shuffle_files_of_its_write(spark):
+    import time
+
+    from gridpanel.session import CLEANUP, written
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, was = files(), spark.conf.get(CLEANUP, None)
+    grouped = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    assert written(grouped).count() == 100 and spark.conf.get(CLEANUP, None) == was
+    end = time.time() + 20
+    while (left := {f for f in files() - before if f.endswith(".data")}) and time.time() < end:
+        time.sleep(0.2)
+    # the count's own shuffle has one row for each task; that of the write has the groups
+    stays = [f for f in left if f.split("_")[1] == min((x.split("_")[1] for x in left), key=int)]
+    assert len({f.split("_")[1] for f in left}) <= 1 and len(stays) == len(left)
+
+
+def test_dropping_copies_leaves_only_ids_on_disk(spark):
+    from gridpanel.session import checkpoint_dir
+
+    rnd = random.Random(6)
+    texts = [words(rnd, 60) for _ in range(30)]
+    near = [t + " tail" for t in texts[:10]]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*texts, *near, *texts[:5], texts[0].upper(), "", None])]
+    rows += [(3, texts[3], "fr", "t", 2), (3, texts[3], "en", "s", 1), (40, texts[0], "de", "u", 7), (None, texts[6], None, None, None), (100, "single", None, None, None), (100, "single", None, None, 1)]
+    docs = frame(spark, rows)
+    top = checkpoint_dir(spark).removeprefix("file:")
+    for drop in (exact_dedup.drop_exact_copies, jaccard_join.drop_near_copies):
+        before = set(os.listdir(top))
+        kept = drop(docs).collect()
+        for name in set(os.listdir(top)) - before:
+            columns = spark.read.parquet(f"{top}/{name}").columns
+            assert len(columns) <= 4 and not {"row", "text", "prefix", "bits", "r", "seen"} & set(columns)
+            assert sum(os.path.getsize(f"{top}/{name}/{f}") for f in os.listdir(f"{top}/{name}")) < 20_000
+        if drop is exact_dedup.drop_exact_copies:
+            best = {}
+            for r in rows:
+                best[low(r[1])] = max(best.get(low(r[1]), -1), -1 if r[0] is None else r[0])
+            assert sorted((low(r["text"]), -1 if r["doc_id"] is None else r["doc_id"]) for r in kept) == sorted(best.items())
+            assert {tuple(r) for r in kept} <= set(rows)
+
+
+def test_bit_maps_never_rule_out_a_similar_pair(spark):
+    rnd = np.random.default_rng(5)
+    schema, sets = "node long, n long, bits array<long>", []
+    for n in (1, 30, 250, 257, 510, 520, 3000, 9000):
+        a = rnd.integers(0, 2**64, n, dtype=np.uint64)
+        b = a.copy()
+        b[: n // 10] = rnd.integers(0, 2**64, n // 10, dtype=np.uint64)  # similarity 9 / 11 or more
+        sets += [a, b[: n - n // 100]]
+    maps = frame(spark, [(i, len(s), jaccard_join._bit_map(np.sort(s)).tolist()) for i, s in enumerate(sets)], schema)
+    pairs = frame(spark, [(i, i + 1) for i in range(0, len(sets), 2)] + [(4, 7), (12, 15)], "a long, b long")
+    open_ = rows_of(jaccard_join.promising(pairs, maps, 80, 100))
+    assert open_ == sorted(((i, i + 1) for i in range(0, len(sets), 2)), key=repr)  # and unrelated sets of 250 and 3000 are ruled out
+    assert sum(len(jaccard_join._bit_map(s)) * 64 for s in sets if len(s) > 256) <= 4 * sum(map(len, sets))
