@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.llm.common import ascii_lower, fresh
+from gridpanel.llm.url_filter import FILTER_BITS, build_bloom
 from gridpanel.session import release, written
 
 FIRST_DIGIT, GROWTH = 64, 8
@@ -76,15 +77,20 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns.
 
     What goes is written as ids with the SHA-256 of their texts, so no text stays on disk behind the result; rows that repeat an id and a text are one.
+    A bit table of the ids tells most rows that stay without a join, so that their texts are not shuffled.
     """
     found, used = _groups(docs)
     mine, digest, copies, stays, sha = fresh("doc", "digest", "copies", "stays", "sha")
     several = found.where("group_size > 1").groupBy(F.col("doc_id").alias(mine), F.col("text_sha256").alias(digest))
     gone = written(several.agg(F.count("*").alias(copies), F.max("kept").alias(stays)).where(~F.col(stays) | (F.col(copies) > 1)))
     release(*used)
-    rows = docs.withColumn(sha, _sha256(F.col("text")))
+    n = gone.count()
+    if not n:
+        return docs
+    named = build_bloom(gone.select(F.col(mine).alias("key")), n, 0.5, 17, bits=min(16 * n + 64, FILTER_BITS)).holds(F.col("doc_id"))
+    rows = docs.where(named).withColumn(sha, _sha256(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(sha) == F.col(digest))
     out, repeated = rows.join(gone, same, "left_anti"), gone.where(F.col(stays))
     if not repeated.isEmpty():
         out = out.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", sha]))
-    return out.drop(sha)
+    return docs.where(~named).unionByName(out.drop(sha))

@@ -188,6 +188,23 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, width, num, fr
     assert rows_of(jaccard_join.similar_components(docs, width, num, 100)) == sorted(brute_components(rows, width, num, 100), key=repr)
 
 
+def test_pairs_verified_grow_with_the_size_of_a_group_not_its_square(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEADERS", ())  # all is left to the chunks
+    monkeypatch.setattr(jaccard_join, "CHUNK_NODES", 40)
+    seen, real = [], jaccard_join.links
+    monkeypatch.setattr(jaccard_join, "links", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    rnd = random.Random(32)
+    stem, rows = words(rnd, 200).split(), []
+    for i in range(150):  # up to five changed words: similar to some of the group, not to all
+        copy = stem.copy()
+        for _ in range(rnd.randint(1, 5)):
+            copy[rnd.randrange(20, 200)] = f"new{i}x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    docs = frame(spark, [(d, t, "en", "s", 1) for d, t in rows])
+    assert rows_of(jaccard_join.similar_components(docs, 5, 80, 100)) == sorted(brute_components(rows, 5, 80, 100), key=repr)
+    assert 0 < sum(seen) < 10 * len(rows)  # pairs of the group: 11,175
+
+
 def test_jaccard_on_messy_tables(spark, messy):
     got = jaccard_join.similar_components(messy).collect()
     assert len(got) == messy.count()
@@ -530,6 +547,22 @@ def test_dropping_copies_leaves_only_ids_on_disk(spark):
             assert {tuple(r) for r in kept} <= set(rows)
 
 
+def test_rows_that_share_no_id_with_dropped_copies_are_not_shuffled(spark):
+    rnd = random.Random(9)
+    texts = [words(rnd, 40) for _ in range(300)]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate([*texts, *texts[:10]])])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = exact_dedup.drop_exact_copies(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(10, 310))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    first = [line for line in plan if line.startswith("   :")]  # the first branch of the union
+    assert first and not any("Exchange" in line or "Join" in line for line in first)
+
+
 def test_bit_maps_never_rule_out_a_similar_pair(spark):
     rnd = np.random.default_rng(5)
     schema, sets = "node long, n long, bits array<long>", []
