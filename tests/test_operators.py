@@ -843,3 +843,91 @@ def test_projection_computes_the_lattice_once(spark):
         t = Tables(spark, "")
         t.lattice, times = _counted(spark, spark.createDataFrame(rows, "slice int, ix long, iy long, class string, area double"), "area")
         assert load_all()[name].fn(t).count() == n and times.value == len(rows)
+
+
+def _elements(monkeypatch, name):
+    """How many numbers ``np.<name>`` has been asked for."""
+    plain, seen = getattr(np, name), [0]
+
+    def counted(x, *args, **kw):
+        seen[0] += np.size(x)
+        return plain(x, *args, **kw)
+
+    monkeypatch.setattr(np, name, counted)
+    return seen
+
+
+def test_shares_take_an_exponential_less_and_stay_right_at_the_ends(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, b = np.column_stack((np.ones(50), rng.normal(size=(50, 2)))), rng.normal(size=(7, 4, 3))
+    want = ds.np_softmax(np.einsum("rc,dkc->rdk", x, b)).transpose(2, 1, 0)
+    with monkeypatch.context() as m:
+        seen = _elements(m, "exp")
+        got = ds.shares(x, b)
+    assert np.allclose(got, want, rtol=1e-13, atol=0) and seen[0] == 3 * 7 * 50
+    far = b * np.array([1, 1e3, 1e3])  # beyond the doubles, and a row without a value
+    y = np.vstack((x, [[1, np.nan, 0]]))
+    with np.errstate(invalid="ignore"):
+        got, want = ds.shares(y, far), ds.np_softmax(np.einsum("rc,dkc->rdk", y, far)).transpose(2, 1, 0)
+    assert np.allclose(got[:, :, :50], want[:, :, :50], atol=1e-12) and np.isnan(got[:, :, 50]).all() and np.allclose(got[:, :, :50].sum(axis=0), 1)
+
+
+def test_trees_are_settled_for_rows_that_lie_close():
+    from gridpanel.operators import trees as tr
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 3))
+    x[::500, 1] = np.nan  # goes right
+    shapes = [[1, -1, 2, -1, -1], [2, 1, -1, -1, -1]]
+    table = [(d, "tree", e, "1", shapes[d % 2], rng.normal(size=5).tolist()) for d in range(60) for e in ("A", "B")]
+    chunk = ds.Chunk(pa.table({c: pa.array([r[i] for r in table]) for i, c in enumerate(("draw", "kind", "a", "b", "ints", "vals"))}))
+    assert set(chunk.split_on(["A", "B"])) == {1, 2}
+    order, walked = ds.nearby(x, [1, 2], 64), 0
+    assert sorted(order) == list(range(4000))
+    for i in range(0, 4000, 64):
+        some = x[order[i : i + 64]]
+        terms = ds.Grown(chunk, some, ["A", "B"], list(range(60)), 0.9)
+        for part in (slice(0, 25), slice(25, 60)):
+            for (flat, open_, value), e in zip(terms.at(part), "AB", strict=True):
+                walked += len(open_)
+                got = np.repeat(flat[:, None], len(some), axis=1)
+                got[open_] = value
+                trees = {d: (np.array(v), np.array(s)) for d, _, f, _, v, s in table if f == e}
+                want = [np.clip(tr.walk(some, trees[d][0], trees[d][1], tr.right_children(trees[d][0])), -0.9, 0.9) for d in range(part.start, part.stop)]
+                assert np.array_equal(got, np.array(want))
+    assert walked < 0.5 * 63 * 120  # most trees have one value for all rows
+
+
+def test_nested_shares_take_few_exponentials(monkeypatch):
+    tree = ne.nest_tree({"A": ["m"], "B": ["m"], "C": [], "D": []}, ["x0", "x1"])
+    rng = np.random.default_rng(9)
+    mats = {k.name: rng.normal(size=(6, len(k.children), k.features)) for k in tree.nodes}
+    x = rng.normal(size=(30, 2))
+    with monkeypatch.context() as m:
+        seen = _elements(m, "exp")
+        got = ne._evaluate(tree, x, None, mats, {})
+    assert seen[0] == (1 + 2) * 6 * 30  # a child less in each node
+    u = np.einsum("dkc,rc->kdr", mats["m"], x)
+    v = np.einsum("dkc,rc->kdr", mats["root"][:, :, :2], x) + mats["root"][:, :, 2].T[:, :, None] * np.log(np.exp(u).sum(axis=0))
+    assert np.allclose(got["m"], np.exp(u) / np.exp(u).sum(axis=0)) and np.allclose(got["root"], np.exp(v) / np.exp(v).sum(axis=0))
+    steep = {name: m * 1e4 for name, m in mats.items()}  # beyond the doubles
+    assert all(np.allclose(s.sum(axis=0), 1) for s in ne._evaluate(tree, x, None, steep, {}).values())
+
+
+def test_every_product_has_its_own_task(spark):
+    for n in (1, 7, 72):
+        keys = ds._placed(spark, n)
+        placed = spark.createDataFrame([(k,) for k in keys], "_task int").repartition(n, "_task").select(F.spark_partition_id()).distinct()
+        assert len(set(keys)) == n and placed.count() == n
+
+
+def test_a_count_likelihood_prepares_its_rows_once(monkeypatch):
+    loglik = me.poisson_draws("y", 0.5)
+    u, y = np.random.default_rng(2).normal(size=(3, 5, 4)), np.array([0.0, 1.0, 4.0, 2.0])
+    with monkeypatch.context() as m:
+        seen = [0]
+        m.setattr(math, "lgamma", lambda v, plain=math.lgamma: (seen.__setitem__(0, seen[0] + 1), plain(v))[1])
+        of = loglik({"y": y})
+        got = [of(u.copy()) for _ in range(3)]
+    want = (y * u * 0.5 - np.exp(u * 0.5) - np.array([math.lgamma(v + 1) for v in y])).sum(axis=0)
+    assert seen[0] == 4 and all(np.allclose(g, want) for g in got)
