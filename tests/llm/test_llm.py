@@ -576,3 +576,32 @@ def test_bit_maps_never_rule_out_a_similar_pair(spark):
     open_ = rows_of(jaccard_join.promising(pairs, maps, 80, 100))
     assert open_ == sorted(((i, i + 1) for i in range(0, len(sets), 2)), key=repr)  # and unrelated sets of 250 and 3000 are ruled out
     assert sum(len(jaccard_join._bit_map(s)) * 64 for s in sets if len(s) > 256) <= 4 * sum(map(len, sets))
+
+
+def test_jaccard_join_shingles_a_text_of_an_unrepeated_id_once(spark, monkeypatch):
+    """Bit maps leave with the sketches; only ids that several rows have are checked against their node."""
+    seen, real = [], jaccard_join._digests
+
+    def digests(width):
+        def run(batches):
+            for batch in batches:
+                checked.add(batch.num_rows)
+                yield from real(width)(iter([batch]))
+
+        return run
+
+    checked = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(jaccard_join, "_digests", digests)
+    monkeypatch.setattr(jaccard_join, "blocks", lambda *a, real=jaccard_join.blocks: (seen.append(a), real(*a))[1])
+    rnd = random.Random(5)
+    stems = [words(rnd, 60) for _ in range(6)]
+    rows = [(10 * i + k, f"{s} tail{k % 2}") for i, s in enumerate(stems) for k in range(4)]
+    brute = lambda rows: sorted(brute_components(rows, 3, 90, 100), key=repr)
+    docs = frame(spark, [(d, t, "en", "s", 1) for d, t in rows])
+    assert rows_of(jaccard_join.similar_components(docs)) == brute(rows) and checked.value == 0 and len(seen) == 1
+    sketched = jaccard_join.sketches(docs.coalesce(1), 3, 90, 100)
+    first = {r["s1"]: r["tag"] for r in sketched.groupBy("s1").agg(F.min("tag").alias("tag")).collect()}
+    assert {r["tag"] for r in sketched.where("bits is not null").collect()} == set(first.values())
+    messy = [*rows, (3, stems[5] + " tail0"), (None, stems[2] + " tail1"), (None, words(rnd, 9)), (0, words(rnd, 40))]  # ids with two texts, and none
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(frame(spark, [(d, t, "en", "s", 1) for d, t in messy])).collect() if r["doc_id"] not in (None, 0, 3)}
+    assert checked.value > 0 and got[20] == got[21] == 20 and got[1] == got[2] == 0 and got[50] == got[52] == 3
